@@ -1,0 +1,99 @@
+"""A small tree over one HTML page, built with the standard library parser."""
+
+import re
+from html.parser import HTMLParser
+
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_SPACE = re.compile(r"\s+")
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "parent", "children")
+
+    def __init__(self, tag, attrs, parent):
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+
+    def walk(self):
+        """All elements below, in document order."""
+        stack = [iter(self.children)]
+        while stack:
+            for child in stack[-1]:
+                if isinstance(child, Node):
+                    yield child
+                    stack.append(iter(child.children))
+                    break
+            else:
+                stack.pop()
+
+    def all(self, *tags):
+        return [n for n in self.walk() if n.tag in tags]
+
+    def first(self, *tags):
+        return next((n for n in self.walk() if n.tag in tags), None)
+
+    def up(self, tag):
+        node = self.parent
+        while node is not None and node.tag != tag:
+            node = node.parent
+        return node
+
+    def after(self, *tags):
+        """Next sibling element (of these tags, if given)."""
+        around = [c for c in self.parent.children if isinstance(c, Node)]
+        at = next(i for i, c in enumerate(around) if c is self)
+        return next((c for c in around[at + 1:] if not tags or c.tag in tags), None)
+
+    def text(self):
+        parts, stack = [], [iter(self.children)]
+        while stack:
+            for child in stack[-1]:
+                if isinstance(child, Node):
+                    stack.append(iter(child.children))
+                    break
+                parts.append(child)
+            else:
+                stack.pop()
+        return "".join(parts)
+
+    def clean(self):
+        return _SPACE.sub(" ", self.text()).strip()
+
+    def classes(self):
+        return (self.attrs.get("class") or "").split()
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        kept = {}
+        for name, value in attrs:
+            kept[name] = value or ""
+        node = Node(tag, kept, self.at)
+        self.at.children.append(node)
+        if tag not in _VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node is not None and node.tag != tag:
+            node = node.parent
+        if node is not None and node.parent is not None:
+            self.at = node.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def parse(html):
+    builder = _Builder()
+    builder.feed(html or "")
+    builder.close()
+    return builder.root
