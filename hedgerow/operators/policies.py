@@ -89,7 +89,7 @@ def policy_snapshot(policies: DataFrame, dates_: DataFrame, revisions: DataFrame
     ``dates_`` is a short list of days (one column ``on_date``); each policy is repeated per day.
     """
     days = dates_.agg(F.collect_set("on_date").alias("days")).scalar()
-    probes = policies.withColumn("on_date", F.explode(F.array_sort(days)))
+    probes = policies.withColumn("on_date", F.explode(days))
     found = effective_revision(probes, revisions)
     return found.withColumn(
         "bucket",

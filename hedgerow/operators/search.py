@@ -123,7 +123,7 @@ def search_policy_asof(queries: DataFrame, chunks: DataFrame, revisions: DataFra
     """
     days = queries.select("on_date").distinct()
     sources = revisions.select("source").distinct()
-    listed = days.agg(F.array_sort(F.collect_set("on_date")).alias("d")).scalar()
+    listed = days.agg(F.collect_set("on_date")).scalar()
     live = policies.resolve(sources.withColumn("on_date", F.explode(listed)), revisions)
     live = live.filter("revision_id is not null").select("source", "revision_id", "on_date")
     dated = chunks.join(live, ["source", "revision_id"])
