@@ -31,7 +31,9 @@ def parse_reviews(reviews: DataFrame, body: str = "body") -> DataFrame:
     Ratings and categories are normalised, string booleans understood.  A body that is not JSON,
     lacks a part, has no aspect or an impossible value is invalid; its columns are null.
     """
-    doc = F.from_json(V.strip_code_fence(F.col(body)), REVIEW_SCHEMA, {"mode": "PERMISSIVE"})
+    # as the only element of an array, so that anything after the object makes it invalid
+    alone = F.concat(F.lit("["), V.strip_code_fence(F.col(body)), F.lit("]"))
+    docs = F.from_json(alone, T.ArrayType(REVIEW_SCHEMA), {"mode": "PERMISSIVE"})
     r = F.col("_r")
     present = F.lit(True)
     for field in REVIEW_SCHEMA.fieldNames():
@@ -49,7 +51,8 @@ def parse_reviews(reviews: DataFrame, body: str = "body") -> DataFrame:
     )
     ok = F.col("valid")
     return (
-        reviews.withColumn("_r", doc)
+        reviews.withColumn("_a", docs)
+        .withColumn("_r", F.when(F.size("_a") == 1, F.col("_a")[0])).drop("_a")
         .withColumn("valid", F.coalesce(valid, F.lit(False)))
         .withColumn("overall_rating", F.when(ok, V.normalize_rating(r["overall_rating"])))
         .withColumn("summary", F.when(ok, r["summary"]))

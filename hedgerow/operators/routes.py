@@ -586,9 +586,9 @@ def near_route(things: DataFrame, points: DataFrame, reach_m: float, key: str =
     spread = (
         points.select("route_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"),
                       row.alias("row0"), col.alias("col0"))
-        .withColumn("row", F.explode(around) + F.col("row0"))
-        .withColumn("col", F.explode(around) + F.col("col0"))
-        .drop("row0", "col0")
+        .withColumn("up", F.explode(around)).withColumn("right", F.explode(around))
+        .select("route_id", "plat", "plon", (F.col("row0") + F.col("up")).alias("row"),
+                (F.col("col0") + F.col("right")).alias("col"))
     )
     near = geo.haversine_m(F.col("t.lat"), F.col("t.lon"), F.col("p.plat"), F.col("p.plon")) <= reach_m
     left = things.withColumn("_row", row).withColumn("_col", col).alias("t")
