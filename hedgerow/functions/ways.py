@@ -1,5 +1,7 @@
 """What the tags of a map way say about cycling on it, and the score factors of a segment."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,21 +12,32 @@ def tag(tags: Column, name: str, missing: str = "") -> Column:
     return F.coalesce(F.try_element_at(tags, F.lit(name)), F.lit(missing))
 
 
-def classify_provision(tags: Column) -> Column:
-    highway = tag(tags, "highway")
-    for_bikes = tag(tags, "bicycle").isin("designated", "yes")
-    for_feet = tag(tags, "foot").isin("designated", "yes")
-    lanes = F.array(*[tag(tags, t) for t in R.CYCLEWAY_TAGS])
+USED_TAGS = ("highway", "bicycle", "foot", "designation", *R.CYCLEWAY_TAGS, "maxspeed", "surface", "lit", "name")
+
+
+def pulled(tags: Column):
+    """The tags the functions below read, as columns ``_tag_<name>``: each is looked up once."""
+    return [F.try_element_at(tags, F.lit(t)).alias(f"_tag_{t}") for t in USED_TAGS]
 
-    def any_lane(*kinds):
-        return F.arrays_overlap(lanes, F.array(*[F.lit(k) for k in kinds]))
 
+def _held(name: str, missing: str = "") -> Column:
+    return F.coalesce(F.col(f"`_tag_{name}`"), F.lit(missing))
+
+
+def provision() -> Column:
+    """Provision from pulled tags: paths by who may use them, roads by their lanes."""
+    highway = F.col("_tag_highway")
+    for_bikes, for_feet = (_held(t).isin("designated", "yes") for t in ("bicycle", "foot"))
     on_path = highway.isin(*R.PATH_HIGHWAYS)
+
+    def any_lane(*kinds):
+        return reduce(lambda a, b: a | b, [_held(t).isin(*kinds) for t in R.CYCLEWAY_TAGS])
+
     return (
         F.when(highway == "cycleway", "segregated")
         .when(on_path & for_bikes & for_feet, "shared_use")
         .when(on_path & for_bikes, "segregated")
-        .when(on_path & F.lower(tag(tags, "designation")).contains("shared"), "shared_use")
+        .when(on_path & F.lower(_held("designation")).contains("shared"), "shared_use")
         .when(on_path, "none")
         .when(any_lane("track", "separate"), "segregated")
         .when(any_lane("lane"), "on_road_lane")
@@ -33,22 +46,30 @@ def classify_provision(tags: Column) -> Column:
     )
 
 
-def speed_limit(tags: Column) -> Column:
+def speed_limit() -> Column:
     """First word of maxspeed as a whole number, else the usual limit of that kind of highway."""
-    posted = F.regexp_extract(tag(tags, "maxspeed"), r"^\s*([+-]?\d+)(?:\s|\z)", 1).try_cast("int")
-    usual = F.create_map(*[F.lit(x) for kv in R.DEFAULT_SPEEDS.items() for x in kv])
-    return F.coalesce(posted, F.try_element_at(usual, tag(tags, "highway")), F.lit(R.OTHER_SPEED))
+    posted = F.regexp_extract(_held("maxspeed"), r"^\s*([+-]?\d+)(?:\s|\z)", 1).try_cast("int")
+    usual = reduce(lambda c, kv: c.when(F.col("_tag_highway") == kv[0], kv[1]), R.DEFAULT_SPEEDS.items(), F)
+    return F.coalesce(posted, usual.otherwise(R.OTHER_SPEED))
 
 
-def surface(tags: Column) -> Column:
-    return tag(tags, "surface", "unknown")
+def surface() -> Column:
+    return _held("surface", "unknown")
 
 
-def lit(tags: Column) -> Column:
-    value = tag(tags, "lit")
+def lit() -> Column:
+    value = F.col("_tag_lit")
     return F.when(value == "yes", True).when(value == "no", False)
 
 
+def name() -> Column:
+    return _held("name", "Unnamed")
+
+
+def highway() -> Column:
+    return _held("highway", "unknown")
+
+
 # --- segments ---------------------------------------------------------------
 
 def is_off_road(provision: Column) -> Column:
@@ -60,8 +81,7 @@ def is_road(highway: Column) -> Column:
 
 
 def provision_rank(provision: Column) -> Column:
-    ranks = F.create_map(*[F.lit(x) for kv in R.PROVISION_RANK.items() for x in kv])
-    return F.coalesce(F.try_element_at(ranks, provision), F.lit(0))
+    return reduce(lambda c, kv: c.when(provision == kv[0], kv[1]), R.PROVISION_RANK.items(), F).otherwise(0)
 
 
 def speed_factor(speed: Column, cfg: R.ScoringConfig = R.DEFAULT_SCORING) -> Column:

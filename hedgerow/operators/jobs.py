@@ -156,12 +156,14 @@ def job_lifecycle(events: DataFrame) -> DataFrame:
 
 def idle_sessions(requests: DataFrame, window_s: int, key: str = "key", order=("ts", "request_id")) -> DataFrame:
     """Add ``session``: a pause of a whole window empties the log, so what follows starts afresh."""
-    block = ordered.time_block(order[0], max(window_s, 60) * 16)
-    near = ordered.with_neighbours(requests, [key], list(order), [order[0]], block).drop("next")
-    micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    before = F.unix_micros(F.col(f"prev.{order[0]}").cast("timestamp"))
-    fresh = F.when(F.col("prev").isNull() | (micros - before >= window_s * 1_000_000), 1).otherwise(0)
-    return ordered.running_total(near, [key], list(order), fresh, "session", block).drop("prev")
+    def paused(before, row):
+        def micros(r):
+            return F.unix_micros(r[order[0]].cast("timestamp"))
+
+        return micros(row) - micros(before) >= window_s * 1_000_000
+
+    return ordered.islands(requests, [key], list(order), [order[0]], paused, "session",
+                           ordered.time_block(order[0], max(window_s, 60) * 16))
 
 
 def admit_requests(requests: DataFrame, limit: int = R.REQUEST_LIMIT, window_s: int = R.REQUEST_WINDOW_S,

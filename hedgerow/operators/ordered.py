@@ -106,6 +106,43 @@ def carry_forward(df: DataFrame, keys, order, value: Column, out: str, block: Co
     )
 
 
+def islands(df: DataFrame, keys, order, cols, starts_new, out: str, block: Column) -> DataFrame:
+    """Add ``out``: 1-based number of the stretch a row belongs to.
+
+    ``starts_new(before, row)`` says whether a row opens a new stretch, given structs of ``cols``.
+    Stretches are counted within each block; where blocks meet, the last row of one is compared
+    with the first row of the next.
+    """
+    inner, outer = _windows(keys, order)
+
+    def opened(before, row):
+        return F.when(before.isNull(), 0).when(starts_new(before, row), 1).otherwise(0)
+
+    local = (
+        df.withColumn("_block", block)
+        .withColumn("_row", F.struct(*cols))
+        .withColumn("_prev", F.lag("_row").over(inner))
+        .withColumn("_new", opened(F.col("_prev"), F.col("_row")))
+        .withColumn(out, F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    at = F.struct(*order)
+    blocks = local.groupBy(*keys, "_block").agg(
+        F.min_by("_row", at).alias("_first"), F.max_by("_row", at).alias("_last"), F.sum("_new").alias("_sum"))
+    carried = (
+        blocks.withColumn("_before", F.lag("_last").over(outer))
+        .withColumn("_open", opened(F.col("_before"), F.col("_first")))
+        .withColumn("_carry", F.sum("_sum").over(outer.rowsBetween(Window.unboundedPreceding, -1))
+                    + F.sum("_open").over(outer.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter(F.col("_carry").isNotNull())
+        .select(*keys, "_block", "_carry")
+    )
+    return (
+        _stitch(local, carried, keys)
+        .withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0)) + 1)
+        .drop("_block", "_row", "_prev", "_new", "_carry")
+    )
+
+
 def position(df: DataFrame, keys, order, out: str, block: Column) -> DataFrame:
     """Add ``out``: 1-based position of the row within its key."""
     return running_total(df, keys, order, F.lit(1).cast("long"), out, block)

@@ -5,7 +5,7 @@ into long rows (kind, layout rank, row number, values).  What to keep of them, c
 headers down, resolving addresses and shaping the result are DataFrame expressions.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgerow.functions import dates
@@ -223,8 +223,9 @@ def extract_fields(extracted: DataFrame) -> DataFrame:
     replaces an earlier one.
     """
     rows = label_fields(extracted.filter("kind = 'field'"))
-    stop = rows.filter("field = 'address'").groupBy("page_id").agg(F.min("layout").alias("_stop"))
-    used = rows.join(stop, "page_id", "left").filter("_stop is null or layout <= _stop")
+    page = Window.partitionBy("page_id")  # all rows of a page come out of one HTML value
+    stop = F.min(F.when(F.col("field") == "address", F.col("layout"))).over(page)
+    used = rows.withColumn("_stop", stop).filter("_stop is null or layout <= _stop")
     order = F.struct("layout", "row_no")
     return used.groupBy("page_id").agg(*[
         F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, order))
@@ -237,17 +238,20 @@ def extract_fields(extracted: DataFrame) -> DataFrame:
 def document_rows(extracted: DataFrame) -> DataFrame:
     """Listed documents of every page, section headers carried down as document type.
 
-    Only the first layout that lists anything counts for a page.
+    Only the first layout that lists anything counts for a page.  All rows of a page come out of
+    one HTML value, so a window per page is bounded by it; one shuffle serves both windows.
     """
-    rows = extracted.filter("kind = 'document'")
-    carried = ordered.carry_forward(
-        rows.filter("layout = 1"), ["page_id"], ["row_no"], F.col("header"), "_section",
-        ordered.seq_block("row_no")).unionByName(
-        rows.filter("layout > 1").withColumn("_section", F.lit(None).cast("string")))
-    url = T.resolve_url(F.col("href"), F.col("url"))
-    listed = carried.withColumn("document_url", url).filter("document_url is not null")
-    first = listed.groupBy("page_id").agg(F.min("layout").alias("layout"))
-    return listed.join(first, ["page_id", "layout"]).select(
+    page = Window.partitionBy("page_id")
+    above = page.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    section = F.last(F.when(F.col("layout") == 1, F.col("header")), ignorenulls=True).over(above)
+    listed = (
+        extracted.filter("kind = 'document'")
+        .withColumn("document_url", T.resolve_url(F.col("href"), F.col("url")))
+        .withColumn("_section", F.when(F.col("layout") == 1, section))
+        .withColumn("_first", F.min(F.when(F.col("document_url").isNotNull(), F.col("layout"))).over(page))
+        .filter("document_url is not null and layout = _first")
+    )
+    return listed.select(
         "page_id", "layout", "row_no",
         T.url_document_id(F.col("document_url")).alias("document_id"),
         F.coalesce(T.filled(F.col("value")), F.lit(D.UNNAMED_DOCUMENT)).alias("description"),

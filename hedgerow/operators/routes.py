@@ -29,16 +29,12 @@ def routable(map_ways: DataFrame) -> DataFrame:
 
 def segments_from_ways(map_ways: DataFrame) -> DataFrame:
     """One segment per routable way, in extract order."""
-    tags, shape = F.col("tags"), F.col("geometry")
-    return routable(map_ways).select(
+    shape = F.col("geometry")
+    return routable(map_ways).select("route_id", "ord", "way_id", "geometry", *ways.pulled(F.col("tags"))).select(
         "route_id", F.col("ord").alias("seq"), "way_id",
-        ways.classify_provision(tags).alias("provision"),
-        ways.tag(tags, "highway", "unknown").alias("highway"),
-        ways.speed_limit(tags).alias("speed_limit"),
-        ways.surface(tags).alias("surface"),
-        ways.lit(tags).alias("lit"),
-        geo.way_length_m(shape).alias("distance_m"),
-        ways.tag(tags, "name", "Unnamed").alias("name"),
+        ways.provision().alias("provision"), ways.highway().alias("highway"),
+        ways.speed_limit().alias("speed_limit"), ways.surface().alias("surface"), ways.lit().alias("lit"),
+        geo.way_length_m(shape).alias("distance_m"), ways.name().alias("name"),
         F.lit(None).cast("string").alias("original_provision"),
         F.when(F.size(shape) >= 2, F.transform(shape, lambda p: F.array(p["lon"], p["lat"]))).alias("geometry"),
     )
@@ -51,34 +47,44 @@ def distinct_way_ids(edges: DataFrame) -> DataFrame:
 
 # --- upgrades by a parallel cycleway ----------------------------------------
 
-def _best_by_cell(candidates: DataFrame) -> DataFrame:
-    """Best candidate over the 59 one-degree cells around each cell (at most 180 rows a route)."""
+def _best_parallel(questions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Best candidate within 30 degrees for each question (route_id, angle), angles modulo 180.
+
+    The reach of an angle in one-degree cell q is 59 whole cells, q-29 to q+29, and parts of the
+    cells q-30 and q+30.  Everything meets on (route, q): whole cells bring their winner (at most
+    180 rows a route, entered 59 times), part cells are answered by running maxima over the sorted
+    positions within the cell, up to the exact angle.
+    """
+    def row(q, part, role, best, angle):
+        return F.struct(q.alias("q"), part.alias("part"), F.lit(role).alias("role"), best.alias("best"),
+                        angle.alias("angle"))
+
+    part = F.col("angle") - F.col("cell")
+    nothing, no_angle = F.lit(None).cast(candidates.schema["best"].dataType), F.lit(None).cast("double")
+    edges = F.array(
+        row(F.pmod(F.col("cell") - 30, F.lit(180)), part, 1, F.col("best"), no_angle),
+        row(F.pmod(F.col("cell") + 30, F.lit(180)), part, 2, F.col("best"), no_angle))
     cells = candidates.groupBy("route_id", "cell").agg(F.max("best").alias("best"))
-    near = F.explode(F.sequence(F.lit(-29), F.lit(29)))
-    return (
-        cells.select("route_id", "cell", "best", near.alias("step"))
-        .groupBy("route_id", F.pmod(F.col("cell") + F.col("step"), F.lit(180)).alias("cell"))
-        .agg(F.max("best").alias("inner_best"))
+    around = F.transform(F.sequence(F.lit(-29), F.lit(29)), lambda step: row(
+        F.pmod(F.col("cell") + step, F.lit(180)), no_angle, 3, F.col("best"), no_angle))
+    rows = (
+        questions.select("route_id", row(F.col("cell"), part, 0, nothing, F.col("angle")).alias("r"))
+        .unionByName(candidates.select("route_id", F.explode(edges).alias("r")))
+        .unionByName(cells.select("route_id", F.explode(around).alias("r")))
+        .select("route_id", "r.*")
     )
+    cell = Window.partitionBy("route_id", "q")
+    so_far = (Window.unboundedPreceding, 0)
+    # a candidate exactly on the edge is seen before the question: role 0 comes last
+    up = cell.orderBy(F.col("part").asc(), F.col("role").desc()).rowsBetween(*so_far)
+    down = cell.orderBy(F.col("part").desc(), F.col("role").desc()).rowsBetween(*so_far)
 
+    def held(role):
+        return F.when(F.col("role") == role, F.col("best"))
 
-def _best_at_edge(candidates: DataFrame, asked: DataFrame, step: int, out: str) -> DataFrame:
-    """Best candidate in the one cell the 30-degree reach ends in, up to the exact angle.
-
-    A running maximum over candidates and questions of one (route, cell), sorted by angle.
-    """
-    shift = F.pmod(F.col("cell") + step, F.lit(180))
-    edge = F.col("angle") - F.col("cell") + shift + 0.0
-    union = candidates.select("route_id", "cell", "angle", "best", F.lit(0).alias("ask"), F.lit(None).cast("double").alias("asked")).unionByName(
-        asked.select("route_id", shift.alias("cell"), edge.alias("angle"), F.lit(None).alias("best"),
-                     F.lit(1).alias("ask"), F.col("angle").alias("asked")))
-    # a candidate exactly on the edge counts: it is seen before the question
-    order = [F.col("angle").asc() if step > 0 else F.col("angle").desc(), F.col("ask")]
-    w = Window.partitionBy("route_id", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        union.withColumn("best", F.max("best").over(w)).filter("ask = 1")
-        .select("route_id", F.col("asked").alias("angle"), F.col("best").alias(out))
-    )
+    found = F.greatest(F.max(held(1)).over(up), F.max(held(2)).over(down), F.max(held(3)).over(cell))
+    return rows.withColumn("found", found).filter("role = 0 and found is not null").select(
+        "route_id", "angle", F.col("found").alias("best"))
 
 
 def upgrade_parallel(segments: DataFrame, map_ways: DataFrame) -> DataFrame:
@@ -87,50 +93,36 @@ def upgrade_parallel(segments: DataFrame, map_ways: DataFrame) -> DataFrame:
     A cycleway qualifies if it is not itself on the route and its bearing is within 30 degrees of
     the segment's way (either direction); it must rank strictly higher; the first of equals wins.
 
-    Only bearings modulo 180 matter, so segments are asked by angle.  The reach of an angle is 59
-    whole one-degree cells, answered from per-cell winners, and two part cells, answered by a
-    running maximum.  No segment is paired with a candidate.
+    Only bearings modulo 180 matter, so each distinct angle of a route is asked once and no segment
+    is paired with a candidate.
     """
-    tags = F.col("tags")
-    highway = ways.tag(tags, "highway")
+    highway = F.col("_tag_highway")
     angle = F.pmod(geo.way_bearing(F.col("geometry")), F.lit(180.0))
-    angles = map_ways.select("route_id", "ord", "way_id", "tags", angle.alias("angle"))
-    on_route = segments.select("route_id", "way_id").distinct()
-    rank = ways.provision_rank(F.col("provision"))
+    angles = map_ways.select("route_id", "ord", "way_id", angle.alias("angle"), F.size("geometry").alias("nodes"),
+                             *ways.pulled(F.col("tags")))
+    cell = F.floor("angle").cast("int").alias("cell")
+    # such ways are always segregated or shared use
     candidates = (
-        angles.filter((highway == "cycleway") | (highway.isin(*R.PARALLEL_PATHS)
-                      & ways.tag(tags, "bicycle").isin("designated", "yes")))
-        .filter("angle is not null")
-        .join(on_route, ["route_id", "way_id"], "left_anti")
-        .withColumn("provision", ways.classify_provision(tags))
-        .select("route_id", "angle", F.floor("angle").cast("int").alias("cell"),
-                F.struct(rank.alias("rank"), (-F.col("ord")).alias("order"), "provision").alias("best"))
-        .filter("best.rank > 0")
+        angles.filter("nodes >= 2").filter((highway == "cycleway") | (highway.isin(*R.PARALLEL_PATHS)
+                      & F.col("_tag_bicycle").isin("designated", "yes")))
+        .join(segments.select("route_id", "way_id").distinct(), ["route_id", "way_id"], "left_anti")
+        .select("route_id", "angle", (-F.col("ord")).alias("order"), ways.provision().alias("provision"))
         # copies of a bearing count once
-        .groupBy("route_id", "cell", "angle").agg(F.max("best").alias("best"))
+        .groupBy("route_id", cell, "angle")
+        .agg(F.max(F.struct(ways.provision_rank(F.col("provision")).alias("rank"), "order", "provision")).alias("best"))
     )
     # the first way of an id in the extract gives the segment's bearing
     first_angle = angles.groupBy("route_id", "way_id").agg(F.min_by("angle", "ord").alias("angle"))
     poor = F.col("provision").isin(*R.POOR_PROVISION) & ways.is_road(F.col("highway"))
-    asked = (
-        segments.filter(poor).select("route_id", "way_id").distinct()
-        .join(first_angle, ["route_id", "way_id"]).filter("angle is not null")
-    )
-    questions = asked.select("route_id", "angle", F.floor("angle").cast("int").alias("cell")).distinct()
-    answers = (
-        questions.join(_best_by_cell(candidates), ["route_id", "cell"], "left")
-        .join(_best_at_edge(candidates, questions, 30, "edge_best_up"), ["route_id", "angle"], "left")
-        .join(_best_at_edge(candidates, questions, -30, "edge_best_down"), ["route_id", "angle"], "left")
-        .select("route_id", "angle", F.greatest("inner_best", "edge_best_up", "edge_best_down").alias("best"))
-        .filter("best is not null")
-    )
+    asked = segments.filter(poor).select("route_id", "way_id").distinct().join(first_angle, ["route_id", "way_id"])
+    answers = _best_parallel(
+        asked.filter("angle is not null").select("route_id", "angle", cell).distinct(), candidates)
     found = asked.join(answers, ["route_id", "angle"]).select("route_id", "way_id", "best")
-    better = poor & (F.col("best.rank") > rank)
+    better = poor & (F.col("best.rank") > ways.provision_rank(F.col("provision")))
     return (
         segments.join(found, ["route_id", "way_id"], "left")
         .withColumn("original_provision", F.when(better, F.col("provision")).otherwise(F.col("original_provision")))
         .withColumn("provision", F.when(better, F.col("best.provision")).otherwise(F.col("provision")))
-        .drop("best")
         .select(*segments.columns)
     )
 
@@ -139,12 +131,9 @@ def upgrade_parallel(segments: DataFrame, map_ways: DataFrame) -> DataFrame:
 
 def number_runs(segments: DataFrame) -> DataFrame:
     """Add ``run``: consecutive segments alike in all of the six properties share a number."""
-    key = F.struct(*SEGMENT_KEY)
-    block = ordered.seq_block("seq")
-    marked = ordered.with_neighbours(segments, ["route_id"], ["seq"], list(SEGMENT_KEY), block)
-    change = F.when(F.col("prev").isNull() | ~key.eqNullSafe(F.col("prev")), 1).otherwise(0)
-    return ordered.running_total(
-        marked.drop("next"), ["route_id"], ["seq"], change, "run", block).drop("prev")
+    return ordered.islands(
+        segments, ["route_id"], ["seq"], SEGMENT_KEY, lambda before, row: ~row.eqNullSafe(before),
+        "run", ordered.seq_block("seq"))
 
 
 def merge_runs(segments: DataFrame, cfg: R.ScoringConfig = R.DEFAULT_SCORING) -> DataFrame:
@@ -210,25 +199,36 @@ def priority_routes(map_nodes: DataFrame) -> DataFrame:
     return map_nodes.filter(kind.isin(*R.PRIORITY_CROSSINGS)).select("route_id").distinct()
 
 
+def _is_crossing() -> Column:
+    """Does the segment and the next one change between an off-road path and a road?"""
+    a_off, a_road = ways.is_off_road(F.col("provision")), ways.is_road(F.col("highway"))
+    b_off, b_road = ways.is_off_road(F.col("next.provision")), ways.is_road(F.col("next.highway"))
+    return F.coalesce(F.col("next").isNotNull() & ((a_off & b_road) | (a_road & b_off)), F.lit(False))
+
+
+def _crossing_speed() -> Column:
+    return F.when(ways.is_road(F.col("next.highway")), F.col("next.speed_limit")).otherwise(F.col("speed_limit"))
+
+
+def _is_side_change() -> Column:
+    return F.coalesce(ways.is_off_road(F.col("prev.provision")) & ways.is_road(F.col("highway"))
+                      & ways.is_off_road(F.col("next.provision")), F.lit(False))
+
+
 def non_priority_crossings(segments: DataFrame, map_nodes: DataFrame = None) -> DataFrame:
     """Where a route changes between an off-road path and a road without a priority crossing.
 
     One priority crossing anywhere on the route clears the whole route.
     """
-    a_off, a_road = ways.is_off_road(F.col("provision")), ways.is_road(F.col("highway"))
-    b_off, b_road = ways.is_off_road(F.col("next.provision")), ways.is_road(F.col("next.highway"))
+    b_road = ways.is_road(F.col("next.highway"))
     here = F.try_element_at("geometry", F.lit(-1))
     spot = F.coalesce(F.when(F.size("geometry") > 0, here), F.col("next.start"))
-    found = (
-        _transitions(segments)
-        .filter(F.col("next").isNotNull() & ((a_off & b_road) | (a_road & b_off)))
-        .select(
-            "route_id", "seq",
-            F.when(b_road, F.col("next.name")).otherwise(F.col("name")).alias("road_name"),
-            F.when(b_road, F.col("next.speed_limit")).otherwise(F.col("speed_limit")).alias("road_speed_limit"),
-            F.try_element_at(spot, F.lit(2)).alias("lat"),
-            F.try_element_at(spot, F.lit(1)).alias("lon"),
-        )
+    found = _transitions(segments).filter(_is_crossing()).select(
+        "route_id", "seq",
+        F.when(b_road, F.col("next.name")).otherwise(F.col("name")).alias("road_name"),
+        _crossing_speed().alias("road_speed_limit"),
+        F.try_element_at(spot, F.lit(2)).alias("lat"),
+        F.try_element_at(spot, F.lit(1)).alias("lon"),
     )
     if map_nodes is None:
         return found
@@ -237,12 +237,8 @@ def non_priority_crossings(segments: DataFrame, map_nodes: DataFrame = None) ->
 
 def side_changes(segments: DataFrame) -> DataFrame:
     """Road segments between two off-road ones."""
-    return (
-        _transitions(segments)
-        .filter(ways.is_off_road(F.col("prev.provision")) & ways.is_road(F.col("highway"))
-                & ways.is_off_road(F.col("next.provision")))
-        .select("route_id", "seq", F.col("name").alias("road_name"))
-    )
+    return _transitions(segments).filter(_is_side_change()).select(
+        "route_id", "seq", F.col("name").alias("road_name"))
 
 
 def barrier_nodes(map_nodes: DataFrame) -> DataFrame:
@@ -252,13 +248,12 @@ def barrier_nodes(map_nodes: DataFrame) -> DataFrame:
         F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lon", F.lit(0.0)).alias("lon"))
 
 
-def _islands(df: DataFrame, keys, axis: str, gap: Column, out: str, cell: float) -> DataFrame:
-    """Number stretches of an axis that are more than ``gap`` apart (a safe over-estimate of 5 m)."""
-    block = F.floor(F.col(axis) / cell)
-    order = [axis, "ord"]
-    near = ordered.with_neighbours(df, keys, order, [axis], block).drop("next")
-    change = F.when(F.col("prev").isNull() | (F.col(axis) - F.col(f"prev.{axis}") > gap), 1).otherwise(0)
-    return ordered.running_total(near, keys, order, change, out, block).drop("prev")
+def _islands(df: DataFrame, keys, axis: str, reach: Column, out: str, cell: float) -> DataFrame:
+    """Number stretches of an axis more than ``reach`` (per row, a safe over-estimate of 5 m) apart."""
+    return ordered.islands(
+        df.withColumn("_reach", reach), keys, [axis, "ord"], [axis, "_reach"],
+        lambda before, row: row[axis] - before[axis] > row["_reach"],
+        out, F.floor(F.col(axis) / cell)).drop("_reach")
 
 
 def dedupe_barriers(barriers: DataFrame) -> DataFrame:
@@ -276,61 +271,96 @@ def dedupe_barriers(barriers: DataFrame) -> DataFrame:
     metre = 1 / 111_000  # degrees of latitude, rounded up
     rows = _islands(spots, ["route_id"], "lat", F.lit(6 * metre), "lat_island", 0.01)
     widest = F.when(F.abs("lat") < 89, 6 * metre / F.cos(F.radians("lat"))).otherwise(360.0)
-    rows = rows.withColumn("_reach", widest)
-    rows = _islands(rows, ["route_id", "lat_island"], "lon", 2 * F.col("_reach"), "lon_island", 0.01)
+    rows = _islands(rows, ["route_id", "lat_island"], "lon", 2 * widest, "lon_island", 0.01)
     kept_schema = "route_id " + dict(barriers.dtypes)["route_id"] + (
         ", ord bigint, node_id bigint, barrier_type string, lat double, lon double")
+    island = ["route_id", "lat_island", "lon_island"]
     return (
-        rows.select("route_id", "lat_island", "lon_island", F.col("ord").cast("long"),
-                    F.col("node_id").cast("long"), "barrier_type", "lat", "lon")
-        .groupBy("route_id", "lat_island", "lon_island")
-        .applyInPandas(_walk_island, kept_schema)
+        rows.select(*island, F.col("ord").cast("long"), F.col("node_id").cast("long"), "barrier_type", "lat", "lon")
+        .repartition(*island).sortWithinPartitions(*island, "ord")
+        .mapInPandas(_walk_islands, kept_schema)
     )
 
 
-def _walk_island(pdf):
-    """Greedy walk in extract order; only kept barriers of the 5 m cells around are compared."""
+def _walk_islands(batches):
+    """Greedy walk of each island in extract order, over a stream sorted by island.
+
+    The last island of a batch may go on in the next one, so what was kept of it is remembered
+    (kept barriers are 5 m apart, so an island's share stays small).
+    """
     import numpy as np
 
-    pdf = pdf.sort_values("ord", kind="stable")
-    if len(pdf) > 1:
-        lat, lon = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-        step = np.radians(6 / 111_000)
-        rows = np.floor(lat / step).astype("int64")
-        cells = {}
-        keep = np.zeros(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            near = [j for d in (-1, 0, 1) for j in cells.get(rows[i] + d, ())]
+    step = np.radians(6 / 111_000)
+    at, strips = None, {}
+    for batch in batches:
+        keys = list(zip(batch["route_id"], batch["lat_island"], batch["lon_island"]))
+        lat, lon = np.radians(batch["lat"].to_numpy()), np.radians(batch["lon"].to_numpy())
+        strip = np.floor(lat / step).astype("int64").tolist()
+        keep = np.ones(len(batch), dtype=bool)
+        for i, key in enumerate(keys):
+            if key != at:
+                at, strips = key, {}
+            near = [p for d in (-1, 0, 1) for p in strips.get(strip[i] + d, ())]
             if near:
-                dphi, dlam = lat[near] - lat[i], lon[near] - lon[i]
-                a = np.sin(dphi / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[near]) * np.sin(dlam / 2) ** 2
-                if (2 * R.EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) < R.BARRIER_SPACING_M).any():
+                spots = np.array(near)
+                dphi, dlam = spots[:, 0] - lat[i], spots[:, 1] - lon[i]
+                a = np.sin(dphi / 2) ** 2 + np.cos(lat[i]) * np.cos(spots[:, 0]) * np.sin(dlam / 2) ** 2
+                away = 2 * R.EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+                if (away < R.BARRIER_SPACING_M).any():
+                    keep[i] = False
                     continue
-            keep[i] = True
-            cells.setdefault(rows[i], []).append(i)
-        pdf = pdf[keep]
-    return pdf[["route_id", "ord", "node_id", "barrier_type", "lat", "lon"]]
-
-
-def transition_summary(routes: DataFrame, barriers: DataFrame, crossings: DataFrame,
-                       changes: DataFrame, segments: DataFrame,
-                       cfg: R.ScoringConfig = R.DEFAULT_SCORING) -> DataFrame:
-    """Per route: counts of each kind, upgraded segments, the penalty and the directness note."""
-    fast = F.coalesce("road_speed_limit", F.lit(30)) >= 30
-    parts = [
-        barriers.groupBy("route_id").agg(F.count("*").alias("barrier_count")),
-        crossings.groupBy("route_id").agg(
-            F.count("*").alias("non_priority_crossing_count"), F.count_if(fast).alias("fast_crossing_count")),
-        changes.groupBy("route_id").agg(F.count("*").alias("side_change_count")),
-        segments.groupBy("route_id").agg(F.count("original_provision").alias("parallel_upgrades")),
+            strips.setdefault(strip[i], []).append((lat[i], lon[i]))
+        yield batch.loc[keep, ["route_id", "ord", "node_id", "barrier_type", "lat", "lon"]]
+
+
+_COUNTS = ("barrier_count", "non_priority_crossing_count", "fast_crossing_count", "side_change_count",
+           "parallel_upgrades")
+
+
+def _transition_counts():
+    crossing, fast = _is_crossing(), F.coalesce(_crossing_speed(), F.lit(30)) >= 30
+    return [
+        F.count_if(crossing).alias("non_priority_crossing_count"),
+        F.count_if(crossing & fast).alias("fast_crossing_count"),
+        F.count_if(_is_side_change()).alias("side_change_count"),
+        F.count("original_provision").alias("parallel_upgrades"),
     ]
-    joined = reduce(lambda a, b: a.join(b, "route_id", "left"), parts, routes.select("route_id"))
-    counts = ["barrier_count", "non_priority_crossing_count", "fast_crossing_count",
-              "side_change_count", "parallel_upgrades"]
-    return joined.fillna(0, counts).withColumn(
+
+
+def _around(segments: DataFrame) -> DataFrame:
+    """Segments with just what the counts need of their neighbours."""
+    return ordered.with_neighbours(
+        segments.drop("geometry"), ["route_id"], ["seq"], ["provision", "highway", "speed_limit"],
+        ordered.seq_block("seq"))
+
+
+def _with_barriers(counts: DataFrame, barriers: DataFrame, map_nodes: DataFrame) -> DataFrame:
+    """Add barrier counts, clear crossings of routes with a priority crossing, fill gaps with 0."""
+    if barriers is not None:
+        per = barriers.groupBy("route_id").agg(F.count("*").alias("barrier_count"))
+        counts = counts.join(per, "route_id", "left")
+    else:
+        counts = counts.withColumn("barrier_count", F.lit(0).cast("long"))
+    if map_nodes is not None:
+        clear = priority_routes(map_nodes).withColumn("_clear", F.lit(True))
+        counts = counts.join(clear, "route_id", "left")
+        for c in ("non_priority_crossing_count", "fast_crossing_count"):
+            counts = counts.withColumn(c, F.when(F.col("_clear"), 0).otherwise(F.col(c)))
+        counts = counts.drop("_clear")
+    return counts.fillna(0, list(_COUNTS)).withColumn(
         "directness_differential", F.when(F.col("parallel_upgrades") > 0, 1.0))
 
 
+def transition_summary(routes: DataFrame, segments: DataFrame, barriers: DataFrame = None,
+                       map_nodes: DataFrame = None) -> DataFrame:
+    """Per route: barriers, crossings (all, fast), side changes, upgrades and the directness note.
+
+    ``barriers`` are the deduplicated ones.  One pass over the segments with their neighbours.
+    """
+    per = _around(segments).groupBy("route_id").agg(*_transition_counts())
+    return _with_barriers(routes.select("route_id").join(per, "route_id", "left"), barriers, map_nodes)
+
+
 # --- scores -----------------------------------------------------------------
 
 def summarise_provision(segments: DataFrame) -> DataFrame:
@@ -357,28 +387,22 @@ def _steps(value: Column, steps, points: float, rest: float) -> Column:
     return chain.otherwise(rest)
 
 
-def score_routes(segments: DataFrame, routes: DataFrame, transitions: DataFrame = None,
-                 cfg: R.ScoringConfig = R.DEFAULT_SCORING) -> DataFrame:
-    """Score every route 0-100 with rating and breakdown.
-
-    ``routes(route_id, cycling_distance_m, shortest_distance_m)``; ``transitions`` is the result of
-    ``transition_summary`` (column ``unavailable`` optional).  Distances are summed per class and
-    weighted afterwards: one pass of conditional sums, combined before the shuffle.
-    """
-    d = F.col("distance_m")
+def _score_sums(cfg: R.ScoringConfig):
+    """Conditional sums of metres per class: all a score needs of a route's segments."""
+    d, speed = F.col("distance_m"), F.col("speed_limit")
 
     def metres(cond):
         return F.coalesce(F.sum(F.when(cond, d)), F.lit(0.0))
 
     exposed = F.col("provision").isin("none", "advisory_lane")
     kind = ways.surface_class(F.col("surface"))
-    speed, steps = F.col("speed_limit"), cfg.speed_steps
     bands, lower = [], None
-    for i, (upper, _) in enumerate(steps):
+    for i, (upper, _) in enumerate(cfg.speed_steps):
         inside = exposed & (speed <= upper) & (F.lit(True) if lower is None else (speed > lower))
         bands.append(metres(inside).alias(f"_band{i}"))
         lower = upper
-    sums = segments.groupBy("route_id").agg(
+    return [
+        F.count("*").alias("segment_count"),
         F.coalesce(F.sum(d), F.lit(0.0)).alias("_total"),
         metres(F.col("provision") == "segregated").alias("_segregated"),
         metres(F.col("provision") == "shared_use").alias("_shared"),
@@ -387,17 +411,17 @@ def score_routes(segments: DataFrame, routes: DataFrame, transitions: DataFrame
         *bands,
         *[metres(kind == k).alias(f"_{k}") for k in ("good", "fair", "unknown", "poor")],
         F.count_if(ways.is_hostile(F.col("provision"), F.col("highway"), speed, cfg)).alias("hostile_junctions"),
-    )
-    df = routes.join(sums, "route_id", "left")
-    total = F.coalesce("_total", F.lit(0.0))
-    if transitions is not None:
-        df = df.join(transitions, "route_id", "left")
+    ]
 
+
+def _score(df: DataFrame, with_transitions: bool, cfg: R.ScoringConfig) -> DataFrame:
+    """Replace the sums of ``_score_sums`` by score, rating, breakdown and note."""
+    total = F.coalesce("_total", F.lit(0.0))
     weighted = (F.col("_segregated") * cfg.segregated + F.col("_shared") * cfg.shared_use
                 + F.col("_lane") * cfg.on_road_lane)
     segregation = F.when(total == 0, 0.0).otherwise(
         round_half_even(weighted / F.col("_total") * cfg.segregation_points, 1))
-    slowed = reduce(lambda a, b: a + b, [F.col(f"_band{i}") * share for i, (_, share) in enumerate(steps)])
+    slowed = reduce(lambda a, b: a + b, [F.col(f"_band{i}") * share for i, (_, share) in enumerate(cfg.speed_steps)])
     speed_score = F.when(F.coalesce("_exposed", F.lit(0.0)) == 0, float(cfg.speed_points)).otherwise(
         round_half_even(slowed / F.col("_exposed") * cfg.speed_points, 1))
     smooth = (F.col("_good") * cfg.surface_good + F.col("_fair") * cfg.surface_fair
@@ -409,7 +433,7 @@ def score_routes(segments: DataFrame, routes: DataFrame, transitions: DataFrame
         _steps(ratio, cfg.directness_steps, cfg.directness_points, cfg.directness_points * cfg.directness_rest))
     junctions = _steps(F.coalesce("hostile_junctions", F.lit(0)), cfg.junction_steps, cfg.junction_points, 0.0)
     neutral = F.lit(cfg.transition_points / 2)
-    if transitions is None:
+    if not with_transitions:
         transition = neutral
     else:
         slow = F.col("non_priority_crossing_count") - F.col("fast_crossing_count")
@@ -419,26 +443,40 @@ def score_routes(segments: DataFrame, routes: DataFrame, transitions: DataFrame
                    + F.col("side_change_count") * cfg.side_change_penalty)
         known = F.greatest(F.lit(0.0), cfg.transition_points - penalty)
         missing = penalty.isNull()
-        if "unavailable" in transitions.columns:
+        if "unavailable" in df.columns:
             missing = missing | F.coalesce("unavailable", F.lit(False))
         transition = F.when(missing, neutral).otherwise(round_half_even(known, 1))
 
     names = ("segregation", "speed_safety", "surface_quality", "directness", "junction_safety", "transition_quality")
     scores = (segregation, speed_score, surface_score, directness, junctions, transition)
-    df = df.select(*routes.columns, *[s.cast("double").alias(n) for n, s in zip(names, scores)],
-                   F.coalesce("hostile_junctions", F.lit(0)).alias("hostile_junctions"))
-    raw = reduce(lambda a, b: a + b, [F.col(n) for n in names])
-    score = F.greatest(F.lit(0), F.least(F.lit(100), round_to_long(raw)))
+    kept = [c for c in df.columns if not c.startswith("_") and c not in ("hostile_junctions", "segment_count")]
+    df = df.select(*kept, *[s.cast("double").alias(f"_{n}") for n, s in zip(names, scores)],
+                   *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hostile_junctions", "segment_count")])
+    raw = reduce(lambda a, b: a + b, [F.col(f"_{n}") for n in names])
     return (
-        df.withColumn("score", score)
+        df.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), round_to_long(raw))))
         .withColumn("rating", F.when(F.col("score") >= cfg.green_from, "green")
                     .when(F.col("score") >= cfg.amber_from, "amber").otherwise("red"))
-        .withColumn("breakdown", F.struct(*[round_half_even(F.col(n), 1).alias(n) for n in names]))
+        .withColumn("breakdown", F.struct(*[round_half_even(F.col(f"_{n}"), 1).alias(n) for n in names]))
         .withColumn("short_route_note", F.when(F.col("cycling_distance_m") < cfg.short_route_m, R.SHORT_ROUTE_NOTE))
-        .drop(*names)
+        .drop(*[f"_{n}" for n in names])
     )
 
 
+def score_routes(segments: DataFrame, routes: DataFrame, transitions: DataFrame = None,
+                 cfg: R.ScoringConfig = R.DEFAULT_SCORING) -> DataFrame:
+    """Score every route 0-100 with rating and breakdown.
+
+    ``routes(route_id, cycling_distance_m, shortest_distance_m)``; ``transitions`` is the result of
+    ``transition_summary`` (column ``unavailable`` optional).  Distances are summed per class and
+    weighted afterwards: one pass of conditional sums, combined before the shuffle.
+    """
+    df = routes.join(segments.groupBy("route_id").agg(*_score_sums(cfg)), "route_id", "left")
+    if transitions is not None:
+        df = df.join(transitions, "route_id", "left")
+    return _score(df, transitions is not None, cfg)
+
+
 def max_points(cfg: R.ScoringConfig = R.DEFAULT_SCORING) -> Column:
     """Constant struct of the points each part of the score can give."""
     return F.struct(
@@ -529,39 +567,51 @@ def top_issues(issues: DataFrame, k: int = 5) -> DataFrame:
 
 # --- polylines and places ---------------------------------------------------
 
-def sample_points(points: Column) -> Column:
-    """Every (n div 50)-th point and the last one if its place is not among them."""
-    step = F.greatest(F.lit(1), F.floor(F.size(points) / R.SAMPLE_POINTS).cast("int"))
-    picked = F.filter(points, lambda p, i: i % step == 0)
-    last = F.try_element_at(points, F.lit(-1))
-    return F.when(F.array_contains(picked, last), picked).otherwise(F.concat(picked, F.array(last)))
+def sample_points(points: DataFrame) -> DataFrame:
+    """Every (n div 50)-th point of each route and the last one if its place is not among them.
+
+    ``points(route_id, idx, lat, lon)`` with ``idx`` counting from 0.  Rows are filtered in place;
+    only a count per route and the last point of each route are shuffled.
+    """
+    sizes = points.groupBy("route_id").agg(
+        F.count("*").alias("n"), F.max_by(F.struct("idx", "lat", "lon"), "idx").alias("last"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / R.SAMPLE_POINTS))
+    picked = points.join(sizes.select("route_id", "n"), "route_id").filter(F.col("idx") % step == 0).drop("n")
+    last = sizes.select("route_id", "last.*").join(picked, ["route_id", "lat", "lon"], "left_anti")
+    columns = ["route_id", "idx", "lat", "lon"]
+    return picked.select(*columns).unionByName(last.select(*columns))
 
 
 def decode_shapes(routes: DataFrame, precision: int = 6) -> DataFrame:
     """Add ``points``: the encoded ``shape`` as an array of [lon, lat]; empty without a shape."""
-    import pandas as pd
+    import pyarrow as pa
 
-    @F.pandas_udf("array<array<double>>")
-    def decode(shapes: pd.Series) -> pd.Series:
-        return shapes.map(lambda s: _decode(s, 10.0**precision))
+    @F.arrow_udf("array<array<double>>")
+    def decode(shapes: pa.Array) -> pa.Array:
+        return _decode(shapes.to_pylist(), 10.0**precision)
 
     return routes.withColumn("points", decode("shape"))
 
 
-def _decode(shape, factor):
-    """Undo the delta encoding: 5-bit groups, low group first, sign in the lowest bit."""
+def _decode(shapes, factor):
+    """Undo the delta encoding of a whole batch: 5-bit groups, low group first, sign in the lowest bit."""
     import numpy as np
-
-    if not shape:
-        return []
-    digits = np.frombuffer(shape.encode("ascii"), dtype=np.uint8).astype(np.int64) - 63
-    last = digits < 32
-    starts = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
-    place = np.arange(len(digits)) - np.repeat(starts, np.diff(np.append(starts, len(digits))))
-    values = np.add.reduceat((digits & 31) << (5 * place), starts)
-    deltas = np.where(values & 1, ~(values >> 1), values >> 1)
-    lat, lon = np.cumsum(deltas[0::2]), np.cumsum(deltas[1::2])
-    return np.stack([lon / factor, lat / factor], axis=1).tolist()
+    import pyarrow as pa
+
+    digits = np.frombuffer("".join(s or "" for s in shapes).encode("ascii"), dtype=np.uint8).astype(np.int64) - 63
+    ends = np.flatnonzero(digits < 32)
+    starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64) if len(ends) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(digits)) - np.repeat(starts, ends + 1 - starts)
+    values = np.add.reduceat((digits & 31) << (5 * place), starts) if len(starts) else starts
+    totals = np.stack([np.where(values & 1, ~(values >> 1), values >> 1)[k::2] for k in (1, 0)], axis=1).cumsum(axis=0)
+    # points per shape: its share of the numbers, halved; sums start afresh with every shape
+    edges = np.concatenate(([0], np.cumsum([len(s or "") for s in shapes])))
+    bounds = np.searchsorted(ends, edges) // 2
+    before = np.concatenate((np.zeros((1, 2), dtype=totals.dtype), totals))[bounds[:-1]]
+    points = (totals - np.repeat(before, np.diff(bounds), axis=0)) / factor
+    pairs = pa.ListArray.from_arrays(
+        pa.array(np.arange(len(points) + 1) * 2, pa.int32()), pa.array(points.reshape(-1), pa.float64()))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)
 
 
 def route_points(decoded: DataFrame) -> DataFrame:
@@ -641,25 +691,21 @@ def route_assessment(routes: DataFrame, segments: DataFrame, map_ways: DataFrame
 
     ``routes(route_id, cycling_distance_m, duration_s, shortest_distance_m)``.  A route without
     segments gets score 0, rating red and no issues.
+
+    Everything counted on segments comes from one aggregation per route (over segments with their
+    neighbours); only issues, which are per road name, need a second one.
     """
     if map_ways is not None:
         segments = upgrade_parallel(segments, map_ways)
-    crossings = non_priority_crossings(segments, map_nodes)
-    spark = routes.sparkSession
-    if map_nodes is None:
-        barriers = spark.createDataFrame([], "route_id " + dict(routes.dtypes)["route_id"])
-    else:
-        barriers = dedupe_barriers(barrier_nodes(map_nodes))
-    summary = transition_summary(routes, barriers, crossings, side_changes(segments), segments, cfg)
-    scored = score_routes(segments, routes, summary, cfg)
+    per_route = _around(segments).groupBy("route_id").agg(*_score_sums(cfg), *_transition_counts())
+    barriers = None if map_nodes is None else dedupe_barriers(barrier_nodes(map_nodes))
+    facts = _with_barriers(routes.join(per_route, "route_id", "left"), barriers, map_nodes)
     issues = severity_counts(identify_issues(segments))
-    present = segments.groupBy("route_id").agg(F.count("*").alias("segment_count"))
-    counts = ["segment_count", "high_count", "medium_count", "low_count"]
     ride, short = F.col("cycling_distance_m"), F.col("shortest_distance_m")
     held = F.col("segment_count") > 0
     return (
-        scored.join(summary, "route_id").join(issues, "route_id", "left").join(present, "route_id", "left")
-        .fillna(0, counts)
+        _score(facts, True, cfg).join(issues, "route_id", "left")
+        .fillna(0, ["high_count", "medium_count", "low_count"])
         .withColumn("distance_m", round_to_long(ride))
         .withColumn("duration_minutes", round_half_even(F.col("duration_s") / 60, 1))
         .withColumn("shortest_route_distance_m", round_to_long(short))

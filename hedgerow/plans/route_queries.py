@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hedgerow.functions import geo, ways
-from hedgerow.operators import geojson, routes
+from hedgerow.operators import geojson, ordered, routes
 from hedgerow.plans.catalog import half_even, listed, query
 from hedgerow.plans.inputs import load, map_ways, segments, table, way_id, way_order, with_clause
 from hedgerow.rules import routes as R
@@ -120,10 +120,10 @@ def upgrade_parallel(spark, sf):
     w = rows.select(
         supplier.alias("route_id"), (F.col("route_id") * 8 + line).alias("ord"),
         (part * 10 + F.col("route_id") % 10).alias("way_id"), "tags", "geometry", part.alias("part"))
-    on_route = w.filter("part % 2 = 0")
+    on_route = w.filter("part % 2 = 0").select("route_id", "ord", "way_id", *ways.pulled(F.col("tags")))
     s = on_route.groupBy("route_id", "way_id").agg(
-        F.min("ord").alias("seq"), F.min_by(ways.classify_provision(F.col("tags")), "ord").alias("provision"),
-        F.min_by(ways.tag(F.col("tags"), "highway", "unknown"), "ord").alias("highway")).withColumn(
+        F.min("ord").alias("seq"), F.min_by(ways.provision(), "ord").alias("provision"),
+        F.min_by(ways.highway(), "ord").alias("highway")).withColumn(
         "original_provision", F.lit(None).cast("string"))
     # a segment's bearing is that of its way's first entry
     found = routes.upgrade_parallel(s, w.drop("part"))
@@ -270,12 +270,7 @@ def route_score(spark, sf):
     "greatest(0e0, 10 - (c.fast * 1.5e0 + (c.crossings - c.fast) * 0.5e0 + c.changes * 1e0))"))
 def route_score_with_transitions(spark, sf):
     s, r = segments(spark, sf), load(spark, sf, "routes")
-    return _score_columns(routes.score_routes(s, r, _summary(spark, s, r)))
-
-
-def _summary(spark, s, r):
-    barriers = spark.createDataFrame([], "route_id long")
-    return routes.transition_summary(r, barriers, routes.non_priority_crossings(s), routes.side_changes(s), s)
+    return _score_columns(routes.score_routes(s, r, routes.transition_summary(r, s)))
 
 
 # --- transitions ------------------------------------------------------------
@@ -304,8 +299,8 @@ def side_changes(spark, sf):
     SELECT route_id, 0 AS barrier_count, crossings AS non_priority_crossing_count, fast AS fast_crossing_count,
            changes AS side_change_count, 0 AS parallel_upgrades FROM counts""")
 def transition_summary(spark, sf):
-    s = segments(spark, sf)
-    return _summary(spark, s, load(spark, sf, "routes")).drop("directness_differential")
+    found = routes.transition_summary(load(spark, sf, "routes"), segments(spark, sf))
+    return found.drop("directness_differential")
 
 
 @query("barrier_dedupe")
@@ -463,12 +458,10 @@ def list_destinations(spark, sf):
 
 def _sampled(spark, sf):
     """Route points of each supplier: its parts in order, every (n div 50)-th kept."""
-    legs = load(spark, sf, "legs")
-    points = legs.groupBy(F.col("l_suppkey").alias("route_id")).agg(F.array_sort(F.collect_set(
-        F.struct("l_partkey", "lat2", "lon2"))).alias("p"))
-    kept = routes.sample_points(F.transform("p", lambda s: F.array(s["lon2"], s["lat2"])))
-    return points.select("route_id", F.size("p").alias("points"), F.explode(kept).alias("k")).select(
-        "route_id", "points", F.col("k")[1].alias("lat"), F.col("k")[0].alias("lon"))
+    points = load(spark, sf, "legs").select(
+        F.col("l_suppkey").alias("route_id"), "l_partkey", F.col("lat2").alias("lat"), F.col("lon2").alias("lon")).distinct()
+    numbered = ordered.position(points, ["route_id"], ["l_partkey"], "idx", ordered.seq_block("l_partkey", 4096))
+    return routes.sample_points(numbered.select("route_id", (F.col("idx") - 1).alias("idx"), "lat", "lon"))
 
 
 _SAMPLED = with_clause("legs") + """, pts AS (SELECT DISTINCT l_suppkey AS route_id, l_partkey, lat2 AS lat, lon2 AS lon FROM legs),
@@ -481,9 +474,9 @@ _SAMPLED = with_clause("legs") + """, pts AS (SELECT DISTINCT l_suppkey AS route
 
 
 @query("sample_points", _SAMPLED + """
-    SELECT route_id, CAST(n AS INT) AS points, count(*) AS kept, round(sum(lat), 6) AS lat_sum FROM kept GROUP BY route_id, n""")
+    SELECT route_id, count(*) AS kept, round(sum(lat), 6) AS lat_sum FROM kept GROUP BY route_id""")
 def sample_points(spark, sf):
-    return _sampled(spark, sf).groupBy("route_id", "points").agg(
+    return _sampled(spark, sf).groupBy("route_id").agg(
         F.count("*").alias("kept"), F.round(F.sum("lat"), 6).alias("lat_sum"))
 
 
