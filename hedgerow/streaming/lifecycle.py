@@ -11,11 +11,18 @@ OUT = "application_ref {key}, review_id {review}, " + FIELDS + ", outcome string
 
 
 class JobBook:
-    """Jobs of one application; knows which one is queued or running."""
+    """Jobs of one application, looked up one at a time, and which one is queued or running."""
 
-    def __init__(self, jobs=None):
-        self.jobs = dict(jobs or {})
-        self.active = next((r for r, j in self.jobs.items() if j[0] in R.ACTIVE_STATUSES), None)
+    def __init__(self, lookup=None, active=None):
+        self.jobs, self.lookup, self.active = {}, lookup, active
+
+    def get(self, review):
+        """(status, created, started, completed) of a job, or None."""
+        if review not in self.jobs and self.lookup is not None:
+            held = self.lookup(review)
+            if held is not None:
+                self.jobs[review] = held
+        return self.jobs.get(review)
 
     def apply(self, review, event, micros, force):
         """Rows (review, status, created, started, completed, outcome) the event causes."""
@@ -31,13 +38,13 @@ class JobBook:
             self.jobs[review] = ("queued", micros, None, None)
             self.active = review
             return rows + [(review, *self.jobs[review], "accepted")]
-        if review not in self.jobs:
+        if self.get(review) is None:
             return [(review, event, None, None, None, "unknown")]
         self._set(review, event, micros)
         return [(review, *self.jobs[review], "updated")]
 
     def _set(self, review, status, micros):
-        _, created, started, completed = self.jobs[review]
+        _, created, started, completed = self.get(review)
         if status == "processing":
             started = micros if started is None else started
         else:
@@ -54,20 +61,33 @@ class _Lifecycle(StatefulProcessor):
         self.ttl_ms, self.review_type = ttl_days * 86_400_000, review_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        # times that are not known yet are stored as -1
         self.state = handle.getMapState("jobs", f"review_id {self.review_type}", FIELDS, self.ttl_ms)
+        self.active = handle.getValueState("active", f"review_id {self.review_type}", self.ttl_ms)
+
+    def _lookup(self, review):
+        if not self.state.containsKey((review,)):
+            return None
+        status, *times = self.state.getValue((review,))
+        return (status, *(None if t < 0 else t for t in times))
 
     def handleInputRows(self, key, rows, timer_values):
         import pandas as pd
 
-        book = JobBook({k[0]: tuple(v) for k, v in self.state.iterator()})
         batch = pd.concat(list(rows)).sort_values(["micros", "event_id"])
+        book = JobBook(self._lookup, self.active.get()[0] if self.active.exists() else None)
         out, touched = [], set()
         for review, event, micros, force in zip(batch["review_id"], batch["event"], batch["micros"], batch["force"]):
             for row in book.apply(review, event, int(micros), bool(force)):
                 out.append((key[0], *row))
                 touched.add(row[0])
         for review in touched & set(book.jobs):
-            self.state.updateValue((review,), book.jobs[review])
+            status, *times = book.jobs[review]
+            self.state.updateValue((review,), (status, *(-1 if t is None else t for t in times)))
+        if book.active is None:
+            self.active.clear()
+        else:
+            self.active.update((book.active,))
         yield _frame(out)
 
     def close(self) -> None:

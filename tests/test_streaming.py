@@ -24,10 +24,13 @@ def as_stream(spark, df, path, order, parts=3):
 
 
 def run(stream, tmp_path, name, mode="append"):
+    # a query with processing-time state would otherwise go on with empty batches for ever
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     query = (stream.writeStream.format("memory").queryName(name).outputMode(mode)
-             .option("checkpointLocation", str(tmp_path / f"cp_{name}")).start())
-    query.processAllAvailable()
+             .option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start())
+    finished = query.awaitTermination(90)
     query.stop()
+    assert finished
     return stream.sparkSession.table(name)
 
 
