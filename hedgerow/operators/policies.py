@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgerow.functions import dates
+from hedgerow.operators.pairing import every_pair
 from hedgerow.rules import policies as P
 
 SPAN_DAYS = 64
@@ -84,12 +85,8 @@ def effective_revision(probes: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def policy_snapshot(policies: DataFrame, dates_: DataFrame, revisions: DataFrame) -> DataFrame:
-    """One row per policy and date with its revision, reason and bucket.
-
-    ``dates_`` is a short list of days (one column ``on_date``); each policy is repeated per day.
-    """
-    days = dates_.agg(F.collect_set("on_date").alias("days")).scalar()
-    probes = policies.withColumn("on_date", F.explode(days))
+    """One row per policy and date (column ``on_date``) with its revision, reason and bucket."""
+    probes = every_pair(policies, dates_.select("on_date").distinct(), "on_date")
     found = effective_revision(probes, revisions)
     return found.withColumn(
         "bucket",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hedgerow.functions import geo, ways
 from hedgerow.functions.numbers import round_half_even, round_to_long
 from hedgerow.operators import ordered
+from hedgerow.operators.pairing import every_pair
 from hedgerow.rules import routes as R
 
 SEGMENT_KEY = ("provision", "speed_limit", "surface", "lit", "original_provision", "highway")
@@ -661,13 +662,10 @@ def on_route_barriers(barriers: DataFrame, route_ways: DataFrame, points: DataFr
 
 
 def site_destinations(sites: DataFrame, destinations: DataFrame, ids=None) -> DataFrame:
-    """Every site with every chosen destination: no ids means all, an empty list none.
-
-    Destinations are a short configured list; they travel with each site as one array value.
-    """
-    chosen = destinations if ids is None else destinations.filter(F.col("destination_id").isin(*ids) if ids else F.lit(False))
-    listed = chosen.agg(F.array_sort(F.collect_list(F.struct(*destinations.columns))).alias("d")).scalar()
-    return sites.withColumn("_d", F.explode(listed)).select("*", "_d.*").drop("_d")
+    """Every site with every chosen destination: no ids means all, an empty list none."""
+    if ids is not None:
+        destinations = destinations.filter(F.col("destination_id").isin(*ids) if ids else F.lit(False))
+    return every_pair(sites, destinations, "destination_id")
 
 
 def list_destinations(destinations: DataFrame) -> DataFrame:

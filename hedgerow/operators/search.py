@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgerow.operators import policies
+from hedgerow.operators.pairing import every_pair
 
 MAX_BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 1024
@@ -123,8 +124,7 @@ def search_policy_asof(queries: DataFrame, chunks: DataFrame, revisions: DataFra
     """
     days = queries.select("on_date").distinct()
     sources = revisions.select("source").distinct()
-    listed = days.agg(F.collect_set("on_date")).scalar()
-    live = policies.resolve(sources.withColumn("on_date", F.explode(listed)), revisions)
+    live = policies.resolve(every_pair(sources, days, "on_date"), revisions)
     live = live.filter("revision_id is not null").select("source", "revision_id", "on_date")
     dated = chunks.join(live, ["source", "revision_id"])
     return knn(queries, dated, k, match="on_date", vector_id="chunk_id")
