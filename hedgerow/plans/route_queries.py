@@ -412,7 +412,7 @@ def way_lengths(spark, sf):
 
 @query("site_facts", """
     SELECT s_suppkey AS site_id, 'APP/' || s_suppkey AS application_ref,
-           CASE WHEN s_suppkey % 2 = 0 THEN s_name || ', Bicester' ELSE '' END AS address,
+           CASE WHEN s_suppkey % 2 = 0 THEN s_name || ', Town' ELSE '' END AS address,
            coalesce(CASE WHEN floor(abs(s_acctbal)) <> 0 THEN floor(abs(s_acctbal)) * 20 END, -1) AS area_sqm,
            (s_suppkey * 3 + 4) / 4e0 AS lon, (s_nationkey * 3 + 4) / 4e0 AS lat,
            floor(abs(s_acctbal)) * 20 > 100000 AS large
@@ -427,7 +427,7 @@ def site_facts(spark, sf):
         F.when(even, R.SITE_ATTRIBUTE_PREFIXES[0] + "application_number").otherwise("APPLICATION_REF"),
         F.concat(F.lit("APP/"), F.col("s_suppkey").cast("string")),
         F.when(even, R.SITE_ATTRIBUTE_PREFIXES[1] + "location").otherwise("somewhere"),
-        F.concat("s_name", F.lit("\r\nBicester ")),
+        F.concat("s_name", F.lit("\r\nTown ")),
         F.lit("SHAPE.STArea()"), area)
     sites = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site_id"), F.array(ring).alias("rings"),
                                                 attributes.alias("attributes"))
