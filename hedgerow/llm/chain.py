@@ -5,14 +5,15 @@ from __future__ import annotations
 import numpy as np
 
 
-def marginals(emission: np.ndarray, fresh: np.ndarray, moves: np.ndarray, length: int = 64, pairs: bool = False):
+def marginals(emission: np.ndarray, fresh: np.ndarray, moves: np.ndarray, pairs: bool = False):
     """Posterior label probabilities (n, labels) of the words, and with ``pairs`` the expected label pairs.
 
     ``emission`` (n, labels) and ``moves`` (labels, labels) are log potentials; ``fresh`` marks the first word of each
-    sequence. The words are cut into runs of ``length`` that advance together: the product of a run's matrices carries
+    sequence. The words are cut into runs of equal length that advance together: the product of a run's matrices carries
     a message through it, so a long text costs no more steps than many short ones.
     """
     n, labels = emission.shape
+    length = max(8, int(np.sqrt(n) / 2))
     runs = -(-n // length)
     e = np.ones((runs * length, labels))
     e[:n] = np.exp(emission - emission.max(axis=1, keepdims=True))

@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, how: Quality = Quality(), id
     if rows.y.nunique() < 2:
         p["c"], p["d"] = np.zeros(how.hidden), np.array([shifted(0.0, 0.5, share)])
         return Model(np.zeros(FEATURES), np.ones(FEATURES), p, size)
-    bags = [x.reshape(-1, FEATURES) for x in rows.x]
+    bags = [np.asarray(x, float).reshape(-1, FEATURES) for x in rows.x]
     x, y = np.concatenate(bags), rows.y.to_numpy(float)
     owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     begin = np.searchsorted(owner, np.arange(len(bags)))
@@ -171,7 +171,7 @@ def quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            owner, x = passages(pa.Array.from_pandas(texts, pa.string()), model.words)
+            owner, x = passages(pa.array(texts.tolist(), pa.string()), model.words)
             if not len(texts):
                 yield pd.Series([], dtype=float)
                 continue
