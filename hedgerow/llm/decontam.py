@@ -47,6 +47,11 @@ def _seeds(h: str, masks: tuple[str, ...]) -> Column:
     return F.when(F.size(h) >= span, F.concat(*[under(n, m) for n, m in enumerate(masks)]))
 
 
+def _runs(h: str, n: int) -> Column:
+    """Hashes of all runs of ``n`` tokens."""
+    return F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(F.slice(h, i + 1, F.lit(n))))
+
+
 def _placed(rows: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
     """(key, hash, position of its first token)."""
     wide = rows.select(key, (F.size("h") - len(masks[0]) + 1).alias("m"), F.posexplode(_seeds("h", masks)).alias("p", "hash"))
@@ -80,15 +85,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
     lengths = [r.n for r in items.where(F.size("h") < span).select(F.size("h").alias("n")).distinct().collect()]  # fewer than a mask's length
     for n in sorted(lengths):
         short = items.where(F.size("h") == n).select("item", F.xxhash64("h").alias("hash"))
-        windows = F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i, n=n: F.xxhash64(F.slice("h", i + 1, F.lit(n))))
-        found = rows.where(F.size("h") >= n).select("id", F.posexplode(windows).alias("shift", "hash")).join(sized(short), "hash")
+        found = rows.where(F.size("h") >= n).select("id", F.posexplode(_runs("h", n)).alias("shift", "hash")).join(sized(short), "hash")
         starts = starts.unionByName(found.select("id", "item", "shift").distinct())
     wanted = written(starts, "alignments")
     texts = rows.join(wanted.select("id").distinct(), "id", "left_semi")
     sided = wanted.join(texts, "id").join(items.select("item", F.col("h").alias("g")), "item")
     width = F.least(F.lit(how.window), F.size("g"))
     first = F.greatest(F.lit(0), -F.col("shift"))  # first token of the item that lies on the document
-    count = F.least(F.size("g"), F.size("h") - F.col("shift")) - first
+    # another row with the same id may be too short to reach the alignment
+    count = F.greatest(F.lit(0), F.least(F.size("g"), F.size("h") - F.col("shift")) - first)
     equal = F.zip_with(F.slice("h", F.col("shift") + first + 1, count), F.slice("g", first + 1, count), lambda x, y: (x == y).cast("int"))
     sided = sided.select("id", "item", "shift", width.alias("width"), first.alias("first"), equal.alias("e")).where(F.size("e") >= F.col("width"))
     sums = F.transform(F.sequence(F.lit(0), F.size("e") - F.col("width")), lambda i: F.struct(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hedgerow.llm import chat, decontam, langid, mixing, pii, quality, toxicity, warc
 from hedgerow.llm.catalog import ORACLES, QUERIES, query  # noqa: F401
 from hedgerow.llm.neardup import near_duplicates
@@ -153,3 +154,8 @@ SELECT doc_id, item_id, matched::INT AS matched, width::INT AS compared, pos::IN
 """)
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
