@@ -57,9 +57,9 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))
 
 
-def embedding_text(text: Column) -> Column:
-    """The part of a text an encoder sees; null for blank text, which cannot be encoded."""
-    return F.when(~is_blank(text), F.substring(text, 1, D.EMBEDDING_CHARS))
+def embedding_text(text: Column, limit: int = None) -> Column:
+    """The text an encoder sees, its first ``limit`` characters if it has a limit; null for blank text, which cannot be encoded."""
+    return F.when(~is_blank(text), F.substring(text, 1, limit) if limit else text)
 
 
 def section_ref(text: Column) -> Column:
