@@ -1,9 +1,8 @@
 """Nearest chunks: exact top-k by squared L2 distance over float vectors.
 
-``queries(query_id, embedding, ...)`` are few, ``vectors`` are many.  Both sides are packed into
-blocks (one row holds many vectors), blocks meet in a join, and each task multiplies matrices and
-keeps its best k per query.  What is shuffled at the end is k rows per query and task, never
-query-vector pairs.
+Queries and vectors of one match key meet in blocks of bounded size; each task multiplies one block
+of queries with one block of vectors and passes on k rows per query.  What is shuffled at the end is
+k rows per query and block of vectors, never query-vector pairs.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,94 +11,86 @@ from pyspark.sql import functions as F
 from hedgerow.operators import policies
 from hedgerow.operators.pairing import every_pair
 
-MAX_BROADCAST_QUERIES = 4096
-BLOCK_ROWS = 1024
+BLOCK_VECTORS = 8192
+BLOCK_QUERIES = 2048
 
 
 def relevance(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - distance / 2)
 
 
-def _pack(df: DataFrame, id_type: str) -> DataFrame:
-    """Rows (i, e, m) -> one row per block of at most 1024: ids, match keys, float32 matrix bytes."""
-    def pack(batches):
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK_ROWS):
-                part = batch.iloc[at:at + BLOCK_ROWS]
-                matrix = np.stack(part["e"].to_numpy()).astype(np.float32)
-                yield pd.DataFrame({"ids": [part["i"].tolist()], "keys": [part["m"].tolist()],
-                                    "width": [matrix.shape[1]], "matrix": [matrix.tobytes()]})
-
-    return df.filter("e is not null").mapInPandas(
-        pack, f"ids array<{id_type}>, keys array<string>, width int, matrix binary")
-
-
-def _best_pairs(batches, k, exclude_self, id_names):
-    """Running best k per query over every block pair a task sees."""
+def _block_best(k: int, exclude_self: bool, names: list):
+    """Best k of a block of vectors for each query of a block."""
     import numpy as np
-    import pandas as pd
-
-    best = {}
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            q = np.frombuffer(row.qmatrix, dtype=np.float32).reshape(-1, row.width).astype(np.float64)
-            v = np.frombuffer(row.matrix, dtype=np.float32).reshape(-1, row.width).astype(np.float64)
-            vids, vkeys = np.asarray(row.ids), np.asarray(row.keys, dtype=object)
+    import pyarrow as pa
+
+    def matrix(table):
+        column = table.column("e").combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).astype(np.float64).reshape(len(column), -1)
+
+    def best(queries, vectors):
+        rows = ([], [], [])
+        if queries.num_rows and vectors.num_rows:
+            q, v = matrix(queries), matrix(vectors)
+            qids = queries.column("i").to_pylist()
+            order = vectors.column("i").to_pylist()
             # |q|^2 - 2qv + |v|^2 ranks; the exact sum of squares is taken for what is kept
             rough = (q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)[None, :]
-            for i, (qid, qkey) in enumerate(zip(row.qids, row.qkeys)):
-                allowed = vkeys == qkey
+            ids = np.empty(len(order), object)
+            ids[:] = order
+            for i, qid in enumerate(qids):
+                near = rough[i]
                 if exclude_self:
-                    allowed &= vids != qid
-                where = np.flatnonzero(allowed)
-                if not len(where):
-                    continue
-                if len(where) > k:
-                    edge = np.partition(rough[i, where], k - 1)[k - 1]
-                    where = where[rough[i, where] <= edge + 1e-9 * (1 + abs(edge))]
-                exact = ((v[where] - q[i]) ** 2).sum(1)
-                merged = best.get(qid, []) + list(zip(exact.tolist(), vids[where].tolist()))
-                merged.sort()
-                best[qid] = merged[:k]
-    rows = [(qid, vid, d) for qid, held in best.items() for d, vid in held]
-    yield pd.DataFrame(rows, columns=id_names)
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, match: str = None, exclude_self: bool = False,
+                    near = np.where(ids == qid, np.inf, near)
+                edge = np.partition(near, k - 1)[k - 1] if len(near) > k else np.inf
+                where = np.flatnonzero((near <= edge + 1e-9 * (1 + abs(edge))) & (near < np.inf))
+                held = sorted(zip(((v[where] - q[i]) ** 2).sum(1).tolist(), ids[where]))[:k]
+                for distance, vid in held:
+                    for column, value in zip(rows, (qid, vid, distance)):
+                        column.append(value)
+        kinds = (queries.schema.field("i").type, vectors.schema.field("i").type, pa.float64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, rows, kinds)})
+
+    return best
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, match=None, exclude_self: bool = False,
         query_id: str = "query_id", vector_id: str = "vec_id", embedding: str = "embedding",
-        max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+        block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """The k nearest vectors of each query: (query_id, vec_id, distance, rank, relevance_score).
 
-    ``match`` names a column both sides must agree on (the search filter); ``exclude_self`` leaves
-    out the vector with the query's own id.  Ties go to the smaller id.  Filter ``vectors`` before
-    the call to push other predicates to the scan.
+    ``match`` names the columns both sides must agree on (the search filter of each query, null equals null); they are
+    join keys, so no distance is taken across them.  ``exclude_self`` leaves out the vector with the query's own id.
+    Ties go to the smaller id.  Filter ``vectors`` before the call to push other predicates to the scan.
 
-    The queries are counted, up to ``max_broadcast`` rows.  If they fit, their blocks are broadcast
-    and the vectors are not shuffled; beyond that vector blocks are dealt to slices and every
-    query block is copied to every slice, a shuffled equi-join.
+    The vectors of a match key are dealt into parts and its queries into lots, as many as their numbers ask for; every
+    lot meets every part in one task.  The plan is the same at every size.
     """
     kind = queries.schema[query_id].dataType.simpleString()
     vkind = vectors.schema[vector_id].dataType.simpleString()
-    few = queries.limit(max_broadcast + 1).count() <= max_broadcast
-    slices = 1 if few else int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col(match).cast("string"), F.lit("")) if match else F.lit("")
-
-    asked = _pack(queries.select(F.col(query_id).alias("i"), F.col(embedding).alias("e"), key.alias("m")), kind)
-    asked = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
-        F.col("ids").alias("qids"), F.col("keys").alias("qkeys"), F.col("matrix").alias("qmatrix"))
-    held = _pack(vectors.select(F.col(vector_id).alias("i"), F.col(embedding).alias("e"), key.alias("m")), vkind)
-    held = held.withColumn("slice", F.pmod(F.xxhash64("matrix"), F.lit(slices)).cast("int"))
-    names = [query_id, vector_id, "distance"]
+    keys = [match] if isinstance(match, str) else list(match or [])
+    key = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in keys])) if keys else F.lit("")
+
+    def slim(df, id_):
+        return df.filter(F.col(embedding).isNotNull()).select(F.col(id_).alias("i"), F.col(embedding).alias("e"), key.alias("m"))
+
+    asked, held = slim(queries, query_id), slim(vectors, vector_id)
+    lots = asked.groupBy("m").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("lots"))
+    parts = held.groupBy("m").agg(F.ceil(F.count("*") / block_vectors).cast("int").alias("parts"))
+    sizes = lots.join(parts, "m")
+
+    def one_of(n):
+        return F.pmod(F.xxhash64("i"), n).cast("int")
 
-    def best(batches):
-        yield from _best_pairs(batches, k, exclude_self, names)
+    def all_of(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    found = held.join(F.broadcast(asked) if few else asked, "slice").drop("slice").mapInPandas(
-        best, f"{query_id} {kind}, {vector_id} {vkind}, distance double")
+    asked = asked.join(sizes, "m").select("i", "e", "m", one_of("lots").alias("lot"), all_of("parts").alias("part"))
+    held = held.join(sizes, "m").select("i", "e", "m", one_of("parts").alias("part"), all_of("lots").alias("lot"))
+    at = ["m", "lot", "part"]
+    names = [query_id, vector_id, "distance"]
+    found = asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInArrow(
+        _block_best(k, exclude_self, names), f"{query_id} {kind}, {vector_id} {vkind}, distance double")
     w = Window.partitionBy(query_id).orderBy("distance", vector_id)
     return (
         found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -107,17 +98,21 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, match: str = None,
     )
 
 
-def search_documents(queries: DataFrame, chunks: DataFrame, k: int = 10, predicate: Column = None) -> DataFrame:
-    """Nearest chunks with their text; ``predicate`` reaches the chunk scan before any distance."""
+def search_documents(queries: DataFrame, chunks: DataFrame, k: int = 10, predicate: Column = None, match=None) -> DataFrame:
+    """Nearest chunks with their text; ``predicate`` reaches the chunk scan before any distance.
+
+    ``match`` names columns of both sides, such as the application or document type each query asks for.
+    """
     if predicate is not None:
         chunks = chunks.filter(predicate)
-    hits = knn(queries, chunks, k, vector_id="chunk_id")
+    hits = knn(queries, chunks, k, match, vector_id="chunk_id")
     return hits.join(chunks.drop("embedding"), "chunk_id")
 
 
-def search_policy_asof(queries: DataFrame, chunks: DataFrame, revisions: DataFrame, k: int = 10) -> DataFrame:
+def search_policy_asof(queries: DataFrame, chunks: DataFrame, revisions: DataFrame, k: int = 10, match=None) -> DataFrame:
     """Nearest policy chunks among the revisions in force on each query's date.
 
+    ``match`` names further columns both sides must agree on, such as the source each query asks for.
     ``queries(query_id, on_date, embedding)``.  Revisions are resolved once per distinct date from
     the live revision table, so later supersession is seen.  Each chunk is searched once per date
     it is in force on; queries only meet chunks of their own date.
@@ -127,4 +122,5 @@ def search_policy_asof(queries: DataFrame, chunks: DataFrame, revisions: DataFra
     live = policies.resolve(every_pair(sources, days, "on_date"), revisions)
     live = live.filter("revision_id is not null").select("source", "revision_id", "on_date")
     dated = chunks.join(live, ["source", "revision_id"])
-    return knn(queries, dated, k, match="on_date", vector_id="chunk_id")
+    more = [match] if isinstance(match, str) else list(match or [])
+    return knn(queries, dated, k, match=["on_date", *more], vector_id="chunk_id")

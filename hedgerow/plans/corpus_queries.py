@@ -143,6 +143,21 @@ def knn_filtered(spark, sf):
                                exclude_self=True))
 
 
+@query("knn_by_application", f"""
+    SELECT query_id, chunk_id, round(d, 6) AS distance, CAST(rank AS INT) AS rank, n_chars
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank
+          FROM (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, y.n_chars, {_DISTANCE} AS d
+                FROM embeddings q JOIN documents x ON x.doc_id = q.vec_id JOIN documents y ON y.source = x.source AND y.lang = x.lang
+                JOIN embeddings v ON v.vec_id = y.doc_id) x) y WHERE rank <= 4""")
+def knn_by_application(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("application_ref"), "lang", "n_chars")
+    chunks = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(
+        docs, F.col("chunk_id") == F.col("doc_id")).drop("doc_id")
+    asked = chunks.select(F.col("chunk_id").alias("query_id"), "embedding", "application_ref", "lang")
+    hits = search.search_documents(asked, chunks, 4, match=["application_ref", "lang"])
+    return hits.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank", "n_chars")
+
+
 def _dated_vectors(spark, sf):
     """Vectors as chunks of revisions: the newest known revision ids of customers, in turn."""
     vectors = table(spark, sf, "embeddings")
