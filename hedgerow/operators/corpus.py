@@ -72,7 +72,7 @@ def chunk_pages(pages: DataFrame, key: str = "document_id", size_tokens: int = D
 
         def rows_of(document, held):
             rows = [(document, i, t, p) for i, t, p in page_chunks(held, size, overlap)]
-            return pd.DataFrame(rows, columns=["k", "chunk_index", "text", "page_numbers"])
+            return pd.DataFrame(rows, columns=["k", "chunk_index", "text", "page_numbers"]).assign(total_chunks=len(rows))
 
         document, held = None, []
         for batch in batches:
@@ -85,7 +85,7 @@ def chunk_pages(pages: DataFrame, key: str = "document_id", size_tokens: int = D
         if held:
             yield rows_of(document, held)
 
-    schema = f"k {_key_type(pages, key)}, chunk_index int, text string, page_numbers array<int>"
+    schema = f"k {_key_type(pages, key)}, chunk_index int, text string, page_numbers array<int>, total_chunks long"
     return (
         pages.filter(~T.is_blank(F.col("text")))
         .select(key, F.col("page_number").cast("int"), "text")
@@ -93,7 +93,7 @@ def chunk_pages(pages: DataFrame, key: str = "document_id", size_tokens: int = D
         .mapInPandas(cut, schema)
         .select(F.col("k").alias(key), "chunk_index", "text",
                 F.length("text").alias("char_count"), T.word_count(F.col("text")).alias("word_count"),
-                "page_numbers")
+                "page_numbers", "total_chunks")
     )
 
 
@@ -198,7 +198,8 @@ def embed_chunks(chunks: DataFrame, encoder_factory=HashingEncoder, text: str =
                  out: str = "embedding", batch_size: int = 32) -> DataFrame:
     """Add the embedding of each chunk; blank texts get null.
 
-    ``encoder_factory`` is called once per task; its ``encode(texts, batch_size)`` returns a matrix.
+    ``encoder_factory`` is called once per task; its ``encode(texts, batch_size)`` returns a matrix.  If the factory
+    has ``max_chars``, longer texts are cut there and ``truncated`` tells which; without it nothing is cut.
     """
     import pandas as pd
     from collections.abc import Iterator
@@ -214,12 +215,15 @@ def embed_chunks(chunks: DataFrame, encoder_factory=HashingEncoder, text: str =
                 vectors[held] = pd.Series(list(matrix), index=texts.index[held])
             yield vectors
 
-    return chunks.withColumn(out, embed(T.embedding_text(F.col(text))))
+    limit = getattr(encoder_factory, "max_chars", None)
+    embedded = chunks.withColumn(out, embed(T.embedding_text(F.col(text), limit)))
+    return embedded.withColumn("truncated", F.coalesce(F.length(text) > limit, F.lit(False))) if limit else embedded
 
 
 # --- ingest -----------------------------------------------------------------
 
 Ingest = namedtuple("Ingest", "status chunks registry")
+CHUNK_KEY = ("application_ref", "file_hash", "page_number", "chunk_index")
 
 
 def not_yet_ingested(files: DataFrame, registry: DataFrame) -> DataFrame:
@@ -233,13 +237,19 @@ def ingest_documents(files: DataFrame, pages: DataFrame, registry: DataFrame,
 
     ``files(application_ref, file_path, file_hash, document_type)``; ``pages(file_path, page_number,
     text, extraction_method, image_area, page_area)``.  Cheap tests (file type, known hash, image
-    ratio) come first, so only text of new documents reaches the Python stages.
+    ratio) come first, so only pages of new documents are looked at.  A file is known by its application and whole
+    hash: of several equal ones in a call the first path is ingested and the others count as already ingested.  Ids
+    carry six digits of the hash and are for display; upsert chunks by ``CHUNK_KEY``.
     """
     files = files.withColumn("document_id", T.document_id(F.col("application_ref"), F.col("file_hash")))
-    facts = page_facts(pages)
+    files = files.withColumn("_good", T.extension(F.col("file_path")).isin(*D.INGESTIBLE_EXTENSIONS))
+    firsts = files.filter("_good").groupBy("application_ref", "file_hash").agg(F.min("file_path").alias("_first"))
+    files = files.join(firsts, ["application_ref", "file_hash"], "left")
+    open_files = not_yet_ingested(files.filter("_good and file_path = _first"), registry).select("file_path")
+    facts = page_facts(pages.join(open_files, "file_path", "left_semi"))
     totals = document_rollup(facts, "file_path").join(image_based(facts, "file_path").drop("page_count"), "file_path")
     known = registry.select("document_id", "file_hash", F.lit(True).alias("_known")).distinct()
-    good = T.extension(F.col("file_path")).isin(*D.INGESTIBLE_EXTENSIONS)
+    good = F.col("_good")
     pdf = T.extension(F.col("file_path")) == ".pdf"
     checked = (
         files.join(known, ["document_id", "file_hash"], "left").join(totals, "file_path", "left")
@@ -251,10 +261,20 @@ def ingest_documents(files: DataFrame, pages: DataFrame, registry: DataFrame,
                     .when(F.col("status") == "error", "no_content"))
         .withColumn("image_ratio", round_half_even(F.col("average_image_ratio"), 3))
     )
+    # copies of a file in the same call share what became of the first one
+    fate = checked.filter("file_path = _first").select("_first", F.struct("status", "detail", "image_ratio").alias("_fate"))
+    copy = good & (F.col("file_path") != F.col("_first"))
+    checked = checked.join(fate, "_first", "left").withColumn(
+        "_fate", F.when(copy & (F.col("_fate.status") == "success"), F.struct(
+            F.lit("already_ingested").alias("status"), F.lit(None).cast("string").alias("detail"),
+            F.col("_fate.image_ratio").alias("image_ratio"))).when(copy, F.col("_fate")).otherwise(
+            F.struct("status", "detail", "image_ratio"))).withColumns(
+        {c: F.col(f"_fate.{c}") for c in ("status", "detail", "image_ratio")}).drop("_fate")
     fresh = checked.filter("status = 'success'")
     wanted = pages.join(fresh.select("file_path"), "file_path", "left_semi")
     cut = chunk_pages(wanted, "file_path")
-    counts = cut.groupBy("file_path").agg(F.count("*").alias("total_chunks"))
+    # the splitter knows a document's number of chunks and says it on each; the first one stands for the document
+    counts = cut.filter("chunk_index = 0").select("file_path", "total_chunks")
     # the classifier reads the marked-up full text, and only where no type is given
     texts = full_text(wanted.join(fresh.filter("document_type is null").select("file_path"),
                                   "file_path", "left_semi"), "file_path").withColumnRenamed("text", "_text")
@@ -272,9 +292,10 @@ def ingest_documents(files: DataFrame, pages: DataFrame, registry: DataFrame,
     )
     first_page = F.coalesce(F.try_element_at("page_numbers", F.lit(1)), F.lit(0))
     chunks = embed_chunks(
-        cut.join(typed, "file_path").select(
+        cut.drop("total_chunks").join(typed, "file_path").select(
             T.chunk_id(F.col("application_ref"), F.col("file_hash"), first_page, F.col("chunk_index")).alias("chunk_id"),
-            "document_id", "application_ref", F.col("_name").alias("source_file"), "document_type", "page_numbers",
+            "document_id", "application_ref", "file_hash", first_page.alias("page_number"),
+            F.col("_name").alias("source_file"), "document_type", "page_numbers",
             "chunk_index", "total_chunks", "extraction_method", "char_count", "word_count", "text"),
         encoder_factory)
     added = typed.select(

@@ -99,17 +99,18 @@ def seed_counts(new_policies: DataFrame, new_revisions: DataFrame) -> DataFrame:
     return tagged.groupBy("item", "status").agg(F.count("*").alias("items"))
 
 
-def upsert(target: DataFrame, updates: DataFrame, key: str = "chunk_id", version: str = None) -> DataFrame:
-    """Target with updates applied by key; the newest version (else the update) wins.
+def upsert(target: DataFrame, updates: DataFrame, key="chunk_id", version: str = None) -> DataFrame:
+    """Target with updates applied by key, a column or several; the newest version (else the update) wins.
 
     One aggregation of maxima, so a key with many copies is combined before the shuffle.
     """
     columns = target.columns
-    rest = [c for c in columns if c != key]
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in columns if c not in keys]
     order = F.struct("_new", *([version] if version else []))
     both = target.withColumn("_new", F.lit(0)).unionByName(updates.select(*columns).withColumn("_new", F.lit(1)))
-    newest = both.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r"))
-    return newest.select(key, "r.*").select(*columns)
+    newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"))
+    return newest.select(*keys, "r.*").select(*columns)
 
 
 def delete_by(chunks: DataFrame, doomed: DataFrame, key="document_id"):

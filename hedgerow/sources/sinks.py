@@ -44,7 +44,7 @@ def read_current(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return spark.read.parquet(f"{path}/version={held[-1]:08d}")
 
 
-def upsert_chunks(updates: DataFrame, path: str, key: str = "chunk_id", version: str = None, partition_by=()) -> str:
+def upsert_chunks(updates: DataFrame, path: str, key="chunk_id", version: str = None, partition_by=()) -> str:
     """Idempotent keyed upsert: the same updates twice give the same table."""
     current = read_current(updates.sparkSession, path, updates.schema)
     return write_version(registry.upsert(current, updates, key, version), path, partition_by)

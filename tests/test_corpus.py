@@ -140,6 +140,33 @@ def test_ingest_statuses(spark):
     assert (summary.ingested_count, summary.failed_count, summary.skipped_count, summary.is_complete) == (3, 2, 1, False)
 
 
+def test_equal_and_colliding_files_in_one_call(spark):
+    files = spark.createDataFrame(
+        [("A", "/2.pdf", "aaaaaa1"), ("A", "/1.pdf", "aaaaaa1"), ("A", "/3.pdf", "aaaaaa2"), ("B", "/4.pdf", "aaaaaa1"), ("A", "/0.docx", "aaaaaa1"),
+         ("A", "/5.pdf", "cccccc1"), ("A", "/6.pdf", "cccccc1")],
+        "application_ref string, file_path string, file_hash string").withColumn("document_type", F.lit("t"))
+    pages = spark.createDataFrame([(f"/{k}.pdf", 1, "" if k > 4 else f"words {k}", "text_layer", 0.0, 1.0) for k in range(1, 7)],
+        "file_path string, page_number int, text string, extraction_method string, image_area double, page_area double")
+    out = corpus.ingest_documents(files, pages, spark.createDataFrame([], "document_id string, file_hash string"))
+    assert {r.file_path: r.status for r in out.status.collect()} == {
+        "/0.docx": "error", "/1.pdf": "success", "/2.pdf": "already_ingested", "/3.pdf": "success", "/4.pdf": "success",
+        "/5.pdf": "error", "/6.pdf": "error"}
+    chunks = out.chunks.drop("embedding", "page_numbers").cache()
+    assert chunks.filter("application_ref = 'A'").select("chunk_id").distinct().count() == 1  # ids collide, keys do not
+    twice = registry.upsert(registry.upsert(chunks.limit(0), chunks, corpus.CHUNK_KEY), chunks, corpus.CHUNK_KEY)
+    assert sorted(r.text for r in twice.collect()) == ["words 1", "words 3", "words 4"]
+    assert out.registry.count() == 3
+
+
+def test_encoder_with_a_limit_says_what_it_cut(spark):
+    class Short(corpus.HashingEncoder):
+        max_chars = 3
+
+    df = spark.createDataFrame([("ab c",), ("ab",), (None,)], "text string")
+    assert [r.truncated for r in corpus.embed_chunks(df, Short).collect()] == [True, False, False]
+    assert "truncated" not in corpus.embed_chunks(df).columns
+
+
 def test_given_type_wins(spark):
     assert {c.document_type for c in ingest(spark).chunks.filter("document_id = '25_1_F_eeeeee'").collect()} == {"given"}
 
@@ -160,8 +187,8 @@ def test_blank_text_has_no_embedding(spark):
     assert [r.embedding is None for r in df.collect()] == [False, True, True]
 
 
-@pytest.mark.parametrize("most", [4096, 3])
-def test_knn_broadcast_and_sliced(spark, most):
+@pytest.mark.parametrize("blocks", [(8192, 2048), (250, 3)])
+def test_knn_in_one_and_in_many_blocks(spark, blocks):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(3000, 8)).astype(np.float32)
     groups = [int(g) for g in rng.integers(0, 3, 3000)]
@@ -171,7 +198,8 @@ def test_knn_broadcast_and_sliced(spark, most):
     wide = vectors.astype(np.float64)
     for match in (None, "grp"):
         got = {}
-        for r in search.knn(asked, df, 5, match=match, exclude_self=True, max_broadcast=most).orderBy("query_id", "rank").collect():
+        for r in search.knn(asked, df, 5, match=match, exclude_self=True, block_vectors=blocks[0],
+                            block_queries=blocks[1]).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.vec_id)
         for q in range(7):
             d = ((wide - wide[q]) ** 2).sum(1)
@@ -189,6 +217,15 @@ def test_search_filters_before_ranking(spark):
     assert search.search_documents(q, chunks.filter("false"), 5).count() == 0
 
 
+def test_each_query_has_its_own_filter(spark):
+    chunks = spark.createDataFrame([("a", [1.0, 0.0], "X"), ("b", [0.9, 0.1], "Y"), ("c", [0.0, 1.0], "Y"), ("d", [1.0, 0.0], None), ("e", None, "X")],
+                                   "chunk_id string, embedding array<float>, application_ref string")
+    q = spark.createDataFrame([(1, [1.0, 0.0], "Y"), (2, [1.0, 0.0], "X"), (3, [1.0, 0.0], None), (4, None, "X"), (5, [1.0, 0.0], "Z")],
+                              "query_id int, embedding array<float>, application_ref string")
+    hits = search.search_documents(q, chunks, 5, match="application_ref").collect()
+    assert sorted((h.query_id, h.rank, h.chunk_id) for h in hits) == [(1, 1, "b"), (1, 2, "c"), (2, 1, "a"), (3, 1, "d")]
+
+
 def test_upsert_is_idempotent(spark):
     target = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, v int")
     updates = spark.createDataFrame([("b", 3), ("c", 4)], "chunk_id string, v int")
