@@ -228,6 +228,20 @@ def check_new_revisions(new: DataFrame, revisions: DataFrame) -> DataFrame:
     )
 
 
+def superseded_revisions(new: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Every revision that an accepted new one ends: (source, revision_id, ended, ended_on).
+
+    These are all open revisions of the source that start earlier; each ends the day before the new one starts.  A
+    rejected revision ends nothing.
+    """
+    accepted = check_new_revisions(new, revisions).filter("conflict_with is null").select(
+        "source", "revision_id", F.col("effective_from").alias("_starts"))
+    open_ = revisions.filter("status <> 'failed' and effective_to is null").select(
+        "source", F.col("revision_id").alias("ended"), F.col("effective_from").alias("_since"))
+    return accepted.join(open_, "source").filter("_since < _starts").select(
+        "source", "revision_id", "ended", F.date_sub("_starts", 1).alias("ended_on"))
+
+
 def revision_overlaps(revisions: DataFrame) -> DataFrame:
     """Non-failed revisions that overlap an earlier one of their source.
 

@@ -145,6 +145,20 @@ def check_new_revisions(spark, sf):
         F.coalesce(F.col("supersedes_until").cast("string"), F.lit("")).alias("supersedes_until"))
 
 
+@query("superseded_revisions", with_clause("new_revisions", "open_revisions") + """, pairs AS (
+      SELECT n.source, n.revision_id, n.effective_from AS nf, e.revision_id AS eid, e.effective_from AS ef, e.effective_to AS et,
+             n.effective_from <= coalesce(e.effective_to, CASE WHEN e.effective_from >= n.effective_from THEN DATE '9999-12-31' ELSE DATE '0001-01-01' END)
+               AND coalesce(n.effective_to, DATE '9999-12-31') >= e.effective_from AS clash
+      FROM new_revisions n JOIN open_revisions e ON e.source = n.source AND e.status <> 'failed'),
+    refused AS (SELECT DISTINCT source, revision_id FROM pairs WHERE clash)
+    SELECT p.source, p.revision_id, p.eid AS ended, strftime(CAST(p.nf - INTERVAL '1' DAY AS DATE), '%Y-%m-%d') AS ended_on
+    FROM pairs p LEFT JOIN refused r ON r.source = p.source AND r.revision_id = p.revision_id
+    WHERE r.revision_id IS NULL AND p.et IS NULL AND p.ef < p.nf""")
+def superseded_revisions(spark, sf):
+    found = policies.superseded_revisions(load(spark, sf, "new_revisions"), load(spark, sf, "open_revisions"))
+    return found.select("source", "revision_id", "ended", F.col("ended_on").cast("string").alias("ended_on"))
+
+
 @query("policy_overview", with_clause("policies", "policy_revisions") + """
     SELECT p.source, p.category, coalesce(c.n, 0) AS revision_count, coalesce(c.now, -1) AS current_revision
     FROM policies p LEFT JOIN (

@@ -137,3 +137,14 @@ def test_overview_takes_the_earliest_active_revision(spark):
     got = {r.source: (r.revision_count, r.current_revision) for r in policies.policy_overview(
         p, spark.createDataFrame(rows, KIND), F.lit(day(60))).collect()}
     assert got == {"P": (3, "b"), "Q": (0, None)}
+
+
+def test_a_new_revision_ends_every_open_one(spark):
+    days = "source string, revision_id string, effective_from string, effective_to string, status string"
+    dated = lambda df: df.withColumns({c: df[c].cast("date") for c in ("effective_from", "effective_to")})
+    held = dated(spark.createDataFrame([
+        ("P", "a", "2020-01-01", None, "active"), ("P", "b", "2021-01-01", None, "active"), ("P", "c", "2022-01-01", None, "failed"),
+        ("P", "d", "2019-01-01", "2019-06-01", "active"), ("Q", "e", "2020-01-01", None, "active"), ("Q", "f", "2024-06-01", "2024-07-01", "active")], days))
+    new = dated(spark.createDataFrame([("P", "n", "2024-01-01", None, ""), ("Q", "m", "2024-01-01", None, ""), ("R", "k", "2024-01-01", None, "")], days))
+    got = policies.superseded_revisions(new.drop("status"), held).collect()
+    assert {(r.source, r.revision_id, r.ended, str(r.ended_on)) for r in got} == {("P", "n", "a", "2023-12-31"), ("P", "n", "b", "2023-12-31")}
