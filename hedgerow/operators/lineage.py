@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read on from there.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (a test session) a
-    temporary one is used.
+    The folder comes from ``spark.checkpoint.dir``.  Where that is unset a temporary one is used if Spark runs in one
+    process; on a cluster, whose executors would each write to a disk of their own, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
-                                 or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()

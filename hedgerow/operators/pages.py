@@ -1,191 +1,50 @@
-"""Fields, document rows and links out of a table of HTML pages.
+"""Links, page chains and file names out of a table of HTML pages, in DataFrame expressions.
 
-Input ``pages(page_id, url, html)``.  ``extract_pages`` is the only Python stage: it turns each page
-into long rows (kind, layout rank, row number, values).  What to keep of them, carrying section
-headers down, resolving addresses and shaping the result are DataFrame expressions.
+Input ``pages(page_id, url, html)``.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hedgerow.functions import dates
 from hedgerow.functions import text as T
 from hedgerow.operators import ordered
 from hedgerow.operators.lineage import checkpointed
 from hedgerow.rules import documents as D
 
-LONG_ROWS = (
-    "page_id {key}, url string, kind string, layout int, row_no int, "
-    "label string, value string, href string, category string, day string, header string"
-)
+_ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
+_HREF = r"(?is)^<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 
 
-def _fields(root):
-    """(layout, label, value) of the four ways pages write their metadata."""
-    for table in root.all("table"):
-        if "summaryTbl" in table.classes():
-            for td in table.all("td"):
-                if td.first("br") is None:
-                    continue
-                span = td.first("span")
-                if span is not None:
-                    yield 1, _before_break(td), span.clean()
-    for dl in root.all("dl"):
-        for dt in dl.all("dt"):
-            dd = dt.after("dd")
-            if dd is not None:
-                yield 2, dt.text(), dd.clean()
-    for table in root.all("table"):
-        for tr in table.all("tr"):
-            cells = tr.all("th", "td")
-            if len(cells) >= 2:
-                yield 3, cells[0].text(), cells[1].clean()
-    for node in root.walk():
-        if "label" in node.classes():
-            following = node.after()
-            if following is not None:
-                yield 4, node.text(), following.clean()
+def page_links(pages: DataFrame) -> DataFrame:
+    """Every link of every page: (page_id, url, link_no, href, label); ``label`` is its text without tags.
 
-
-def _before_break(td):
-    """Text of a cell up to its first line break, wherever that is nested."""
-    parts = []
-
-    def collect(node):
-        for child in node.children:
-            if isinstance(child, str):
-                parts.append(child)
-            elif child.tag == "br" or collect(child):
-                return True
-        return False
-
-    collect(td)
-    return "".join(parts).strip()
-
-
-def _header_of(row):
-    """Section name of a row without download link: one th, a wide cell, or bold text."""
-    ths = row.all("th")
-    if ths:
-        return ths[0].clean() if len(ths) == 1 else ""
-    wide = [c for c in row.all("td") if c.attrs.get("colspan", "").strip().isdigit() and int(c.attrs["colspan"]) > 1]
-    for cell in wide:
-        if cell.clean():
-            return cell.clean()
-    bold = row.first("strong", "b")
-    return bold.clean() if bold is not None and row.first("td") is not None else ""
-
-
-def _documents(root):
-    """(layout, title, href, category, day, header) by the ways pages list their documents."""
-    links = [a for a in root.all("a") if D.DOWNLOAD_CLASS in a.classes()]
-    if links:
-        table = links[0].up("table")
-        if table is not None:
-            for tr in table.all("tr"):
-                link = next((a for a in tr.all("a") if D.DOWNLOAD_CLASS in a.classes()), None)
-                if link is not None and D.DOWNLOAD_PATH in link.attrs.get("href", ""):
-                    title, day = _row_facts(tr, link)
-                    yield 1, title, link.attrs["href"], None, day, None
-                else:
-                    yield 1, None, None, None, None, _header_of(tr) or None
-        else:
-            for link in links:
-                tr = link.up("tr")
-                if D.DOWNLOAD_PATH in link.attrs.get("href", "") and tr is not None:
-                    title, day = _row_facts(tr, link)
-                    name = link.clean()
-                    yield 1, title, link.attrs["href"], name if name != title else None, day, None
-    for table in root.all("table"):
-        yield from _headed_table(table)
-    for ul in root.all("ul"):
-        if any("document" in c.lower() for c in ul.classes()):
-            for li in ul.all("li"):
-                link = next((a for a in li.all("a") if "href" in a.attrs), None)
-                if link is not None:
-                    yield 3, link.clean(), link.attrs["href"], None, None, None
-    for a in root.all("a"):
-        href = a.attrs.get("href")
-        if href and any(m in href.lower() for m in D.DOCUMENT_LINK_MARKERS):
-            yield 4, a.clean() or a.parent.clean(), href, None, None, None
-
-
-def _row_facts(tr, link):
-    cells = tr.all("td")
-    title = cells[3].clean() if len(cells) >= 4 else ""
-    return title or link.clean(), cells[2].clean() if len(cells) >= 3 else None
-
-
-def _headed_table(table):
-    heads = [th.text().lower() for th in table.all("th")]
-    joined = " ".join(heads)
-    if not any(w in joined for w in ("document", "description", "date", "type", "file")):
-        return
-    at = {}
-    for i, name in enumerate(heads):
-        for field, words in (("title", ("description", "document", "title")), ("type", ("type", "category")),
-                             ("date", ("date",))):
-            if any(w in name for w in words):
-                at[field] = i
-                break
-    for tr in table.all("tr"):
-        cells = tr.all("td")
-        link = next((a for a in tr.all("a") if "href" in a.attrs), None)
-        if not cells or link is None:
-            continue
-
-        def cell(field):
-            i = at.get(field)
-            return cells[i].clean() if i is not None and i < len(cells) else None
-
-        yield 2, link.clean() or cell("title"), link.attrs["href"], cell("type"), cell("date"), None
-
-
-def _next_link(root):
-    for a in root.all("a"):
-        if "href" in a.attrs and a.text().lower().strip() in D.NEXT_LINK_TEXTS:
-            return a.attrs["href"]
-    for node in root.walk():
-        if any("current" in c.lower() or "active" in c.lower() for c in node.classes()):
-            around = [c for c in node.parent.children if getattr(c, "tag", None) == "a" and "href" in c.attrs]
-            seen = [c for c in node.parent.children]
-            later = [c for c in around if seen.index(c) > seen.index(node)]
-            return later[0].attrs["href"] if later else None
-    return None
-
-
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """Long rows of every page: kinds ``field``, ``document`` and ``next``.
-
-    A page is parsed once, in the task that reads it; nothing is shuffled.
+    Links are counted from 0 in the order of the page; anchors without an address are left out.
     """
-    names = ["page_id", "url", "kind", "layout", "row_no", "label", "value", "href", "category", "day", "header"]
+    anchors = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))
+    found = pages.select("page_id", "url", F.posexplode(anchors).alias("link_no", "_a"))
+    href = F.coalesce(*[T.filled(F.regexp_extract("_a", _HREF, n)) for n in (1, 2, 3)])
+    label = T.clean_text(F.regexp_replace("_a", r"(?s)<[^>]*>", " "))
+    return found.select("page_id", "url", "link_no", href.alias("href"), label.alias("label")).filter("href is not null")
 
-    def extract(batches):
-        import pandas as pd
 
-        from hedgerow.functions.markup import parse
+def document_links(links: DataFrame) -> DataFrame:
+    """Links that lead to a document, by the markers in their address; ``url_key`` is the whole digest of the address."""
+    there = T.resolve_url(F.col("href"), F.col("url"))
+    return links.filter(T.contains_any(F.lower("href"), D.DOCUMENT_LINK_MARKERS)).select(
+        "page_id", "link_no", T.url_document_id(there).alias("document_id"), F.md5(there).alias("url_key"),
+        F.coalesce(T.filled(F.col("label")), F.lit(D.UNNAMED_DOCUMENT)).alias("description"), there.alias("document_url"))
 
-        for batch in batches:
-            rows = []
-            for page_id, url, html in batch.itertuples(index=False, name=None):
-                root = parse(html)
-                for n, (layout, label, value) in enumerate(_fields(root)):
-                    rows.append((page_id, url, "field", layout, n, label, value, None, None, None, None))
-                for n, (layout, title, href, category, day, header) in enumerate(_documents(root)):
-                    rows.append((page_id, url, "document", layout, n, None, title, href, category, day, header))
-                href = _next_link(root)
-                if href is not None:
-                    rows.append((page_id, url, "next", 1, 0, None, None, href, None, None, None))
-            yield pd.DataFrame(rows, columns=names)
 
-    schema = LONG_ROWS.format(key=pages.schema["page_id"].dataType.simpleString())
-    return pages.select("page_id", "url", "html").mapInPandas(extract, schema)
+def next_page_edges(links: DataFrame) -> DataFrame:
+    """(page_id, url, next_url): the first link of a page whose text says that it leads to the next one."""
+    onward = links.filter(F.lower(F.replace("label", F.lit("&gt;"), F.lit(">"))).isin(*D.NEXT_LINK_TEXTS))
+    first = onward.groupBy("page_id", "url").agg(F.min_by("href", "link_no").alias("href"))
+    return first.select("page_id", "url", T.resolve_url(F.col("href"), F.col("url")).alias("next_url"))
 
 
 # --- metadata fields --------------------------------------------------------
 
-def field_for_label(label):
+def field_for_label(label: Column) -> Column:
     """Metadata field a normalised label stands for; null for none."""
     chain = None
     for field, words in D.LABEL_FIELDS:
@@ -203,93 +62,50 @@ def field_for_label(label):
     return chain.otherwise(day)
 
 
-def label_fields(rows: DataFrame) -> DataFrame:
-    """Add ``field`` to (label, value) rows; empty values and dates that do not parse drop out."""
-    is_day = F.col("field").isin(*[f for f, _ in D.DATE_FIELDS])
-    return (
-        rows.withColumn("_label", T.normalize_label(F.col("label")))
-        .withColumn("field", field_for_label(F.col("_label"))).drop("_label")
-        .withColumn("value", T.clean_text(F.col("value")))
-        .filter("field is not null and value <> ''")
-        .withColumn("value", F.when(is_day, dates.parse_date(F.col("value")).cast("string")).otherwise(F.col("value")))
-        .filter("value is not null")
-    )
-
-
-def extract_fields(extracted: DataFrame) -> DataFrame:
-    """One metadata row per page.
+# --- chains -----------------------------------------------------------------
 
-    Layouts count up to and including the first that gives an address; a later value of a field
-    replaces an earlier one.
-    """
-    rows = label_fields(extracted.filter("kind = 'field'"))
-    page = Window.partitionBy("page_id")  # all rows of a page come out of one HTML value
-    stop = F.min(F.when(F.col("field") == "address", F.col("layout"))).over(page)
-    used = rows.withColumn("_stop", stop).filter("_stop is null or layout <= _stop")
-    order = F.struct("layout", "row_no")
-    return used.groupBy("page_id").agg(*[
-        F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, order))
-        .cast("date" if f in dict(D.DATE_FIELDS) else "string").alias(f)
-        for f in D.METADATA_FIELDS])
-
-
-# --- documents --------------------------------------------------------------
-
-def document_rows(extracted: DataFrame) -> DataFrame:
-    """Listed documents of every page, section headers carried down as document type.
-
-    Only the first layout that lists anything counts for a page.  All rows of a page come out of
-    one HTML value, so a window per page is bounded by it; one shuffle serves both windows.
-    """
-    page = Window.partitionBy("page_id")
-    above = page.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.last(F.when(F.col("layout") == 1, F.col("header")), ignorenulls=True).over(above)
-    listed = (
-        extracted.filter("kind = 'document'")
-        .withColumn("document_url", T.resolve_url(F.col("href"), F.col("url")))
-        .withColumn("_section", F.when(F.col("layout") == 1, section))
-        .withColumn("_first", F.min(F.when(F.col("document_url").isNotNull(), F.col("layout"))).over(page))
-        .filter("document_url is not null and layout = _first")
-    )
-    return listed.select(
-        "page_id", "layout", "row_no",
-        T.url_document_id(F.col("document_url")).alias("document_id"),
-        F.coalesce(T.filled(F.col("value")), F.lit(D.UNNAMED_DOCUMENT)).alias("description"),
-        F.coalesce("category", "_section").alias("document_type"),
-        dates.parse_date(F.col("day")).alias("date_published"),
-        "document_url")
+def _doubled(jump: DataFrame, best: bool = False) -> DataFrame:
+    """Twice as far along every jump; with ``best`` the least ``low`` on the way is carried along."""
+    columns = [F.col("url").alias("mid"), F.col("next_url").alias("far")]
+    far = jump.select(*columns, F.col("low").alias("_low")) if best else jump.select(*columns)
+    low = [F.least("low", "_low").alias("low")] if best else []
+    return checkpointed(jump.join(far, F.col("next_url") == F.col("mid")).select("url", F.col("far").alias("next_url"), *low))
 
 
-def next_page_edges(extracted: DataFrame) -> DataFrame:
-    """(url, next_url) for every page that points on."""
-    nxt = T.resolve_url(F.col("href"), F.col("url"))
-    return extracted.filter("kind = 'next'").select("page_id", "url", nxt.alias("next_url")).filter(
-        "next_url is not null")
+def _without_cycles(step: DataFrame) -> DataFrame:
+    """``step`` without the link that closes each cycle, the one to the cycle's smallest address."""
+    rounds, jump = max(1, step.count()).bit_length(), step
+    for _ in range(rounds):  # past the end of every chain: what is still reached lies on a cycle
+        jump = _doubled(jump)
+    on_cycle = checkpointed(jump.select(F.col("next_url").alias("url")).distinct())
+    if on_cycle.isEmpty():
+        return step
+    around = step.join(on_cycle, "url", "left_semi").withColumn("low", F.col("url"))
+    for _ in range(rounds):
+        around = _doubled(around, best=True)
+    closing = step.join(around.select("url", "low"), "url").filter("next_url = low").select("url", "next_url")
+    return checkpointed(step.join(closing, ["url", "next_url"], "left_anti"))
 
 
-def page_chains(pages: DataFrame, edges: DataFrame, max_pages: int = D.MAX_PAGES) -> DataFrame:
-    """Order of pages reached from each first page: (first_url, url, step), at most 50 steps.
+def page_chains(pages: DataFrame, edges: DataFrame, max_pages: int = None) -> DataFrame:
+    """Order of the pages reached from each first page: (first_url, url, step).
 
-    A page nobody points to is a first page.  Steps double: after round n every page knows the one
-    2^n steps on, so six joins cover fifty pages.  Each round is checkpointed, which keeps the plan
-    flat and lets a lost executor resume from files.
+    A page nobody points to is a first page, and so is the smallest address of pages that only point at each other.
+    Of several edges of a page the one to the smallest address counts. Steps double: after round n every page knows
+    the one 2^n steps on. ``max_pages`` ends chains early; there is no limit unless it is given.
     """
-    jump = checkpointed(edges.groupBy("url").agg(F.min("next_url").alias("next_url")))
+    jump = _without_cycles(checkpointed(edges.groupBy("url").agg(F.min("next_url").alias("next_url"))))
     heads = pages.select("url").distinct().join(
         jump.select(F.col("next_url").alias("url")).distinct(), "url", "left_anti")
-    reached = heads.select(F.col("url").alias("first_url"), "url", F.lit(1).alias("step"))
+    reached = checkpointed(heads.select(F.col("url").alias("first_url"), "url", F.lit(1).alias("step")))
     length = 1
-    while length < max_pages:
-        reached = checkpointed(reached)
+    while (max_pages is None or length < max_pages) and not jump.isEmpty():
         onward = reached.join(jump, "url").select(
             "first_url", F.col("next_url").alias("url"), (F.col("step") + length).alias("step"))
-        reached = reached.unionByName(onward)
+        reached = checkpointed(reached.unionByName(onward))
         length *= 2
-        if length < max_pages:
-            mid = jump.select(F.col("url").alias("mid"), F.col("next_url").alias("far"))
-            jump = checkpointed(jump.join(mid, F.col("next_url") == F.col("mid")).select(
-                "url", F.col("far").alias("next_url")))
-    return reached.filter(F.col("step") <= max_pages)
+        jump = _doubled(jump)
+    return reached if max_pages is None else reached.filter(F.col("step") <= max_pages)
 
 
 def number_downloads(docs: DataFrame, by: str = "application_ref", order: str = "seq") -> DataFrame:

@@ -122,26 +122,27 @@ def evidence_union(application_hits: DataFrame, policy_hits: DataFrame) -> DataF
         F.coalesce("source", F.lit("Unknown policy")).alias("origin"), "text"))
 
 
-def assemble_evidence(hits: DataFrame, application_hits: int = R.APPLICATION_HITS,
-                      policy_hits: int = R.POLICY_HITS) -> DataFrame:
-    """Evidence texts per review: the first hits of each kind, each under its origin.
+def assemble_evidence(hits: DataFrame, application_hits: int = None, policy_hits: int = None) -> DataFrame:
+    """Evidence texts per review: the hits of each kind in order, each under its origin.
 
-    The caps are part of the report; they are applied before hits are gathered.
+    All hits, unless the report asks for the first ones only; then ``left_out`` counts what it does not show.
     """
-    cap = F.when(F.col("kind") == "policy", policy_hits).otherwise(application_hits)
     w = Window.partitionBy("review_id", "kind").orderBy("ord", "origin", "text")
-    most = max(application_hits, policy_hits)
-    capped = hits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).filter(F.col("rn") <= cap)
+    ranked, shown = hits.withColumn("rn", F.row_number().over(w)), F.lit(True)
+    for kind, cap in (("application", application_hits), ("policy", policy_hits)):
+        if cap is not None:
+            shown = shown & ((F.col("kind") != kind) | (F.col("rn") <= cap))
+    capped = ranked.withColumn("shown", shown)
     entry = F.concat(F.lit("["), "origin", F.lit("] "), "text")
 
     def joined(kind, default):
-        listed = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rn", entry.alias("e")))))
+        listed = F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("shown"), F.struct("rn", entry.alias("e")))))
         body = F.array_join(F.transform(listed, lambda x: x["e"]), R.EVIDENCE_JOINER)
         return F.when(F.count_if(F.col("kind") == kind) > 0, body).otherwise(default)
 
     return capped.groupBy("review_id").agg(
         joined("application", R.NO_APPLICATION_EVIDENCE).alias("application_evidence"),
-        joined("policy", R.NO_POLICY_EVIDENCE).alias("policy_evidence"))
+        joined("policy", R.NO_POLICY_EVIDENCE).alias("policy_evidence"), F.count_if(~F.col("shown")).alias("left_out"))
 
 
 def verification_rollup(claims: DataFrame, reviews: DataFrame = None) -> DataFrame:

@@ -625,19 +625,22 @@ def _cell(lat: Column, lon: Column, size: float):
 
 
 def near_route(things: DataFrame, points: DataFrame, reach_m: float, key: str = "node_id") -> DataFrame:
-    """Things (route_id, lat, lon, ...) within ``reach_m`` of the route's sampled points.
+    """Things (route_id, lat, lon, ...) within ``reach_m`` of any of the route's points.
 
-    ``points(route_id, lat, lon)`` are the samples of ``sample_points``: at most about a hundred a
-    route.  Both sides meet on 0.002-degree cells (more than 100 m up to 60 degrees of latitude);
-    each sample is entered in its own cell and the eight around.
+    ``points(route_id, lat, lon)``: all points of a route; pass those of ``sample_points`` to look near samples only.
+    Both sides meet on 0.002-degree cells; a point is entered in every cell its reach can touch, which are more
+    columns towards the poles.
     """
     size = 0.002
+    metres = 111_000 * size
+    wide = F.ceil(reach_m / (metres * F.greatest(F.cos(F.radians("lat")), F.lit(1e-4)))).cast("int")
+    high = -int(-reach_m // metres)
     row, col = _cell(F.col("lat"), F.col("lon"), size)
-    around = F.sequence(F.lit(-1), F.lit(1))
     spread = (
         points.select("route_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"),
-                      row.alias("row0"), col.alias("col0"))
-        .withColumn("up", F.explode(around)).withColumn("right", F.explode(around))
+                      row.alias("row0"), col.alias("col0"), wide.alias("wide"))
+        .withColumn("up", F.explode(F.sequence(F.lit(-high), F.lit(high))))
+        .withColumn("right", F.explode(F.sequence(-F.col("wide"), F.col("wide"))))
         .select("route_id", "plat", "plon", (F.col("row0") + F.col("up")).alias("row"),
                 (F.col("col0") + F.col("right")).alias("col"))
     )

@@ -214,7 +214,7 @@ def clean_texts(spark, sf):
     return table(spark, sf, "documents").select(
         "doc_id", F.md5(T.clean_text(body)).alias("clean_md5"), T.char_count(body).alias("char_count"),
         T.word_count(body).alias("word_count"), T.estimate_tokens(body).alias("tokens"),
-        F.length(T.embedding_text(body)).alias("seen_chars"), T.content_sha256(body).alias("file_hash"))
+        F.length(T.embedding_text(body, D.EMBEDDING_CHARS)).alias("seen_chars"), T.content_sha256(body).alias("file_hash"))
 
 
 @query("chunk_ids", """
@@ -284,69 +284,52 @@ def dedupe_names(spark, sf):
              OR contains(lower(h), '/viewdoc') OR contains(lower(h), 'docid=') OR contains(lower(h), 'fileid=')) AS document_links
     FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) x GROUP BY page_id""")
 def page_links(spark, sf):
-    href = F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("h")
-    links = table(spark, sf, "pages").select("page_id", href)
-    return links.groupBy("page_id").agg(
+    return pages.page_links(table(spark, sf, "pages")).groupBy("page_id").agg(
         F.count("*").alias("links"),
-        F.count_if(T.contains_any(F.lower("h"), D.DOCUMENT_LINK_MARKERS)).alias("document_links"))
-
-
-@query("page_documents")
-def page_documents(spark, sf):
-    return pages.document_rows(pages.extract_pages(table(spark, sf, "pages")))
-
-
-@query("page_fields")
-def page_fields(spark, sf):
-    return pages.extract_fields(pages.extract_pages(table(spark, sf, "pages")))
+        F.count_if(T.contains_any(F.lower("href"), D.DOCUMENT_LINK_MARKERS)).alias("document_links"))
 
 
 def built_pages(spark, sf):
-    """Register pages written out from the document list: a headed table per document."""
+    """Pages written out from the document list: a document link, another link and one to the next page."""
     docs = load(spark, sf, "listed_documents")
     return docs.select(
         F.col("document_id").alias("page_id"),
         F.concat(F.lit("https://p.example/list/"), "document_id").alias("url"),
         F.concat(
-            F.lit("<table class='summaryTbl'><tr><td>Site Address:<br><div><span> "), "application_ref",
-            F.lit(" High  St</span></div></td><td>Proposal<br/><span>"), "description",
-            F.lit("</span></td><td>Valid Date<br><span>0"), (F.col("document_id") % 9 + 1).cast("string"),
-            F.lit("/02/2024</span></td></tr></table><table><tr><th>Title</th><th>Date</th></tr>"
-                  "<tr><td>top</td><td><a class='singledownloadlink' href='/Document/Download?id="),
-            F.col("document_id").cast("string"), F.lit("'>first</a></td><td>1/2/2024</td><td>First one</td></tr><tr><th>"),
-            F.coalesce("document_type", F.lit("")),
-            F.lit("</th></tr><tr><td>x</td><td><a class='singledownloadlink' href='/Document/Download?n="),
-            F.col("document_id").cast("string"), F.lit("'>link</a></td><td>2024-03-04</td><td>"), "description",
-            F.lit("</td></tr></table><a href='/list/next'>Next</a>")).alias("html"))
-
-
-@query("register_fields", with_clause("listed_documents") + r"""
-    SELECT document_id AS page_id, application_ref || ' High St' AS address,
-           coalesce(nullif(description, ''), '') AS proposal, '2024-02-0' || (document_id % 9 + 1) AS date_validated
-    FROM listed_documents""")
-def register_fields(spark, sf):
-    found = pages.extract_fields(pages.extract_pages(built_pages(spark, sf)))
-    return found.select("page_id", "address", F.coalesce("proposal", F.lit("")).alias("proposal"),
-                        F.col("date_validated").cast("string").alias("date_validated"))
-
-
-@query("register_documents", with_clause("listed_documents") + r"""
+            F.lit("<p><A class='x' href='/Document/Download?id="), F.col("document_id").cast("string"), F.lit("'> <b>"),
+            "description", F.lit("</b>\n</A> <a name='top'>no address</a><a href=/about>About</a><a title=\"a\" href=\"/list/"),
+            (F.col("document_id") + 1).cast("string"), F.lit("\"><span>Next</span> &gt;</a></p>")).alias("html"))
+
+
+@query("document_links", with_clause("listed_documents") + r"""
     SELECT document_id AS page_id, substr(md5('https://p.example/Document/Download?id=' || document_id), 1, 12) AS document_id,
-           'First one' AS description, '' AS document_type, '2024-02-01' AS date_published FROM listed_documents
-    UNION ALL
-    SELECT document_id, substr(md5('https://p.example/Document/Download?n=' || document_id), 1, 12),
-           coalesce(nullif(description, ''), 'link'), coalesce(nullif(trim(document_type), ''), ''), '2024-03-04' FROM listed_documents""")
-def register_documents(spark, sf):
-    found = pages.document_rows(pages.extract_pages(built_pages(spark, sf)))
-    return found.select("page_id", "document_id", "description", F.coalesce("document_type", F.lit("")).alias("document_type"),
-                        F.col("date_published").cast("string").alias("date_published"))
+           md5('https://p.example/Document/Download?id=' || document_id) AS url_key,
+           coalesce(nullif(trim(regexp_replace(description, '\s+', ' ', 'g')), ''), 'Unknown Document') AS description
+    FROM listed_documents WHERE description IS NOT NULL""")
+def document_links(spark, sf):
+    found = pages.document_links(pages.page_links(built_pages(spark, sf)))
+    return found.select("page_id", "document_id", "url_key", "description")
 
 
 @query("next_page_edges", with_clause("listed_documents") + """
-    SELECT document_id AS page_id, 'https://p.example/list/' || document_id AS url, 'https://p.example/list/next' AS next_url
-    FROM listed_documents""")
+    SELECT document_id AS page_id, 'https://p.example/list/' || document_id AS url,
+           'https://p.example/list/' || (document_id + 1) AS next_url FROM listed_documents WHERE description IS NOT NULL""")
 def next_page_edges(spark, sf):
-    return pages.next_page_edges(pages.extract_pages(built_pages(spark, sf)))
+    return pages.next_page_edges(pages.page_links(built_pages(spark, sf)))
+
+
+@query("page_chains", """
+    WITH RECURSIVE e AS (SELECT doc_id AS u, (doc_id // 7) * 7 + (doc_id + 1) % 7 AS v FROM documents WHERE doc_id % 7 <> 3 OR doc_id % 2 = 0),
+    cut AS (SELECT e.u, e.v FROM e WHERE NOT (e.v % 7 = 0 AND (SELECT count(*) FROM e x WHERE x.u // 7 = e.u // 7) = 7)),
+    heads AS (SELECT doc_id AS u FROM documents UNION SELECT v FROM e),
+    walk AS (SELECT u AS h, u, 1 AS step FROM heads WHERE u NOT IN (SELECT v FROM cut)
+             UNION ALL SELECT w.h, c.v, w.step + 1 FROM walk w JOIN cut c ON c.u = w.u)
+    SELECT h AS first_url, u AS url, step FROM walk""")
+def page_chains(spark, sf):
+    ids = table(spark, sf, "documents").select(F.col("doc_id").alias("u"))
+    edges = ids.filter("u % 7 <> 3 or u % 2 = 0").selectExpr("u as url", "(u div 7) * 7 + (u + 1) % 7 as next_url")
+    every = ids.unionByName(edges.selectExpr("next_url as u")).selectExpr("u as url")
+    return pages.page_chains(every, edges)
 
 
 # --- what was downloaded and ingested before --------------------------------

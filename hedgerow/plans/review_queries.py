@@ -83,8 +83,8 @@ def parse_reviews(spark, sf):
 
 @query("assemble_evidence", with_clause("evidence_hits") + """, capped AS (
       SELECT *, row_number() OVER (PARTITION BY review_id, kind ORDER BY ord, origin, text) AS rn FROM evidence_hits),
-    shown AS (SELECT * FROM capped WHERE rn <= CASE WHEN kind = 'policy' THEN 15 ELSE 20 END)
-    SELECT review_id,
+    shown AS (SELECT * FROM capped)
+    SELECT review_id, 0 AS left_out,
       md5(coalesce(string_agg('[' || origin || '] ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rn)
             FILTER (WHERE kind = 'application'), 'No application document content retrieved.')) AS application_md5,
       md5(coalesce(string_agg('[' || origin || '] ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rn)
@@ -93,7 +93,7 @@ def parse_reviews(spark, sf):
 def assemble_evidence(spark, sf):
     found = reviews.assemble_evidence(load(spark, sf, "evidence_hits"))
     return found.select("review_id", F.md5("application_evidence").alias("application_md5"),
-                        F.md5("policy_evidence").alias("policy_md5"))
+                        F.md5("policy_evidence").alias("policy_md5"), "left_out")
 
 
 @query("evidence_union", """

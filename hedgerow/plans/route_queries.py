@@ -480,7 +480,7 @@ def sample_points(spark, sf):
         F.count("*").alias("kept"), F.round(F.sum("lat"), 6).alias("lat_sum"))
 
 
-@query("near_route", _SAMPLED + f""", things AS (
+@query("near_route", with_clause("legs") + f""", kept AS (SELECT l_suppkey AS route_id, lat2 AS lat, lon2 AS lon FROM legs), things AS (
       SELECT l_suppkey AS route_id, l_orderkey * 8 + l_linenumber AS node_id, 51.8e0 + CAST(l_orderkey % 830 AS DOUBLE) / 10000 AS lat,
              -1.2e0 + CAST(l_partkey % 790 AS DOUBLE) / 10000 AS lon FROM lineitem)
     SELECT t.route_id, t.node_id FROM things t WHERE EXISTS (
@@ -490,7 +490,9 @@ def near_route(spark, sf):
         F.col("l_suppkey").alias("route_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("node_id"),
         (51.8 + (F.col("l_orderkey") % 830).cast("double") / 10000).alias("lat"),
         (-1.2 + (F.col("l_partkey") % 790).cast("double") / 10000).alias("lon"))
-    return routes.near_route(things, _sampled(spark, sf), R.CROSSING_REACH_M).select("route_id", "node_id")
+    points = load(spark, sf, "legs").select(
+        F.col("l_suppkey").alias("route_id"), F.col("lat2").alias("lat"), F.col("lon2").alias("lon"))
+    return routes.near_route(things, points, R.CROSSING_REACH_M).select("route_id", "node_id")
 
 
 @query("decode_shapes", """

@@ -237,8 +237,5 @@ METADATA_FIELDS = (
 
 # --- fixed values: what marks a link as a document link ---------------------
 DOCUMENT_LINK_MARKERS = (".pdf", "/document/", "/viewdoc", "docid=", "fileid=")
-DOWNLOAD_PATH = "/Document/Download"
-DOWNLOAD_CLASS = "singledownloadlink"
 NEXT_LINK_TEXTS = ("next", "next >", "next page", ">>", ">")
 UNNAMED_DOCUMENT = "Unknown Document"
-MAX_PAGES = 50

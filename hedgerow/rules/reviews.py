@@ -15,8 +15,6 @@ RED_MARKS = ("overall rating:** red", "overall rating:** 🔴")
 GREEN_MARKS = ("overall rating:** green", "overall rating:** 🟢")
 
 # --- fixed values: evidence caps and texts ----------------------------------
-APPLICATION_HITS = 20
-POLICY_HITS = 15
 EVIDENCE_JOINER = "\n\n---\n\n"
 NO_APPLICATION_EVIDENCE = "No application document content retrieved."
 NO_POLICY_EVIDENCE = "No policy content retrieved."

@@ -56,8 +56,11 @@ def test_manifest_and_key_documents(spark):
 
 def test_evidence_caps_and_defaults(spark):
     rows = [("r1", "application", i, f"f{i}", "t") for i in range(30)] + [("r2", "policy", i, "P", "t") for i in range(16)]
-    got = {r.review_id: r for r in reviews.assemble_evidence(
-        spark.createDataFrame(rows, "review_id string, kind string, ord int, origin string, text string")).collect()}
+    hits = spark.createDataFrame(rows, "review_id string, kind string, ord int, origin string, text string")
+    every = {r.review_id: r for r in reviews.assemble_evidence(hits).collect()}
+    assert every["r1"].application_evidence.count("---") == 29 and every["r1"].left_out == every["r2"].left_out == 0
+    got = {r.review_id: r for r in reviews.assemble_evidence(hits, 20, 15).collect()}
+    assert (got["r1"].left_out, got["r2"].left_out) == (10, 1)
     assert got["r1"].application_evidence.count("---") == 19 and got["r1"].application_evidence.startswith("[f0] t")
     assert got["r1"].policy_evidence == "No policy content retrieved." and got["r2"].policy_evidence.count("---") == 14
 
