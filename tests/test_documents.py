@@ -79,56 +79,38 @@ def test_dates_and_ids(spark):
                          "25_01178_REM_a1b2c3_014_1042", "S__r__Chapter_5_a__004", "Section 3.2", "b.c", ""]
 
 
-REGISTER = """<table class="summaryTbl"><tr><td>Location <br/> <div><span> 1  High St </span></div></td>
-<td>Proposal<br><span>Homes</span></td><td>No break <span>x</span></td></tr></table>
-<dl><dt>Ward:</dt><dd>North</dd></dl>"""
-LISTS = """<dl><dt>Case Officer:</dt><dd>A B</dd></dl><table><tr><th>Site Address</th><td>2 Low Rd</td></tr>
-<tr><td>Decision Date</td><td>3/2/2025</td></tr></table><div class="label">Parish</div><div>P</div>"""
-SECTIONS = """<table><tr><th>Type</th><th>Date</th></tr><tr><th>Site Plans</th></tr>
-<tr><td><input></td><td><a class="singledownloadlink" href="/Document/Download?a=1">f.pdf</a></td><td>01/02/2024</td><td>Block plan</td></tr>
-<tr><td colspan="4"> Public  Comments </td></tr>
-<tr><td></td><td><a class="singledownloadlink" href="/Document/Download?a=2">g.pdf</a></td></tr>
-<tr><td><b>Other</b></td></tr><tr><td><a class="singledownloadlink" href="/elsewhere">h</a></td></tr></table>"""
-TABLE = """<table><tr><th>Document</th><th>Category</th><th>Date published</th></tr>
-<tr><td><a href="docs/1.pdf"></a>Plan</td><td>Plans</td><td>2024-01-02</td></tr><tr><td>no link</td></tr></table>"""
-LINKS = """<p>Report <a href="//x.example/r.PDF"></a></p><a href="/about">About</a><a href="p2">Next &gt;</a>"""
-PAGER = """<span class="page current">1</span><a href="?p=2">2</a>"""
+HTML = {
+    1: """<p><a class="x" href="/Document/Download?a=1&amp;FILEID=2"> <b>Block</b>\n plan</a><A HREF='r.PDF'></A><a name="t">no</a></p>""",
+    2: """<a href=about>About</a><a href="?p=2" title='>'>Next &gt;</a><a href="?p=3">next</a>""", 3: "", 4: None, 5: "<a href='x'>never closed",
+}
 
 
 @pytest.fixture(scope="module")
-def extracted(spark):
-    html = {1: REGISTER, 2: LISTS, 3: SECTIONS, 4: TABLE, 5: LINKS, 6: PAGER, 7: "", 8: "<table><tr><td>broken"}
-    rows = [(i, f"https://p.example/list/{i}", h) for i, h in html.items()]
-    return pages.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).cache()
+def links(spark):
+    rows = [(i, f"https://p.example/list/{i}", h) for i, h in HTML.items()]
+    return pages.page_links(spark.createDataFrame(rows, "page_id int, url string, html string")).cache()
 
 
-def test_fields_stop_at_the_first_layout_with_an_address(extracted):
-    got = {r.page_id: r.asDict() for r in pages.extract_fields(extracted).collect()}
-    assert (got[1]["address"], got[1]["proposal"], got[1]["ward"]) == ("1 High St", "Homes", None)
-    assert (got[2]["address"], got[2]["case_officer"], str(got[2]["decision_date"]), got[2]["parish"]) == (
-        "2 Low Rd", "A B", "2025-02-03", None)
+def test_links_of_pages(links):
+    got = [(r.page_id, r.link_no, r.href, r.label) for r in links.orderBy("page_id", "link_no").collect()]
+    assert [g[:3] for g in got] == [(1, 0, "/Document/Download?a=1&amp;FILEID=2"), (1, 1, "r.PDF"), (2, 0, "about"), (2, 1, "?p=2"), (2, 2, "?p=3")]
+    assert got[0][3] == "Block plan" and got[1][3] == ""
+    assert [(r.description, r.document_url) for r in pages.document_links(links).orderBy("link_no").collect()] == [
+        ("Block plan", "https://p.example/Document/Download?a=1&amp;FILEID=2"), ("Unknown Document", "https://p.example/list/r.PDF")]
 
 
-def test_document_layouts(extracted):
+def test_next_pages_and_chains(spark, links):
+    assert {r.page_id: r.next_url for r in pages.next_page_edges(links).collect()} == {2: "https://p.example/list/?p=3"}
+    edges = [(f"u{i:02d}", f"u{i + 1:02d}") for i in range(69)] + [("v0", "v1"), ("c1", "c2"), ("c2", "c0"), ("c0", "c1"), ("s", "s"), ("t", "c2")]
+    chain = spark.createDataFrame(edges, "url string, next_url string")
+    urls = spark.createDataFrame([(u,) for e in edges for u in e] + [("w",)], "url string")
     got = {}
-    for r in pages.document_rows(extracted).orderBy("page_id", "row_no").collect():
-        got.setdefault(r.page_id, []).append((r.layout, r.description, r.document_type, r.date_published and str(r.date_published), r.document_url))
-    assert got[3] == [(1, "Block plan", "Site Plans", "2024-02-01", "https://p.example/Document/Download?a=1"),
-                      (1, "g.pdf", "Public Comments", None, "https://p.example/Document/Download?a=2")]
-    assert got[4] == [(2, "Plan", "Plans", "2024-01-02", "https://p.example/list/docs/1.pdf")]
-    assert got[5] == [(4, "Report", None, None, "https://x.example/r.PDF")]
-    assert set(got) == {3, 4, 5}
-
-
-def test_next_pages_and_chains(spark, extracted):
-    edges = {r.page_id: r.next_url for r in pages.next_page_edges(extracted).collect()}
-    assert edges == {5: "https://p.example/list/p2", 6: "https://p.example/list/?p=2"}
-    chain = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(69)] + [("v0", "v1")], "url string, next_url string")
-    urls = spark.createDataFrame([(f"u{i}",) for i in range(70)] + [("v0",), ("v1",), ("w",)], "url string")
-    got = pages.page_chains(urls, chain).collect()
-    assert sorted(r.step for r in got if r.first_url == "u0") == list(range(1, 51))
-    assert {(r.url, r.step) for r in got if r.first_url in ("v0", "w")} == {("v0", 1), ("v1", 2), ("w", 1)}
-    assert all(r.url == f"u{r.step - 1}" for r in got if r.first_url == "u0")
+    for r in pages.page_chains(urls, chain).orderBy("first_url", "step").collect():
+        got.setdefault(r.first_url, []).append(r.url)
+    assert got.pop("u00") == [f"u{i:02d}" for i in range(70)]
+    assert got == {"v0": ["v0", "v1"], "w": ["w"], "c0": ["c0", "c1", "c2"], "s": ["s"], "t": ["t", "c2"]}
+    short = pages.page_chains(urls, chain, max_pages=50).filter("first_url = 'u00'").collect()
+    assert sorted(r.step for r in short) == list(range(1, 51))
 
 
 def test_repeated_names_get_numbers(spark):
