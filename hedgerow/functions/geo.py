@@ -14,14 +14,34 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def way_length_m(geometry: Column) -> Column:
-    """Summed leg lengths of an array of (lat, lon) points; 0 for fewer than two."""
-    count = F.coalesce(F.size(geometry), F.lit(0))
-    legs = F.zip_with(
-        F.slice(geometry, F.lit(1), F.greatest(count - 1, F.lit(0))),
-        F.slice(geometry, F.lit(2), F.greatest(count - 1, F.lit(0))),
-        lambda a, b: haversine_m(a["lat"], a["lon"], b["lat"], b["lon"]),
-    )
-    return F.when(count >= 2, F.aggregate(legs, F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
+    """Summed leg lengths of an array of (lat, lon) points; 0 for fewer than two, null where a coordinate is.
+
+    Arrow batches instead of array lambdas, which would keep the whole projection around them out of code generation.
+    """
+    import pyarrow as pa
+
+    @F.arrow_udf("double")
+    def lengths(shapes: pa.Array) -> pa.Array:
+        return _lengths(shapes)
+
+    return lengths(geometry)
+
+
+def _lengths(shapes):
+    """Legs of a batch of ways as one array of points; each way's legs are added up in order."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    counts = pc.list_value_length(shapes).fill_null(0).to_numpy(zero_copy_only=False)
+    points = shapes.flatten()
+    lat, lon = (np.radians(pc.struct_field(points, n).cast(pa.float64()).to_numpy(zero_copy_only=False)) for n in ("lat", "lon"))
+    way = np.repeat(np.arange(len(counts)), counts)
+    inside = way[1:] == way[:-1]
+    half_lat, half_lon = (np.sin((x[1:] - x[:-1])[inside] / 2) for x in (lat, lon))
+    a = half_lat * half_lat + (np.cos(lat[:-1]) * np.cos(lat[1:]))[inside] * half_lon * half_lon
+    legs = 2.0 * R.EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+    return pa.array(np.bincount(way[1:][inside], legs, len(counts)).astype(float), from_pandas=True)
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -51,27 +51,24 @@ def distinct_way_ids(edges: DataFrame) -> DataFrame:
 def _best_parallel(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Best candidate within 30 degrees for each question (route_id, angle), angles modulo 180.
 
-    The reach of an angle in one-degree cell q is 59 whole cells, q-29 to q+29, and parts of the
-    cells q-30 and q+30.  Everything meets on (route, q): whole cells bring their winner (at most
-    180 rows a route, entered 59 times), part cells are answered by running maxima over the sorted
-    positions within the cell, up to the exact angle.
+    Cells are 30 degrees wide, so an angle reaches its whole own cell and part of the two beside it.  Everything meets
+    on (route, cell): the own cell brings its winner once, the cells beside it their candidates, answered by running
+    maxima over the sorted positions within the cell, up to the exact angle.
     """
     def row(q, part, role, best, angle):
         return F.struct(q.alias("q"), part.alias("part"), F.lit(role).alias("role"), best.alias("best"),
                         angle.alias("angle"))
 
-    part = F.col("angle") - F.col("cell")
+    part = F.col("angle") - F.col("cell") * 30
     nothing, no_angle = F.lit(None).cast(candidates.schema["best"].dataType), F.lit(None).cast("double")
     edges = F.array(
-        row(F.pmod(F.col("cell") - 30, F.lit(180)), part, 1, F.col("best"), no_angle),
-        row(F.pmod(F.col("cell") + 30, F.lit(180)), part, 2, F.col("best"), no_angle))
+        row(F.pmod(F.col("cell") - 1, F.lit(6)), part, 1, F.col("best"), no_angle),
+        row(F.pmod(F.col("cell") + 1, F.lit(6)), part, 2, F.col("best"), no_angle))
     cells = candidates.groupBy("route_id", "cell").agg(F.max("best").alias("best"))
-    around = F.transform(F.sequence(F.lit(-29), F.lit(29)), lambda step: row(
-        F.pmod(F.col("cell") + step, F.lit(180)), no_angle, 3, F.col("best"), no_angle))
     rows = (
         questions.select("route_id", row(F.col("cell"), part, 0, nothing, F.col("angle")).alias("r"))
         .unionByName(candidates.select("route_id", F.explode(edges).alias("r")))
-        .unionByName(cells.select("route_id", F.explode(around).alias("r")))
+        .unionByName(cells.select("route_id", row(F.col("cell"), no_angle, 3, F.col("best"), no_angle).alias("r")))
         .select("route_id", "r.*")
     )
     cell = Window.partitionBy("route_id", "q")
@@ -101,7 +98,7 @@ def upgrade_parallel(segments: DataFrame, map_ways: DataFrame) -> DataFrame:
     angle = F.pmod(geo.way_bearing(F.col("geometry")), F.lit(180.0))
     angles = map_ways.select("route_id", "ord", "way_id", angle.alias("angle"), F.size("geometry").alias("nodes"),
                              *ways.pulled(F.col("tags")))
-    cell = F.floor("angle").cast("int").alias("cell")
+    cell = F.floor(F.floor("angle") / 30).cast("int").alias("cell")  # whole degrees first: exact at the edges
     # such ways are always segregated or shared use
     candidates = (
         angles.filter("nodes >= 2").filter((highway == "cycleway") | (highway.isin(*R.PARALLEL_PATHS)
