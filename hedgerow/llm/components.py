@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         hung = low.select("u", F.col("m").alias("v"))
@@ -34,3 +34,19 @@ def components(edges: DataFrame) -> DataFrame:
     roots = now.select(F.col("v").alias("node")).distinct().join(now.select(F.col("u").alias("node")), "node", "left_anti")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root")))
+
+
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after adding ``edges`` to the graph that ``roots``, a result of ``components``, describes.
+
+    Only the components that the new edges touch are worked on.
+    """
+    def at(side: str) -> DataFrame:
+        return roots.select(F.col("node").alias(side), F.col("root").alias("root_" + side))
+
+    ends = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = written(components(ends), "moved")
+    kept = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(
+        "node", F.coalesce("to", "root").alias("root"))
+    return kept.unionByName(moved.join(roots.select("node"), "node", "left_anti"))

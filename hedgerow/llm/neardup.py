@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.components import components
+from hedgerow.llm.components import components, merged
 from hedgerow.llm.shared import column_bytes, discard, mix, salted_join, word_hashes, written
 
 
@@ -20,7 +20,8 @@ class NearDup:
     """``bands`` x ``rows`` universal hash minima. At a similarity of 0.75, 40 bands of 5 miss a pair once in 50,000.
 
     ``block``: members of a bucket compared at a time. ``doubt``: pairs whose signatures agree less are not looked
-    at again (four standard deviations under 0.75).
+    at again (four standard deviations under 0.75). ``likely``: where the first comparison inside buckets stops.
+    ``most``: pairs of two components in a bucket that are confirmed one by one.
     """
 
     words: int = 5
@@ -29,6 +30,8 @@ class NearDup:
     rows: int = 5
     block: int = 256
     doubt: float = 0.63
+    likely: float = 0.72
+    most: int = 2
 
 
 _PLACES = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
@@ -126,75 +129,140 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sided.mapInArrow(check, "a long, b long, linked boolean").where("linked").select("a", "b").distinct()
 
 
-def _across(buckets: DataFrame, roots: DataFrame, marks: DataFrame, how: NearDup, most: int) -> tuple[DataFrame, int]:
-    """Pairs of different components that still share a bucket and whose signatures leave it open whether they are linked.
+def _grouped(batches, fields):
+    """Runs of rows with one (key, i, j) in sorted batches, as (key, arrays of ``fields``); a run may span batches."""
+    open_key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        columns = fields(batch)
+        for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
+            key = tuple(keys[lo])
+            if key != open_key:
+                if parts:
+                    yield open_key[0], [np.concatenate(x) for x in zip(*parts)]
+                open_key, parts = key, []
+            parts.append([c[lo:hi] for c in columns])
+    if parts:
+        yield open_key[0], [np.concatenate(x) for x in zip(*parts)]
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _parted(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    return buckets.join(roots.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+
+def _likely(buckets: DataFrame, roots: DataFrame, marks: DataFrame, how: NearDup, doubt: float, most: int) -> DataFrame:
+    """(a, b, null): pairs of different components that share a bucket and agree in at least ``doubt`` of the minima.
 
     Each bucket with members of more than one component is cut into blocks; two blocks at a time are compared in
-    memory. For each member and other component the ``most`` likeliest pairs come out. Also returns how many rows
-    say that there were more than that.
+    memory, and a pair only in the first band it shares. For each two components that meet there, the ``most``
+    likeliest pairs come out, and (null, null, key) if there were more.
     """
-    rooted = buckets.join(roots.withColumnRenamed("root", "part"), "node", "left").withColumn(
-        "part", F.coalesce("part", "node"))
+    rooted = _parted(buckets, roots)
     unsettled = rooted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where(
         "lo <> hi").select("key", F.ceil(F.col("n") / how.block).cast("int").alias("blocks"))
     dealt = rooted.join(unsettled, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.join(marks, "node").select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part",
-        "signature")
-    doubt = how.doubt
+        "signature", "band")
+    bands, rows = how.bands, how.rows
 
-    def compare(group):
-        blocks, nodes, parts, minima = (np.concatenate(x) for x in zip(*group))
-        twice = blocks.min() != blocks.max()
+    def compare(key, blocks, nodes, parts, minima, numbers):
+        twice, found, band = blocks.min() != blocks.max(), [], numbers[0]
         for u in range(len(nodes)):
-            agree = (minima == minima[u]).mean(axis=1)
-            near = (agree >= doubt) & (parts != parts[u])
-            near &= (blocks != blocks[u]) if twice else (np.arange(len(nodes)) > u)
-            found = np.flatnonzero(near)
-            if not len(found):
-                continue
-            taken: dict[int, int] = {}
-            for v in found[np.lexsort((nodes[found], -agree[found]))]:
-                taken[parts[v]] = taken.get(parts[v], 0) + 1
-                if taken[parts[v]] <= most:
-                    yield min(nodes[u], nodes[v]), max(nodes[u], nodes[v]), False
-                elif taken[parts[v]] == most + 1:
-                    yield nodes[u], nodes[v], True
+            rest = np.flatnonzero((parts[u + 1:] != parts[u]) & ((blocks[u + 1:] != blocks[u]) | (not twice))) + u + 1
+            if len(rest):
+                agree = (minima[rest] == minima[u]).mean(axis=1)
+                rest, agree = rest[agree >= doubt], agree[agree >= doubt]
+                shared = (minima[rest].reshape(-1, bands, rows) == minima[u].reshape(bands, rows)).all(axis=2).argmax(axis=1)
+                near, agree = rest[shared == band], agree[shared == band]
+                if len(near):
+                    found.append(np.stack([np.full(len(near), u), near, (-1e6 * agree).astype(np.int64)]))
+        if not found:
+            return
+        u, v, score = np.concatenate(found, axis=1)
+        first, second = np.minimum(parts[u], parts[v]), np.maximum(parts[u], parts[v])
+        order = np.lexsort((nodes[v], nodes[u], score, second, first))
+        u, v, first, second = u[order], v[order], first[order], second[order]
+        fresh = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+        rank = np.arange(len(u)) - np.repeat(fresh, np.diff(np.append(fresh, len(u))))
+        for x, y in zip(nodes[u[rank < most]], nodes[v[rank < most]]):
+            yield min(x, y), max(x, y), None
+        if (rank >= most).any():
+            yield None, None, key
+
+    def fields(batch):
+        return [*(batch.column(k).to_numpy() for k in (3, 4, 5)),
+                np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(6)]), batch.column(7).to_numpy()]
 
     def sweep(batches):
-        open_key, group = None, []
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            blocks, nodes, parts = (batch.column(k).to_numpy() for k in (3, 4, 5))
-            minima = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(6)]) if len(keys) else None
-            out = []
-            for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
-                if lo == hi:
-                    continue
-                key = tuple(keys[lo])
-                if key != open_key:
-                    if group:
-                        out += compare(group)
-                    open_key, group = key, []
-                group.append((blocks[lo:hi], nodes[lo:hi], parts[lo:hi], minima[lo:hi]))
-            yield from as_batch(out)
-        if group:
-            yield from as_batch(list(compare(group)))
-
-    def as_batch(out):
-        if out:
-            a, b, more = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+        for key, columns in _grouped(batches, fields):
+            if out := list(compare(key, *columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "key"])
+
+    return written(_dealt(dealt).mapInArrow(sweep, "a long, b long, key long").distinct(), "likely")
+
+
+def _linked(buckets: DataFrame, roots: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """(a, b): links on full sets between different components of each bucket, at least one of each two that have any.
+
+    The bucket's largest component is cut into blocks and so are its other members; the others' blocks are compared
+    with each other and with each block of the largest component, in memory. Only links come out.
+    """
+    rooted = _parted(buckets, roots)
+    sizes = rooted.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("part", F.struct("n", "part")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
+    rows = rooted.join(sizes, "key")
+    wide, narrow = (F.ceil(F.col(n) / how.block).cast("int") for n in ("wide", "narrow"))
+    rows = rows.select("key", "node", "part", (F.col("part") == F.col("largest")).alias("large"), F.col("most").alias("wide"),
+                       (F.col("all") - F.col("most")).alias("narrow")).withColumn("wide", wide).withColumn("narrow", narrow)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("wide")).otherwise(F.col("narrow"))).cast("int"))
+    rest, large = F.sequence(F.lit(0), F.col("narrow") - 1), F.sequence(F.lit(0), F.col("wide") - 1)
+    pair = lambda i, j: F.named_struct(F.lit("i"), i, F.lit("j"), j)
+    own = F.col("block")
+    met = F.when(F.col("large"), F.transform(rest, lambda x: pair(x, F.lit(-1) - own))).otherwise(F.concat(
+        F.transform(large, lambda x: pair(own, F.lit(-1) - x)),
+        F.transform(rest, lambda x: pair(F.least(own, x), F.greatest(own, x)))))
+    dealt = rows.withColumn("m", F.explode(met)).withColumn("block", F.when(F.col("large"), F.lit(-1) - own).otherwise(own))
+    dealt = dealt.join(sets, "node").select("key", "m.i", "m.j", "block", "node", "part", "members")
+    percent = how.percent
+
+    def compare(_, blocks, nodes, parts, members):
+        sizes = np.array([len(x) for x in members])
+        owner, every = np.repeat(np.arange(len(nodes)), sizes), np.concatenate(members)
+        group = {p: p for p in parts}
+        two = blocks.min() != blocks.max()
+        for u in range(len(nodes)):
+            if two and blocks[u] != blocks.max():
+                continue  # the other block's members look for it
+            at = np.minimum(np.searchsorted(members[u], every), sizes[u] - 1)
+            both = np.bincount(owner[members[u][at] == every], minlength=len(nodes))
+            good = (100 * both >= percent * (sizes[u] + sizes - both)) & (parts != parts[u])
+            for v in np.flatnonzero(good & (blocks != blocks[u])) if two else np.flatnonzero(good):
+                x, y = group[parts[u]], group[parts[v]]
+                if x != y:
+                    group = {p: min(x, y) if g in (x, y) else g for p, g in group.items()}
+                    yield min(nodes[u], nodes[v]), max(nodes[u], nodes[v])
+
+    def fields(batch):
+        held = np.empty(batch.num_rows, object)
+        held[:] = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(6)]
+        return [*(batch.column(k).to_numpy() for k in (3, 4, 5)), held]
+
+    def sweep(batches):
+        for key, columns in _grouped(batches, fields):
+            if out := list(compare(key, *columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    parts = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    found = dealt.repartition(int(parts), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        sweep, "a long, b long, more boolean")
-    found = written(found.distinct(), "across")
-    more = found.where("more").limit(1).count()
-    return found.where("NOT more").select("a", "b"), more
+    return _dealt(dealt).mapInArrow(sweep, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", how: NearDup = NearDup()) -> DataFrame:
@@ -202,8 +270,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", how
 
     Texts with equal sets form one class and only the class's smallest id goes on. Class members meet in band buckets;
     each bucket is first held against its smallest member, links are confirmed on full sets, and components are
-    formed. Buckets that then still hold several components are compared block by block, only between components,
-    until no open pair is left: no bucket is capped and no bucket's pairs are all written out.
+    formed. Buckets that then still hold several components are compared block by block, only between components: the
+    likeliest pairs of each two components are confirmed next, and where a bucket has more of them, all its members
+    are compared on full sets. No bucket is capped and no bucket's pairs are all written out.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with equal ids are one document
     for linking and each gives a row. A row with a null id is linked with nothing, its component is null and it is
@@ -214,23 +283,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", how
     classes = written(classes, "classes")
     chosen = rows.where("digest IS NOT NULL").join(
         classes.withColumnRenamed("node", "id"), ["digest", "id"], "left_semi").select(F.col("id").alias("node"), "signature", "keys")
-    keyed = chosen.select("node", F.explode("keys").alias("key"))
+    keyed = chosen.select("node", F.posexplode("keys").alias("band", "key"))
     centres = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last")
-    buckets = written(keyed.join(centres.select("key", "centre"), "key"), "buckets")
+    buckets = written(keyed.join(centres.select("key", "centre"), "key").distinct(), "buckets")
     nodes = buckets.select("node").distinct()
     sets = written(_sets(docs, nodes, id, text, how.words), "sets")
     pairs = buckets.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirmed(pairs, sets, how.percent), "confirmed")
     marks = chosen.select("node", "signature")
-    most = 2
-    while True:
-        roots = written(components(links), "roots")
-        pairs, more = _across(buckets.select("key", "node").distinct(), roots, marks, how, most)
-        extra = written(_confirmed(pairs, sets, how.percent), "confirmed")
-        new = extra.limit(1).count()
-        if not new and not more:
-            break
-        links, most = written(links.unionByName(extra), "confirmed"), most * 8 if more else most
+    roots = written(components(links), "roots")
+    for doubt, most in ((how.likely, 1), (how.doubt, how.most)):
+        found = _likely(buckets, roots, marks, how, doubt, most)
+        extra = written(_confirmed(found.where("key IS NULL").select("a", "b"), sets, how.percent), "confirmed")
+        roots = written(merged(roots, extra), "roots")
+    left = buckets.join(found.where("key IS NOT NULL").select("key").distinct(), "key", "left_semi")
+    extra = written(_linked(left.select("key", "node"), roots, sets, how), "confirmed")
+    roots = written(merged(roots, extra), "roots")
     for table in (buckets, sets):
         discard(table)
     rooted = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
