@@ -28,7 +28,7 @@ class NearDup:
     percent: int = 75
     bands: int = 40
     rows: int = 5
-    block: int = 256
+    block: int = 1024
     doubt: float = 0.63
     likely: float = 0.72
     most: int = 2
