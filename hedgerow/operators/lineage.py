@@ -1,10 +1,21 @@
 """Cutting lineage in loops: reliable checkpoints in the folder the cluster names."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+def scratch(spark, label: str) -> str:
+    """A path that nothing uses yet, in the folder named by ``spark.checkpoint.dir`` (see ``checkpointed``)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="scratch-")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read on from there.
 

@@ -475,15 +475,6 @@ def score_routes(segments: DataFrame, routes: DataFrame, transitions: DataFrame
     return _score(df, transitions is not None, cfg)
 
 
-def max_points(cfg: R.ScoringConfig = R.DEFAULT_SCORING) -> Column:
-    """Constant struct of the points each part of the score can give."""
-    return F.struct(
-        F.lit(cfg.segregation_points).alias("segregation"), F.lit(cfg.speed_points).alias("speed_safety"),
-        F.lit(cfg.surface_points).alias("surface_quality"), F.lit(cfg.directness_points).alias("directness"),
-        F.lit(cfg.junction_points).alias("junction_safety"),
-        F.lit(cfg.transition_points).alias("transition_quality"))
-
-
 # --- issues -----------------------------------------------------------------
 
 def identify_issues(segments: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@
 def _catalog():
     from hedgerow.plans import catalog
     from hedgerow.plans import (  # noqa: F401  (they register themselves)
-        corpus_queries, document_queries, policy_queries, review_queries, route_queries,
+        corpus_queries, document_queries, policy_queries, review_queries, route_queries, source_queries,
     )
 
     return catalog

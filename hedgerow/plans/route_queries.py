@@ -480,6 +480,24 @@ def sample_points(spark, sf):
         F.count("*").alias("kept"), F.round(F.sum("lat"), 6).alias("lat_sum"))
 
 
+@query("on_route_barriers", with_clause("legs") + f""", kept AS (SELECT l_suppkey AS route_id, lat2 AS lat, lon2 AS lon FROM legs), things AS (
+      SELECT l_suppkey AS route_id, l_orderkey * 8 + l_linenumber AS node_id, l_linenumber AS way_id, 51.8e0 + CAST(l_orderkey % 830 AS DOUBLE) / 10000 AS lat,
+             -1.2e0 + CAST(l_partkey % 790 AS DOUBLE) / 10000 AS lon FROM lineitem)
+    SELECT t.route_id, t.node_id FROM things t WHERE (t.route_id % 2 = 0 AND t.way_id > 3) OR (t.route_id % 2 = 1 AND EXISTS (
+      SELECT 1 FROM kept k WHERE k.route_id = t.route_id AND {_haversine('t.lat', 't.lon', 'k.lat', 'k.lon')} <= 15))""")
+def on_route_barriers(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    barriers = rows.select(
+        F.col("l_suppkey").alias("route_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("node_id"),
+        F.col("l_linenumber").alias("way_id"), (51.8 + (F.col("l_orderkey") % 830).cast("double") / 10000).alias("lat"),
+        (-1.2 + (F.col("l_partkey") % 790).cast("double") / 10000).alias("lon"))
+    # half of the routes know their ways, and every way but the first three is on them
+    ways = barriers.filter("route_id % 2 = 0").select("route_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("way_id")).distinct()
+    points = load(spark, sf, "legs").select(
+        F.col("l_suppkey").alias("route_id"), F.col("lat2").alias("lat"), F.col("lon2").alias("lon"))
+    return routes.on_route_barriers(barriers, ways.filter("way_id > 3"), points).select("route_id", "node_id")
+
+
 @query("near_route", with_clause("legs") + f""", kept AS (SELECT l_suppkey AS route_id, lat2 AS lat, lon2 AS lon FROM legs), things AS (
       SELECT l_suppkey AS route_id, l_orderkey * 8 + l_linenumber AS node_id, 51.8e0 + CAST(l_orderkey % 830 AS DOUBLE) / 10000 AS lat,
              -1.2e0 + CAST(l_partkey % 790 AS DOUBLE) / 10000 AS lon FROM lineitem)

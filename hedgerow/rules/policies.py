@@ -7,6 +7,5 @@ CATEGORIES = (
     "national_policy", "national_guidance", "local_plan",
     "local_guidance", "county_strategy", "supplementary",
 )
-STATUSES = ("processing", "active", "failed", "superseded")
 IN_FORCE_STATUSES = ("active", "superseded")
 OPEN_END = 99991231

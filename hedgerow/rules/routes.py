@@ -46,10 +46,8 @@ ROUGH_SURFACES = ("gravel", "dirt", "grass", "mud", "sand", "ground")
 # --- fixed values: geometry -------------------------------------------------
 EARTH_RADIUS_M = 6_371_000
 BARRIER_SPACING_M = 5.0
-PARALLEL_DEGREES = 30
 BARRIER_REACH_M = 15
 CROSSING_REACH_M = 20
-WAY_REACH_M = 20
 SAMPLE_POINTS = 50
 SITE_ATTRIBUTE_PREFIXES = (
     "DLGSDST.dbo.Planning_ArcGIS_Link_Public.",
