@@ -46,13 +46,52 @@ _CLASS = _classes()
 FEATURES = 17
 
 
-def passages(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each passage, its features) over all words of all texts; a text without words has one passage of zeros."""
+def _cuts(data: np.ndarray, offsets: np.ndarray, words: int, size: int):
+    """Groups (offsets of parts, row of each part) of about ``size`` bytes; longer texts are cut between passages."""
+    ends, owners = [0], []
+    for row, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
+        ends.append(int(lo))
+        if hi - lo > size:
+            seen, step = 0, words * max(1, size // (20 * words))
+            for a, b in pieces(data[lo:hi], np.array([0, hi - lo])):
+                starts, _ = word_spans(data[lo:hi], np.array([0, hi - lo]), a, b)
+                at = np.arange(-seen % step, len(starts), step)
+                found = [int(lo + starts[k]) for k in at if seen + k]
+                ends += found
+                owners += [row] * len(found)
+                seen += len(starts)
+        owners.append(row)
+    ends = np.array([*ends[1:], int(offsets[-1])], np.int64)
+    owners, begin = np.array(owners), 0
+    while begin < len(owners):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + size, "right")) - 1)
+        yield ends[begin: end + 1], owners[begin:end]
+        begin = end
+
+
+def passages(texts: pa.Array, words: int, size: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each passage, its features) over all words of all texts; a text without words has one passage of zeros.
+
+    About ``size`` bytes are worked on at a time, whatever the lengths of the texts.
+    """
     data, offsets = column_bytes(texts)
+    rows, features = [np.zeros(0, np.int64)], [np.zeros((0, FEATURES))]
+    for ends, owners in _cuts(data, offsets, words, size):
+        part, x = _features(data[ends[0]: ends[-1]], ends - ends[0], words)
+        rows.append(owners[part])
+        features.append(x)
+    rows, features = np.concatenate(rows), np.concatenate(features)
+    empty = np.setdiff1d(np.arange(len(texts)), rows)
+    owner = np.concatenate([rows, empty])
+    order = np.argsort(owner, kind="stable")
+    return owner[order], np.concatenate([features, np.zeros((len(empty), FEATURES))])[order]
+
+
+def _features(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     rows, hashes = word_hashes(data, offsets)
     if not len(rows):
-        return np.arange(len(texts)), np.zeros((len(texts), FEATURES))
-    first = np.searchsorted(rows, np.arange(len(texts)))
+        return np.zeros(0, np.int64), np.zeros((0, FEATURES))
+    first = np.searchsorted(rows, np.arange(len(offsets) - 1))
     place = np.arange(len(rows)) - first[rows]
     fresh = np.append(True, (rows[1:] != rows[:-1]) | (place[1:] % words == 0))
     number = np.cumsum(fresh) - 1
@@ -83,11 +122,7 @@ def passages(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
         add(twice) / count, distinct / count, add(((size == 1) & (odd == 1)).astype(float)) / count, np.log1p(count) / 5,
         add((size >= 12).astype(float)) / count, add((size <= 3).astype(float)) / count, add(line) / count,
         add((capitals >= letters - beyond).astype(float)) / count], axis=1)
-    empty = np.setdiff1d(np.arange(len(texts)), rows)
-    owner = np.concatenate([rows[begin], empty])
-    features = np.concatenate([features, np.zeros((len(empty), FEATURES))])
-    order = np.argsort(owner, kind="stable")
-    return owner[order], features[order]
+    return rows[begin], features
 
 
 @dataclass(frozen=True)
