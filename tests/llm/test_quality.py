@@ -15,6 +15,17 @@ def test_passages_cover_whole_texts():
     assert np.isclose(x[4, 8], 2 / 3) and np.isclose(x[4, 10], 1 / 3)  # repeated and distinct words of "x x x"
 
 
+def test_long_texts_in_parts_give_the_same_passages():
+    random = np.random.default_rng(3)
+    long = " ".join(random.choice(["ab", "ab", "c|", "Déf", "1.2", "!!"], 5000))
+    texts = pa.array(["a b", long, "", "  " + long[:700] + "\n", None, "x"])
+    owner, x = passages(texts, 7)
+    for size in (64, 1000, 5000):
+        parts, y = passages(texts, 7, size)
+        assert (parts == owner).all() and np.allclose(x[:, :15], y[:, :15]) and np.allclose(x[:, 16], y[:, 16])
+        assert np.abs(x[:, 15] - y[:, 15]).max() < 1e-9
+
+
 def test_gradients_equal_finite_differences():
     random = np.random.default_rng(2)
     p = {"W": random.normal(size=(5, 4)), "b": random.normal(size=4), "V": random.normal(size=(4, 3)),
