@@ -1,4 +1,4 @@
-"""Benchmark decontamination by spaced seeds: hashes that skip some positions, then checks around the hits.
+"""Benchmark decontamination by seeds: hashes of runs that no passing overlap can be without, then checks around the hits.
 
 Only DataFrame functions; no Python runs on the executors.
 """
@@ -6,6 +6,7 @@ Only DataFrame functions; no Python runs on the executors.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,17 +16,29 @@ from hedgerow.llm.shared import written
 
 @dataclass(frozen=True)
 class Decontamination:
-    """``masks``: positions with 0 may differ. All masks have one length.
+    """An overlap counts if, of ``window`` tokens in a row (all tokens of a shorter item), ``percent`` % are equal.
 
-    An overlap counts if, of ``window`` tokens in a row (all tokens of a shorter item), ``percent`` % are equal.
     ``rows``: benchmark hashes up to which they are broadcast (16 bytes each); beyond it they are shuffled.
     """
 
-    masks: tuple[str, ...] = ("1101101101", "1011100111")
     window: int = 20
     percent: int = 80
     rows: int = 1_000_000
 
+    def run(self, width: int) -> int:
+        """Tokens in a row that are equal in every overlap of ``width`` tokens that counts.
+
+        The tokens that may differ cut the others into one run more than there are of them; the longest holds at least
+        its share. 4 of 20 tokens, 3 of 15, 4 of 12, 3 of 10; all of 4 or fewer.
+        """
+        differ = width - (width * self.percent + 99) // 100
+        return max(1, width // (differ + 1))
+
+    @property
+    def masks(self) -> tuple[str, ...]:
+        """What is hashed of items of at least ``window`` tokens: a run without gaps."""
+        return ("1" * self.run(self.window),)
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
@@ -36,57 +49,45 @@ def _hashed(text: str) -> Column:
     return F.transform(tokens(F.col(text).cast("string")), lambda x: F.xxhash64(x))
 
 
-def _seeds(h: str, masks: tuple[str, ...]) -> Column:
-    """Hashes at all positions under the first mask, then all under the next, and so on; fewer tokens than a mask: none."""
-    span = len(masks[0])
-
-    def under(number: int, mask: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - span), lambda i: F.xxhash64(
-            F.lit(number), *[F.get(h, i + k) for k, c in enumerate(mask) if c == "1"]))
-
-    return F.when(F.size(h) >= span, F.concat(*[under(n, m) for n, m in enumerate(masks)]))
-
-
-def _runs(h: str, n: int) -> Column:
-    """Hashes of all runs of ``n`` tokens."""
-    return F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(F.slice(h, i + 1, F.lit(n))))
-
-
-def _placed(rows: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
-    """(key, hash, position of its first token)."""
-    wide = rows.select(key, (F.size("h") - len(masks[0]) + 1).alias("m"), F.posexplode(_seeds("h", masks)).alias("p", "hash"))
-    return wide.select(key, "hash", F.pmod("p", "m").alias("at"))
+def _placed(rows: DataFrame, key: str, run: int) -> DataFrame:
+    """(key, hash, position of its first token) of all runs of ``run`` tokens; fewer tokens: none."""
+    seeds = F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda i: F.xxhash64(F.lit(run), *[F.get("h", i + k) for k in range(run)]))
+    return rows.where(F.size("h") >= run).select(key, F.posexplode(seeds).alias("at", "hash"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",
              item_text: str = "text", how: Decontamination = Decontamination()) -> DataFrame:
     """(id, item, matched, compared, doc_at) for each document and benchmark item that overlap, at their best alignment.
 
-    Benchmark and documents are hashed at every position under every mask, over whole texts. Equal hashes propose an
-    alignment; there the tokens are compared one by one, and the best ``how.window`` in a row decide, so substituted
-    tokens are tolerated and chance hits are dropped. ``doc_at``: first token of the best window in the document; ties go
-    to the earlier one. Items shorter than a mask are proposed by their whole token sequence.
+    Benchmark and documents are hashed at every position, over whole texts, in runs so short that every overlap that
+    counts has an equal one (``how.run`` of the item's compared width). Equal hashes propose an alignment; there the
+    tokens are compared one by one, and the best ``how.window`` in a row decide, so substituted tokens are tolerated and
+    chance hits are dropped. ``doc_at``: first token of the best window in the document; ties go to the earlier one.
 
     Null and empty texts overlap with nothing. Rows with a null id cannot be named and are left out. Rows with equal
     ids are looked at one by one and reported once. No rows give no rows; extra columns are ignored.
     """
-    span = len(how.masks[0])
     items = written(benchmark.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), _hashed(item_text).alias("h")).where(
         F.size("h") > 0).distinct(), "items")
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), _hashed(text).alias("h"))
-    known = written(_placed(items, "item", how.masks).distinct(), "seeds")
+    least = F.least(F.lit(how.window), F.size("h"))
+    # at most ``how.window`` widths, and far fewer lengths of runs
+    widths = {r.n for r in items.select(least.alias("n")).distinct().collect()}
+    runs = sorted({how.run(n) for n in widths})
+    if not runs:
+        runs, widths = [1], {1}  # no items, no rows
+
+    def all_placed(df, key, of=lambda df, run: df):
+        return reduce(DataFrame.unionByName, [_placed(of(df, run), key, run) for run in runs])
+
+    known = written(all_placed(items, "item", lambda df, run: df.where(least.isin([n for n in widths if how.run(n) == run]))).distinct(), "seeds")
     # the width is known by then: hashes, items and positions of the benchmark alone
     few = known.count() <= how.rows
     sized = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     seen = sized(known.select("hash").distinct())
-    hits = written(_placed(rows, "id", how.masks).join(seen, "hash"), "hits")
+    hits = written(all_placed(rows, "id").join(seen, "hash"), "hits")
     starts = hits.join(sized(known.select("hash", "item", F.col("at").alias("b"))), "hash").select(
         "id", "item", (F.col("at") - F.col("b")).alias("shift")).distinct()
-    lengths = [r.n for r in items.where(F.size("h") < span).select(F.size("h").alias("n")).distinct().collect()]  # fewer than a mask's length
-    for n in sorted(lengths):
-        short = items.where(F.size("h") == n).select("item", F.xxhash64("h").alias("hash"))
-        found = rows.where(F.size("h") >= n).select("id", F.posexplode(_runs("h", n)).alias("shift", "hash")).join(sized(short), "hash")
-        starts = starts.unionByName(found.select("id", "item", "shift").distinct())
     wanted = written(starts, "alignments")
     texts = rows.join(wanted.select("id").distinct(), "id", "left_semi")
     sided = wanted.join(texts, "id").join(items.select("item", F.col("h").alias("g")), "item")

@@ -1,4 +1,8 @@
+import random
 import re
+from itertools import combinations
+
+import pytest
 
 from hedgerow.llm import decontam
 from hedgerow.llm.decontam import Decontamination, clean, overlaps
@@ -79,3 +83,48 @@ def test_no_rows(frame):
 def test_main_path_runs_no_python(frame, capsys):
     overlaps(frame(documents(), DOCS), frame(items(), ITEMS)).explain()
     assert "Python" not in (plan := capsys.readouterr().out) and "InArrow" not in plan and decontam
+
+
+def everywhere(docs, items, how=Decontamination()):
+    """All windows of all alignments, without any seeds."""
+    out = {}
+    for d, text, _ in docs:
+        h = text.split()
+        for i, other, _ in items:
+            g = other.split()
+            width = min(how.window, len(g))
+            for at in range(len(h) - width + 1):
+                for b in range(len(g) - width + 1):
+                    matched = sum(x == y for x, y in zip(h[at:at + width], g[b:b + width]))
+                    if matched * 100 >= width * how.percent:
+                        best = (-matched, at, width)
+                        out[d, i] = min(out.get((d, i), best), best)
+    return {(d, i, -m, w, at) for (d, i), (m, at, w) in out.items()}
+
+
+@pytest.mark.parametrize("width", range(1, 21))
+def test_every_pattern_that_counts_has_an_equal_run(width):
+    how = Decontamination()
+    differ = max(n for n in range(width + 1) if (width - n) * 100 >= width * how.percent)
+    for gone in combinations(range(width), differ):
+        cuts = [-1, *gone, width]
+        assert max(b - a - 1 for a, b in zip(cuts, cuts[1:])) >= how.run(width)
+
+
+def test_equals_all_alignments_without_seeds(frame):
+    draw = random.Random(3)
+    bench = [(n, " ".join(f"i{n}t{k}" for k in range(n)), 1) for n in (1, 2, 4, 5, 7, 9, 10, 11, 12, 15, 16, 20, 31)]
+    docs = []
+    for n, text, _ in bench:
+        for changes in range(7):
+            g = text.split()
+            for k in draw.sample(range(n), min(changes, n)):
+                g[k] = f"new{k}"
+            docs.append((len(docs), " ".join(["before"] * draw.randrange(5) + g + ["after"] * draw.randrange(5)), 1))
+    tail = [f"i31t{k}" for k in range(11, 31)]
+    docs.append((900, " ".join("other" if k in (0, 2, 10, 12) else w for k, w in enumerate(tail)), 1))  # the masks hit none of these two
+    docs.append((901, " ".join("other" if k in (3, 7, 11) else f"i15t{k}" for k in range(15)), 1))
+    docs.append((902, "i5t0 i5t1 other i5t3 i5t4", 1))
+    got = found(overlaps(frame(docs, DOCS), frame(bench, ITEMS)))
+    assert got == everywhere(docs, bench)
+    assert {900, 901, 902} <= {d for d, *_ in got}
