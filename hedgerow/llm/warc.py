@@ -22,14 +22,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 class Warc:
     """``least``: payloads of fewer bytes are never revisits. ``file``: bytes after which a task begins a new archive.
 
-    ``split``: bytes of one reading range; ``read``: bytes read at a time. ``header``: no record header is longer.
+    ``split``: bytes of one reading range; ``read``: bytes read at a time.
     """
 
     least: int = 100
     file: int = 256 << 20
     split: int = 16 << 20
     read: int = 1 << 20
-    header: int = 64 << 10
 
 
 def _store(uri: str):
@@ -150,30 +149,49 @@ def _header(data: bytes) -> dict[str, str] | None:
     return fields if "WARC-Type" in fields and fields.get("Content-Length", "").isdigit() else None
 
 
-def _candidate(tape: _Tape, at: int, most: int) -> bool:
-    """Whether a gzip member with a record header starts at ``at``: bytes that only look like one fail here."""
-    inflate, out, position = zlib.decompressobj(31), b"", at
+def _candidate(tape: _Tape, at: int, most: int = 64 << 10) -> bool:
+    """Whether a gzip member with a record header starts at ``at``: bytes that only look like one fail here.
+
+    A header is read to its end, or to the member's, however long it is; only at most ``most`` bytes are decoded at a time.
+    """
+    inflate, parts, tail, position, begun = zlib.decompressobj(31), [], b"", at, False
     try:
-        while b"\r\n\r\n" not in out and len(out) < most and not inflate.eof:
-            chunk = tape.at(position, 2048)
+        while not inflate.eof:
+            chunk = inflate.unconsumed_tail or tape.at(position, 2048)
             if not chunk:
                 break
-            position += len(chunk)
-            out += inflate.decompress(chunk, most)
+            if not inflate.unconsumed_tail:
+                position += len(chunk)
+            got = inflate.decompress(chunk, most)
+            parts.append(got)
+            if not begun:
+                start = b"".join(parts)[:5]
+                if not b"WARC/".startswith(start):
+                    return False
+                begun = len(start) == 5
+            if b"\r\n\r\n" in tail + got:
+                break
+            tail = (tail + got)[-3:]
     except zlib.error:
         return False
-    return _header(out) is not None
+    return _header(b"".join(parts)) is not None
 
 
 def members(file, start: int, end: int, how: Warc):
-    """(position, fields, block) of the records that start in bytes ``start`` to ``end``, wherever they end."""
-    tape, at = _Tape(file, start, how.read), start
+    """(position, fields, block) of the records that start in bytes ``start`` to ``end``, wherever they end.
+
+    Where one record ends the next one or the file's end must be, also across ``end``: no record written is passed over.
+    """
+    tape, at, known = _Tape(file, start, how.read), start, start == 0
     while at < end:
-        at = tape.find(MAGIC, at)
-        if at < 0 or at >= end:
-            return
+        if not known:
+            at = tape.find(MAGIC, at)
+            if at < 0 or at >= end:
+                return
         tape.drop(at)
-        if not _candidate(tape, at, how.header):
+        if not _candidate(tape, at):
+            if known:
+                raise ValueError(f"no record starts at {at}, where one should")
             at += 1
             continue
         inflate, parts, position = zlib.decompressobj(31), [], at
@@ -188,7 +206,10 @@ def members(file, start: int, end: int, how: Warc):
         fields = _header(data)
         begin = data.index(b"\r\n\r\n") + 4
         yield at, fields, data[begin: begin + int(fields["Content-Length"])]
-        at = position
+        at, known = position, True
+    tape.drop(at)
+    if known and tape.at(at, 1) and not _candidate(tape, at):
+        raise ValueError(f"no record starts at {at}, where one should")
 
 
 def read(spark: SparkSession, archives: DataFrame, how: Warc = Warc()) -> DataFrame:
@@ -196,7 +217,8 @@ def read(spark: SparkSession, archives: DataFrame, how: Warc = Warc()) -> DataFr
 
     Each archive is cut into ranges of ``how.split`` bytes. A task looks for gzip magic from its range's start, takes a
     hit only if a record header can be decoded there, and reads every record that starts inside its range to its end,
-    so each record is read once; one that is cut short or damaged raises. Digest and length of a response are computed from its payload, those of a revisit are
+    so each record is read once; one that is cut short or damaged raises, and so do bytes between
+    records. Digest and length of a response are computed from its payload, those of a revisit are
     its header's. No archives give no rows.
     """
     ranges = archives.where("size > 0").select(

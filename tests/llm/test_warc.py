@@ -63,3 +63,20 @@ def test_damage_is_an_error():
 
 def test_no_rows(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("how", [Warc(), Warc(split=500, read=100)])
+def test_long_urls_are_read(spark, how):
+    noise = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(5000))  # 320 KB that hardly shrink
+    rows = [(1, "http://a/1", "one", 1), (2, "data:" + "x" * 100_000, "two", 1), (3, noise, "three", 1), (4, " " * 100_000, "four", 1), (5, "u", "five", 1)]
+    got = warc.round_trip(spark.createDataFrame(rows, SCHEMA).coalesce(1), how).collect()
+    assert {(r.page_id, r.url.replace("%20", " "), bytes(r.payload).decode()) for r in got} == {r[:3] for r in rows} and len(got) == 5
+
+
+def test_bytes_that_are_no_record_are_an_error():
+    one = record(1, "u", b"one", hashlib.sha256(b"one").hexdigest(), None)
+    other = gzip.compress(b"no record at all")
+    for data in (one + other + one, one + b"plain" + one, other + one):
+        for size in (len(data), len(one)):
+            with pytest.raises(ValueError):
+                [list(members(io.BytesIO(data), lo, min(len(data), lo + size), Warc())) for lo in range(0, len(data), size)]
