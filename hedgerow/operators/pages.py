@@ -11,34 +11,85 @@ from hedgerow.operators import ordered
 from hedgerow.operators.lineage import checkpointed
 from hedgerow.rules import documents as D
 
-_ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
+_TOKEN = r"(?is)<a\b[^>]*>.*?</a\s*>|</?[a-z][^>]*>"  # whole anchors, else single tags
+_ANCHOR = r"(?is)^<a\b.*</a\s*>\z"
 _HREF = r"(?is)^<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 
 
+def _classed(words: str, of: str) -> str:
+    """Pattern of a tag ``of`` with one of ``words`` in its class."""
+    return rf"(?is){of}[^>]*?\sclass\s*=\s*(\"[^\"]*?({words})|'[^']*?({words})|[^\s\"'>]*?({words}))"
+
+
+def _scanned(tokens: Column) -> Column:
+    """(listed, onward): numbers of the anchors that a document list names, and of the one beside the current page or -1.
+
+    One pass in page order. Listed is the first link of each ``li`` in a ``ul`` of class document. The current page is
+    the first element of class current or active, ``rel`` elements are open in it, and the first link among its later
+    siblings leads on; nothing does once its parent ends (``state`` 2).
+    """
+    def step(acc, t):
+        anchor, close = t.rlike(_ANCHOR), t.startswith("</")
+        void = t.rlike(r"(?is)/>\z|^<(area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b") & ~anchor
+        linked = anchor & t.rlike(_HREF)
+        ul, li = t.rlike(r"(?i)^</?ul\b"), t.rlike(r"(?i)^</?li\b")
+        take = linked & acc["wait"] & (acc["ul"] > 0)
+        here = (acc["state"] == 0) & t.rlike(_classed("current|active", "<[a-z]"))
+        inside = here & anchor & ~t.rlike(_classed("current|active", r"^<a\b"))  # an anchor holds no sibling that is one
+        hit = (acc["state"] == 1) & (acc["rel"] == 0) & linked
+        ended = (acc["state"] == 1) & (acc["rel"] == 0) & close
+        moved = F.when(anchor | void, 0).when(close, -1).otherwise(1)
+        return F.struct(
+            F.when(inside | hit | ended, 2).when(here, 1).otherwise(acc["state"]).alias("state"),
+            F.when(here | (acc["state"] == 1), acc["rel"] + moved).otherwise(acc["rel"]).alias("rel"),
+            (acc["n"] + anchor.cast("int")).alias("n"),
+            F.when(hit, acc["n"]).otherwise(acc["onward"]).alias("onward"),
+            F.when(ul & close, F.greatest(F.lit(0), acc["ul"] - 1))
+            .when(ul & ((acc["ul"] > 0) | t.rlike(_classed("document", r"^<ul\b"))), acc["ul"] + 1).otherwise(acc["ul"]).alias("ul"),
+            F.when(li, ~close).otherwise(acc["wait"] & ~linked).alias("wait"),
+            F.when(take, F.concat(acc["listed"], F.array(acc["n"]))).otherwise(acc["listed"]).alias("listed"))
+
+    start = F.struct(
+        F.lit(0).alias("state"), F.lit(0).alias("rel"), F.lit(0).alias("n"), F.lit(-1).alias("onward"), F.lit(0).alias("ul"),
+        F.lit(False).alias("wait"), F.array().cast("array<int>").alias("listed"))
+    return F.aggregate(tokens, start, step, lambda acc: F.struct(acc["listed"], acc["onward"]))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Every link of every page: (page_id, url, link_no, href, label); ``label`` is its text without tags.
+    """Every link of every page: (page_id, url, link_no, href, label, listed, onward); ``label`` is its text without tags.
 
-    Links are counted from 0 in the order of the page; anchors without an address are left out.
+    Links are counted from 0 in the order of the page; anchors without an address are left out. ``listed``: an entry of
+    a document list. ``onward``: the link beside the current page's number. Both take tags as closed where the page
+    closes them.
     """
-    anchors = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))
-    found = pages.select("page_id", "url", F.posexplode(anchors).alias("link_no", "_a"))
+    tokens = pages.select("page_id", "url", F.regexp_extract_all("html", F.lit(_TOKEN), F.lit(0)).alias("_t"))
+    scanned = tokens.withColumn("_s", _scanned(F.col("_t")))
+    found = scanned.select("page_id", "url", "_s", F.posexplode(F.filter("_t", lambda t: t.rlike(_ANCHOR))).alias("link_no", "_a"))
     href = F.coalesce(*[T.filled(F.regexp_extract("_a", _HREF, n)) for n in (1, 2, 3)])
     label = T.clean_text(F.regexp_replace("_a", r"(?s)<[^>]*>", " "))
-    return found.select("page_id", "url", "link_no", href.alias("href"), label.alias("label")).filter("href is not null")
+    return found.select(
+        "page_id", "url", "link_no", href.alias("href"), label.alias("label"), F.array_contains("_s.listed", F.col("link_no")).alias("listed"),
+        (F.col("_s.onward") == F.col("link_no")).alias("onward")).filter("href is not null")
 
 
 def document_links(links: DataFrame) -> DataFrame:
-    """Links that lead to a document, by the markers in their address; ``url_key`` is the whole digest of the address."""
+    """Links that lead to a document, by the markers in their address or as entries of a document list.
+
+    ``url_key`` is the whole digest of the address.
+    """
     there = T.resolve_url(F.col("href"), F.col("url"))
-    return links.filter(T.contains_any(F.lower("href"), D.DOCUMENT_LINK_MARKERS)).select(
+    return links.filter(F.col("listed") | T.contains_any(F.lower("href"), D.DOCUMENT_LINK_MARKERS)).select(
         "page_id", "link_no", T.url_document_id(there).alias("document_id"), F.md5(there).alias("url_key"),
         F.coalesce(T.filled(F.col("label")), F.lit(D.UNNAMED_DOCUMENT)).alias("description"), there.alias("document_url"))
 
 
 def next_page_edges(links: DataFrame) -> DataFrame:
-    """(page_id, url, next_url): the first link of a page whose text says that it leads to the next one."""
-    onward = links.filter(F.lower(F.replace("label", F.lit("&gt;"), F.lit(">"))).isin(*D.NEXT_LINK_TEXTS))
-    first = onward.groupBy("page_id", "url").agg(F.min_by("href", "link_no").alias("href"))
+    """(page_id, url, next_url): the first link of a page whose text says that it leads to the next one.
+
+    On pages without such a text it is the link beside the current page's number.
+    """
+    named = F.lower(F.replace("label", F.lit("&gt;"), F.lit(">"))).isin(*D.NEXT_LINK_TEXTS)
+    first = links.filter(named | F.col("onward")).groupBy("page_id", "url").agg(F.min_by("href", F.struct(~named, "link_no")).alias("href"))
     return first.select("page_id", "url", T.resolve_url(F.col("href"), F.col("url")).alias("next_url"))
 
 

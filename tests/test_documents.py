@@ -116,3 +116,20 @@ def test_next_pages_and_chains(spark, links):
 def test_repeated_names_get_numbers(spark):
     df = spark.createDataFrame([("d", "a.pdf", i) for i in range(3)] + [("d", "b", 3), ("d", "b", 4)], "folder string, file_name string, seq int")
     assert [r.stored_name for r in pages.dedupe_names(df).orderBy("seq").collect()] == ["a.pdf", "a_1.pdf", "a_2.pdf", "b", "b_1"]
+
+
+def test_numbered_pagers_and_document_lists(spark):
+    rows = [
+        (1, "<p><a href=0>0</a><span class='page Current'><b>1</b></span> <i>,</i><br> <a name=n>x</a> <a href='?p=2'>2</a><a href='?p=3'>3</a></p>"),
+        (2, "<a class=active href='?p=1'>1</a><a href='?p=2'>2</a>"),
+        (3, "<ul><li class='active'><a href='?p=1'>1</a></li><li><a href='?p=2'>2</a></li></ul>"),  # no link beside it
+        (4, "<b class='current'>1</b><a href='?p=2'>2</a><a href='?p=9'>Next</a>"),
+        (5, "<div><b class='current'>1</b></div><a href='/about'>About</a>"),
+        (6, "<a href=1><b class=current>1</b></a><a href='?p=2'>2</a>"),
+        (7, "<ul class='x Documents'><li><a name=a>a</a><a href='/get?n=1'>One</a> <a href='/more'>More</a></li><li>none</li>"
+            "<li><ul><li><a href='/get?n=2'></a></li></ul></li><a href='/loose'>l</a></ul><ul><li><a href='/no'>no</a></li></ul><a href='x.pdf'>X</a>"),
+    ]
+    links = pages.page_links(spark.createDataFrame([(i, "https://p.example/list/", h) for i, h in rows], "page_id int, url string, html string"))
+    assert {r.page_id: r.next_url.rpartition("/")[2] for r in pages.next_page_edges(links).collect()} == {1: "?p=2", 2: "?p=2", 4: "?p=9"}
+    assert [(r.page_id, r.document_url.removeprefix("https://p.example"), r.description) for r in pages.document_links(links).orderBy("page_id", "link_no").collect()] == [
+        (7, "/get?n=1", "One"), (7, "/get?n=2", "Unknown Document"), (7, "/list/x.pdf", "X")]
