@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgerow.llm.shared import discard, salted_join, written
@@ -54,13 +54,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], how: Mixing = Mixing()
     now = cells.where("tokens > 0")
     for name, shares in targets.items():
         now = now.join(shares.select(name, F.col("target").cast("double").alias(f"target_{name}")), name)
-    now = written(now.withColumn("raked", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0)))), "cells")
+    now = written(now, "cells")
+    all_tokens, path = now.agg(F.sum("tokens")).first()[0] or 1, now._written
+    now = now.withColumn("raked", F.col("tokens") / F.lit(all_tokens))
+    now._written = path
     for _ in range(how.rounds):
         after, miss = now, []
         for name in targets:
-            margin = F.sum("raked").over(Window.partitionBy(name))
-            after = after.withColumn("miss_" + name, F.abs(margin / F.col(f"target_{name}") - 1)).withColumn(
-                "raked", F.col("raked") * F.col(f"target_{name}") / margin)
+            # partial sums, joined back: no task holds all cells of a value
+            after = salted_join(after, after.groupBy(name).agg(F.sum("raked").alias("margin")), [name])
+            after = after.withColumn("miss_" + name, F.abs(F.col("margin") / F.col(f"target_{name}") - 1)).withColumn(
+                "raked", F.col("raked") * F.col(f"target_{name}") / F.col("margin")).drop("margin")
             miss.append("miss_" + name)
         after = written(after.withColumn("miss", F.greatest(*miss) if len(miss) > 1 else F.col(miss[0])).drop(*miss), "cells")
         worst = after.agg(F.max("miss")).first()[0]

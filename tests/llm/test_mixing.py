@@ -69,3 +69,16 @@ def test_given_targets_and_many_cells(frame):
 def test_no_rows(frame):
     none = frame([], "doc_id long, text string, lang string, source string")
     assert mix_sources(none).count() == 0 and mixing.Mixing()
+
+
+def test_no_task_holds_all_cells_of_a_value(frame, monkeypatch):
+    plans, put = [], mixing.written
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().toString())
+        return put(df, label)
+
+    monkeypatch.setattr(mixing, "written", seen)
+    targets = {"s": frame([("a", 0.4), ("b", 0.4), ("c", 0.2)], "s string, target double"), "l": frame([("x", 0.5), ("y", 0.5)], "l string, target double")}
+    rake(frame(CELLS, "s string, l string, tokens long"), targets, Mixing(rounds=2)).collect()
+    assert len(plans) == 3 and not any("Window" in plan for plan in plans)
