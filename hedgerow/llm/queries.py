@@ -10,6 +10,7 @@ from hedgerow.llm import chat, decontam, langid, mixing, pii, quality, toxicity,
 from hedgerow.llm.catalog import ORACLES, QUERIES, query  # noqa: F401
 from hedgerow.llm.neardup import near_duplicates
 from hedgerow.llm.shared import remainder
+from hedgerow.llm.simhash import simhash_duplicates
 from hedgerow.llm.topk import top_k
 
 
@@ -156,6 +157,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_simhash_near_dedup")
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
