@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from hedgerow.llm import chat, decontam, langid, mixing, pii, quality, toxicity, warc
 from hedgerow.llm.catalog import ORACLES, QUERIES, query  # noqa: F401
+from hedgerow.llm.colloc import collocations
 from hedgerow.llm.hardneg import hard_negatives
 from hedgerow.llm.neardup import near_duplicates
 from hedgerow.llm.shared import remainder
@@ -187,6 +188,30 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows.withColumn("label", moved), lambda id: id % 100 == 0)
 
 
+@query("op13_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+runs AS (SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS ws
+    FROM w, (VALUES (1), (2), (3)) t(m) WHERE len(w) >= m),
+f AS (SELECT lang, ws, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 10),
+around AS (SELECT lang, ws, max(a) AS most FROM (
+    SELECT lang, ws[1:2] AS ws, a FROM f WHERE len(ws) = 3 UNION ALL SELECT lang, ws[2:3], a FROM f WHERE len(ws) = 3) GROUP BY ALL),
+kept AS (SELECT f.* FROM f LEFT JOIN around USING (lang, ws) WHERE len(ws) > 1 AND NOT coalesce(100 * most >= 50 * f.a, false)),
+cuts AS (SELECT *, unnest(range(1, len(ws))) AS k FROM kept),
+scored AS (SELECT c.lang, c.ws, c.a, c.k, x.a AS l, y.a AS r,
+        (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[k + 1:]),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank,
+    array_to_string(ws, ' ') AS phrase, a, l, r, n, score FROM lowest JOIN sizes USING (lang) QUALIFY rank <= 2000
+""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
