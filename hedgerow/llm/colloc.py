@@ -30,7 +30,7 @@ class Collocations:
     least: int = 10
     covered: int = 50
     first: int = 2000
-    held: int = 4_000_000
+    held: int = 2_000_000
     part_bytes: int = 12_000_000
     segments: int = 64
 
@@ -83,8 +83,8 @@ class Counter:
         self.runs.append(np.zeros(1, np.int64))
 
     def counts(self, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length from 1 on: (phrases, a row of word numbers each; counts). The first ``before`` words, kept
-        from the last call, only begin phrases."""
+        """For each length from 1 on: (phrases, a sorted row of word numbers each; counts). The first ``before`` words,
+        kept from the last call, only begin phrases."""
         a = np.concatenate(self.runs) if self.runs else np.zeros(0, np.int64)
         base = len(self.numbers.words)
         codes, alive, phrases = a, a > 0, None
@@ -95,7 +95,7 @@ class Counter:
             ends[: max(0, self.before - n + 1)] = False
             found, inverse = np.unique(codes[alive], return_inverse=True)
             counts = np.bincount(inverse[ends[alive]], minlength=len(found))
-            last = found % base
+            last = (found % base).astype(np.int32)
             phrases = last[:, None] if phrases is None else np.column_stack([phrases[found // base], last])
             yield phrases[counts > 0], counts[counts > 0]
             codes = np.zeros(len(a) - n + 1, np.int64)
@@ -111,18 +111,18 @@ class Counter:
         return after
 
 
-STRIPES = "lang string, part int, n int, words array<string>, prefix array<int>, width array<int>, next array<int>, count array<long>"
+STRIPES = "lang string, part int, n int, words string, prefix binary, width binary, next binary, count binary"
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 4]
 
 
 def stripes(lang: str, counter: Counter, parts: int, how: Collocations) -> Iterator[pa.RecordBatch]:
     """A row for each part and length n: the stripes of the prefixes of n - 1 words that belong to the part.
 
-    ``words`` is the row's vocabulary; ``prefix`` holds n - 1 of its places for each stripe, ``width`` its number of
-    next words. The part is a hash of the prefix and the next word's segment; of the empty prefix, of the next word.
+    ``words`` is the row's vocabulary, joined by blanks; ``prefix`` holds n - 1 of its places for each stripe, ``width``
+    its number of next words, ``next`` their places, all as 32-bit numbers. The part is a hash of the prefix and the
+    next word's segment; of the empty prefix, of the next word.
     """
     names = counter.numbers.words
     hashes = mix(np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64))
@@ -135,35 +135,24 @@ def stripes(lang: str, counter: Counter, parts: int, how: Collocations) -> Itera
         last = hashes[phrases[:, -1]]
         key = mix(key + (last if n == 1 else last % np.uint64(how.segments)))
         part = (key % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((*(phrases[:, k] for k in reversed(range(n))), part))
-        phrases, counts, part = phrases[order], counts[order], part[order]
-        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        for lo in range(0, len(cuts), 64):  # some parts a batch
-            begins = cuts[lo: lo + 64]
-            first, end = begins[0], cuts[lo + 64] if lo + 64 < len(cuts) else len(part)
-            p, c = phrases[first:end], counts[first:end]
-            bounds = np.append(begins - first, end - first)
-            words, places = [], np.empty_like(p)
-            for x, y in zip(bounds[:-1], bounds[1:]):
-                known, at = np.unique(p[x:y], return_inverse=True)
-                words.append(known)
-                places[x:y] = at.reshape(p[x:y].shape)
-            fresh = np.zeros(len(p), bool)
-            fresh[bounds[:-1]] = True
-            if n > 1:
-                fresh[1:] |= (p[1:, :-1] != p[:-1, :-1]).any(axis=1)
+        del key, last
+        order = np.argsort(part, kind="stable")  # phrases stay sorted within a part
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(part[order]) != 0)), len(part))
+        rows = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            p = phrases[order[lo:hi]]
+            known, places = np.unique(p, return_inverse=True)
+            places = places.reshape(p.shape).astype("<i4")
+            fresh = np.append(True, (p[1:, :-1] != p[:-1, :-1]).any(axis=1))
             starts = np.flatnonzero(fresh)
-            held = np.searchsorted(starts, bounds)
-            size = len(begins)
-            vocabulary = [names[k] for k in np.concatenate(words)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * size), pa.array(part[begins], pa.int32()), pa.array([n] * size, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()),
-                                          pa.array(vocabulary, pa.binary()).cast(pa.string())),
-                 _lists(places[starts, :-1].ravel(), held * (n - 1), pa.int32()),
-                 _lists(np.diff(np.append(starts, len(p))), held, pa.int32()),
-                 _lists(places[:, -1], bounds, pa.int32()), _lists(c, bounds, pa.int64())],
-                ["lang", "part", "n", "words", "prefix", "width", "next", "count"])
+            rows.append((lang, int(part[order[lo]]), n, b" ".join([names[k] for k in known.tolist()]).decode(),
+                         places[starts, :-1].tobytes(), np.diff(np.append(starts, len(p))).astype("<i4").tobytes(),
+                         places[:, -1].tobytes(), counts[order[lo:hi]].astype("<i4").tobytes()))
+            if len(rows) == 16 or hi == len(part):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)],
+                    ["lang", "part", "n", "words", "prefix", "width", "next", "count"])
+                rows = []
 
 
 def _counted(parts: int, how: Collocations):
@@ -193,13 +182,13 @@ def _merge(least: int):
     """Stripes of one part and length, merged elementwise: next words with ``least`` occurrences, and all occurrences."""
     def merge(table: pa.Table) -> pa.Table:
         lang, n = table.column("lang")[0].as_py(), table.column("n")[0].as_py()
-        columns = {k: table.column(k).combine_chunks() for k in ("words", "prefix", "width", "next", "count")}
-        flat = {k: c.flatten().to_numpy(zero_copy_only=False) for k, c in columns.items() if k != "words"}
-        sizes = {k: np.diff(c.offsets.to_numpy()) for k, c in columns.items()}
-        numbers, names = pd.factorize(columns["words"].flatten().to_numpy(zero_copy_only=False))
-        base = np.cumsum(sizes["words"]) - sizes["words"]  # where a row's vocabulary begins
-        nexts = numbers[flat["next"] + np.repeat(base, sizes["next"])]
-        heads = numbers[flat["prefix"] + np.repeat(base, sizes["prefix"])]
+        words = [w.split(" ") for w in table.column("words").to_pylist()]
+        held = {k: [np.frombuffer(x.as_buffer(), "<i4") for x in table.column(k)] for k in ("prefix", "width", "next", "count")}
+        numbers, names = pd.factorize(np.array([w for row in words for w in row], object))
+        base = np.cumsum([0, *map(len, words)])  # where a row's vocabulary begins
+        flat = {k: np.concatenate(held[k]).astype(np.int64) for k in ("width", "count")}
+        heads, nexts = (numbers[np.concatenate([x + b for x, b in zip(held[k], base)])] for k in ("prefix", "next"))
+        del words, held
         prefixes = heads.reshape(len(flat["width"]), n - 1)
         stripe = np.zeros(len(prefixes), np.int64)
         for k in range(n - 1):  # equal prefixes of different rows are one stripe
@@ -222,7 +211,7 @@ def _merge(least: int):
                                         pa.array([None], pa.list_(pa.string()))]),
             "next": pa.concat_arrays([pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(names[last], pa.string())),
                                       pa.array([None], pa.list_(pa.string()))]),
-            "count": pa.concat_arrays([_lists(counts, bounds, pa.int64()), pa.array([None], pa.list_(pa.int64()))]),
+            "count": pa.concat_arrays([pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(counts, pa.int64())), pa.array([None], pa.list_(pa.int64()))]),
             "total": pa.array([None] * len(starts) + [int(total.sum()) if n == 1 else 0], pa.int64())})
 
     return merge

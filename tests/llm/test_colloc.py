@@ -71,12 +71,14 @@ def test_counts_go_on_over_parts_of_a_text(monkeypatch, held, piece):
     found = Count()
     for out in colloc._counted(3, Collocations(held=held, longest=4))([batch]):
         for row in out.to_pylist():
-            at = iter(zip(row["next"], row["count"]))
-            for s, width in enumerate(row["width"]):
-                head = row["prefix"][s * (row["n"] - 1):(s + 1) * (row["n"] - 1)]
+            words = row["words"].split(" ")
+            prefix, widths, nexts, counts = (np.frombuffer(row[k], "<i4") for k in ("prefix", "width", "next", "count"))
+            at = iter(zip(nexts, counts))
+            for s, width in enumerate(widths):
+                head = prefix[s * (row["n"] - 1):(s + 1) * (row["n"] - 1)]
                 for _ in range(width):
                     last, count = next(at)
-                    found[tuple(row["words"][k] for k in (*head, last))] += count
+                    found[tuple(words[k] for k in (*head, last))] += int(count)
     want = Count()
     for piece_ in re.split("[.,]", text):
         words = piece_.split()
