@@ -9,79 +9,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgerow.functions import dates
+from hedgerow.operators.intervals import best_on, day_candidates, span_of
 from hedgerow.operators.pairing import every_pair
 from hedgerow.rules import policies as P
 
-SPAN_DAYS = 64
-
 
 def _epoch(day) -> Column:
     return F.unix_date(day)
 
 
-def _best_per_span(revisions: DataFrame, horizon: Column, carried) -> DataFrame:
-    """Cut each interval at fixed 64-day spans and keep one winner per distinct piece.
-
-    Within one (source, span) there are at most 64 * 65 / 2 distinct pieces, however many
-    revisions a source has, so the join below is bounded per key by a constant.
-    """
-    start = _epoch(F.col("effective_from"))
-    end = F.least(F.coalesce(_epoch(F.col("effective_to")), horizon), horizon)
-    winner = F.struct(F.col("effective_from"), F.col("revision_id"), *carried)
-    return (
-        revisions.filter(F.col("status").isin(*P.IN_FORCE_STATUSES))
-        .select("source", winner.alias("rev"), start.alias("lo"), end.alias("hi"))
-        .filter(F.col("lo") <= F.col("hi"))
-        .withColumn("span", F.explode(F.sequence(F.floor(F.col("lo") / SPAN_DAYS),
-                                                 F.floor(F.col("hi") / SPAN_DAYS))))
-        .groupBy(
-            "source", "span",
-            F.greatest(F.col("lo"), F.col("span") * SPAN_DAYS).alias("lo"),
-            F.least(F.col("hi"), F.col("span") * SPAN_DAYS + SPAN_DAYS - 1).alias("hi"),
-        )
-        .agg(F.max("rev").alias("rev"))
-    )
+def _candidates(pairs: DataFrame, revisions: DataFrame, carry) -> DataFrame:
+    """(source, span, held, first_start) for the spans of 64 days that ``pairs(source, on_date)`` asks about."""
+    asked = pairs.filter("source is not null and on_date is not null").select(
+        "source", span_of(_epoch("on_date")).alias("span")).distinct()
+    live = revisions.filter(F.col("status").isin(*P.IN_FORCE_STATUSES)).select(
+        "source", _epoch("effective_from").alias("lo"), _epoch("effective_to").alias("hi"),
+        F.struct("effective_from", "revision_id", *carry).alias("rev"))
+    firsts = revisions.groupBy("source").agg(F.min("effective_from").alias("first_start"))
+    return asked.join(day_candidates(asked, live, ["source"], "rev"), ["source", "span"], "left").join(firsts, "source", "left")
 
 
-def resolve(pairs: DataFrame, revisions: DataFrame, carry=("effective_to", "status")) -> DataFrame:
-    """The revision in force for each distinct (source, on_date), or the reason there is none.
+def effective_revision(probes: DataFrame, revisions: DataFrame, carry=("effective_to", "status")) -> DataFrame:
+    """As-of lookup: every probe row (source, on_date, ...) with its revision, or the reason there is none.
 
-    Latest start wins, then the larger revision id; only active and superseded revisions count.
+    Latest start wins, then the larger revision id; only active and superseded revisions count.  Revisions are cut only
+    where a probe asks, and the probes are joined once, to one row per (source, span of 64 days).  A probe without
+    source or date has neither revision nor reason.
     """
-    days = pairs.select("source", "on_date").distinct().withColumn("day", _epoch(F.col("on_date")))
-    horizon = pairs.agg(F.max(_epoch(F.col("on_date"))).alias("h")).scalar()
-    pieces = _best_per_span(revisions, horizon, [F.col(c) for c in carry])
-    hit = (
-        days.withColumn("span", F.floor(F.col("day") / SPAN_DAYS)).alias("d")
-        .join(
-            pieces.alias("p"),
-            (F.col("d.source") == F.col("p.source")) & (F.col("d.span") == F.col("p.span"))
-            & (F.col("p.lo") <= F.col("d.day")) & (F.col("p.hi") >= F.col("d.day")),
-            "left",
-        )
-        .groupBy(F.col("d.source").alias("source"), F.col("d.on_date").alias("on_date"))
-        .agg(F.max("p.rev").alias("rev"))
+    day = _epoch("on_date")
+    found = probes.withColumn("_span", span_of(day)).join(
+        _candidates(probes, revisions, carry).withColumnRenamed("span", "_span"), ["source", "_span"], "left")
+    rev = F.col("_rev")
+    reason = (
+        F.when(rev.isNotNull() | F.col("source").isNull() | F.col("on_date").isNull(), F.lit(None).cast("string"))
+        .when(F.col("first_start").isNull(), "no_revisions")
+        .when(F.col("on_date") < F.col("first_start"), "date_before_first_revision")
+        .otherwise("date_in_gap")
     )
-    firsts = revisions.groupBy("source").agg(F.min("effective_from").alias("first_start"))
-    return (
-        hit.join(firsts, "source", "left")
-        .select(
-            "source", "on_date", "rev.revision_id", "rev.effective_from",
-            *[F.col(f"rev.{c}").alias(c) for c in carry],
-            F.when(F.col("rev").isNotNull(), F.lit(None).cast("string"))
-            .when(F.col("first_start").isNull(), "no_revisions")
-            .when(F.col("on_date") < F.col("first_start"), "date_before_first_revision")
-            .otherwise("date_in_gap").alias("reason"),
-        )
-    )
-
+    return found.withColumn("_rev", best_on(day, "rev")).select(
+        *[F.col(c) for c in probes.columns], "_rev.revision_id", "_rev.effective_from",
+        *[F.col(f"_rev.{c}").alias(c) for c in carry], reason.alias("reason"))
 
-def effective_revision(probes: DataFrame, revisions: DataFrame) -> DataFrame:
-    """As-of lookup: every probe row (source, on_date, ...) with its revision and reason.
 
-    Each distinct (source, on_date) is resolved once, then joined back to the probes.
-    """
-    return probes.join(resolve(probes, revisions), ["source", "on_date"], "left")
+def resolve(pairs: DataFrame, revisions: DataFrame, carry=("effective_to", "status")) -> DataFrame:
+    """``effective_revision`` of each distinct (source, on_date)."""
+    return effective_revision(pairs.select("source", "on_date").distinct(), revisions, carry)
 
 
 def policy_snapshot(policies: DataFrame, dates_: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -181,33 +153,20 @@ def check_new_revisions(new: DataFrame, revisions: DataFrame) -> DataFrame:
     revision that would end at ``supersedes_until``.  A rejected revision changes nothing.
 
     The first conflict is either the earliest closed interval that holds the new start (a stabbing
-    query over 64-day pieces) or the next start on or after it; no pairs of revisions are formed.
+    query by nodes of spans) or the next start on or after it; no pairs of revisions are formed.
     """
     live = revisions.filter(F.col("status") != "failed")
     start = F.struct(F.col("effective_from").alias("at"), F.col("revision_id").alias("id"))
     days = new.select("source", F.col("effective_from").alias("day")).distinct()
 
     # earliest closed interval holding the day
-    horizon = days.agg(F.max(_epoch(F.col("day")))).scalar()
-    lo, hi = F.col("lo"), F.col("hi")
-    span_start = F.col("span") * SPAN_DAYS
-    pieces = (
-        live.filter(F.col("effective_to").isNotNull())
-        .select("source", start.alias("start"), _epoch(F.col("effective_from")).alias("lo"),
-                F.least(_epoch(F.col("effective_to")), horizon).alias("hi"))
-        .filter(lo <= hi)
-        .withColumn("span", F.explode(F.sequence(F.floor(lo / SPAN_DAYS), F.floor(hi / SPAN_DAYS))))
-        .groupBy("source", "span", F.greatest(lo, span_start).alias("lo"),
-                 F.least(hi, span_start + SPAN_DAYS - 1).alias("hi"))
-        .agg(F.min("start").alias("start"))
-    )
-    number = _epoch(F.col("d.day"))
+    closed = live.filter(F.col("effective_to").isNotNull()).select(
+        "source", _epoch("effective_from").alias("lo"), _epoch("effective_to").alias("hi"), start.alias("start"))
+    asked = days.select("source", span_of(_epoch("day")).alias("span"))
     holding = (
-        days.withColumn("span", F.floor(_epoch(F.col("day")) / SPAN_DAYS)).alias("d")
-        .join(pieces.alias("p"), (F.col("d.source") == F.col("p.source"))
-              & (F.col("d.span") == F.col("p.span")) & number.between(F.col("p.lo"), F.col("p.hi")))
-        .groupBy(F.col("d.source").alias("source"), F.col("d.day").alias("day"))
-        .agg(F.min("p.start").alias("holding"))
+        days.withColumn("span", span_of(_epoch("day")))
+        .join(day_candidates(asked.distinct(), closed, ["source"], "start", largest=False), ["source", "span"])
+        .select("source", "day", best_on(_epoch("day"), "start", largest=False).alias("holding"))
     )
 
     starts = live.groupBy("source", F.col("effective_from").alias("day")).agg(
