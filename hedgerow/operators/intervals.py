@@ -12,25 +12,27 @@ BASE = 16
 TOP = 3  # the largest nodes: 16^3 spans of 64 days, about 718 years
 SPAN_DAYS = 64
 OPEN = BASE ** (TOP + 1)  # spans up to the year 13,452; dates end with 9999
+DAY_TOP = 5  # the largest nodes over days: 16^5 days
+OPEN_DAY = BASE ** (DAY_TOP + 1)
 
 
 def _node(level: Column, index: Column) -> Column:
-    return (index * 4 + level).cast("long")
+    return (index * 8 + level).cast("long")
 
 
 def _run(level: Column, first: Column, end: Column) -> Column:
     return F.when(first < end, F.transform(F.sequence(first, end - 1), lambda i: _node(level, i)))
 
 
-def interval_nodes(first: Column, end: Column) -> Column:
+def interval_nodes(first: Column, end: Column, top: int = TOP) -> Column:
     """Nodes of the whole numbers from ``first`` to before ``end``; none if there are none."""
     def above(k, column, rounded):  # where the next level takes over; there is none above the top
-        return rounded(column / BASE ** (k + 1)) * BASE if k < TOP else F.floor(end / BASE ** k)
+        return rounded(column / BASE ** (k + 1)) * BASE if k < top else F.floor(end / BASE ** k)
 
     levels = F.array(*[
         F.struct(F.lit(k).alias("k"), F.ceil(first / BASE ** k).alias("low"), F.floor(end / BASE ** k).alias("high"),
                  above(k, first, F.ceil).alias("left"), above(k, end, F.floor).alias("right"))
-        for k in range(TOP + 1)])
+        for k in range(top + 1)])
 
     def at(x):
         left_end = F.least(x["left"], x["high"])
@@ -40,9 +42,9 @@ def interval_nodes(first: Column, end: Column) -> Column:
     return F.flatten(F.array_compact(F.flatten(F.transform(inside, at))))
 
 
-def point_nodes(point: Column) -> Column:
+def point_nodes(point: Column, top: int = TOP) -> Column:
     """The node of each level that holds ``point``."""
-    return F.array(*[_node(F.lit(k), F.floor(point / BASE ** k)) for k in range(TOP + 1)])
+    return F.array(*[_node(F.lit(k), F.floor(point / BASE ** k)) for k in range(top + 1)])
 
 
 def day_candidates(asked: DataFrame, intervals: DataFrame, keys, value: str, largest: bool = True) -> DataFrame:

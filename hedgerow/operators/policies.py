@@ -56,6 +56,23 @@ def resolve(pairs: DataFrame, revisions: DataFrame, carry=("effective_to", "stat
     return effective_revision(pairs.select("source", "on_date").distinct(), revisions, carry)
 
 
+def reigns(revisions: DataFrame) -> DataFrame:
+    """(source, revision_id, lo, hi): the runs of days on which a revision is the one in force; an open run has no ``hi``.
+
+    What is in force changes only where a revision starts or the day after one ends.  Those days are resolved; the
+    windows run over the distinct ones of a source, of which there is at most a calendar's worth.
+    """
+    live = revisions.filter(F.col("status").isin(*P.IN_FORCE_STATUSES))
+    cuts = live.select("source", F.explode(F.array("effective_from", F.date_add("effective_to", 1))).alias("on_date"))
+    w = Window.partitionBy("source").orderBy("on_date")
+    rev = F.struct("revision_id", "effective_from")
+    found = resolve(cuts.filter("on_date is not null"), revisions, ()).withColumn("_before", F.lag(rev).over(w))
+    changes = found.filter(F.col("_before").isNull() | (rev != F.col("_before"))
+                           | F.col("revision_id").isNull() | F.col("_before.revision_id").isNull())
+    runs = changes.withColumn("_next", F.lead("on_date").over(w)).filter("revision_id is not null")
+    return runs.select("source", "revision_id", _epoch("on_date").alias("lo"), (_epoch("_next") - 1).alias("hi"))
+
+
 def policy_snapshot(policies: DataFrame, dates_: DataFrame, revisions: DataFrame) -> DataFrame:
     """One row per policy and date (column ``on_date``) with its revision, reason and bucket."""
     probes = every_pair(policies, dates_.select("on_date").distinct(), "on_date")

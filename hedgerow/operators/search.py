@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hedgerow.operators import policies
-from hedgerow.operators.pairing import every_pair
+from hedgerow.operators.intervals import DAY_TOP, OPEN_DAY, interval_nodes, point_nodes
 
 BLOCK_VECTORS = 8192
 BLOCK_QUERIES = 2048
@@ -113,14 +113,19 @@ def search_policy_asof(queries: DataFrame, chunks: DataFrame, revisions: DataFra
     """Nearest policy chunks among the revisions in force on each query's date.
 
     ``match`` names further columns both sides must agree on, such as the source each query asks for.
-    ``queries(query_id, on_date, embedding)``.  Revisions are resolved once per distinct date from
-    the live revision table, so later supersession is seen.  Each chunk is searched once per date
-    it is in force on; queries only meet chunks of their own date.
+    ``queries(query_id, on_date, embedding)``; a query without a date finds nothing.  The runs of days on which a
+    revision is in force come from the live revision table, so later supersession is seen.  A run is a few nodes of a
+    tree over days, a date lies in one node of each level, and the node is a match key: run and date share exactly one
+    node if the run holds the date.  Chunks and queries take only nodes that both sides have, so a chunk is copied for
+    the parts of its run that are asked about, not for each date.
     """
-    days = queries.select("on_date").distinct()
-    sources = revisions.select("source").distinct()
-    live = policies.resolve(every_pair(sources, days, "on_date"), revisions)
-    live = live.filter("revision_id is not null").select("source", "revision_id", "on_date")
-    dated = chunks.join(live, ["source", "revision_id"])
+    asked = queries.filter("on_date is not null").withColumn(
+        "_node", F.explode(point_nodes(F.unix_date("on_date"), DAY_TOP)))
+    end = F.coalesce(F.col("hi") + 1, F.lit(OPEN_DAY))
+    runs = policies.reigns(revisions).select(
+        "source", "revision_id", F.explode(interval_nodes(F.col("lo"), end, DAY_TOP)).alias("_node"))
+    runs = runs.join(asked.select("_node").distinct(), "_node", "left_semi")
+    dated = chunks.join(runs, ["source", "revision_id"])
+    asked = asked.join(runs.select("_node").distinct(), "_node", "left_semi")
     more = [match] if isinstance(match, str) else list(match or [])
-    return knn(queries, dated, k, match=["on_date", *more], vector_id="chunk_id")
+    return knn(asked, dated, k, match=["_node", *more], vector_id="chunk_id")

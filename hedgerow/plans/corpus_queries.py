@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from hedgerow.functions import text as T
 from hedgerow.functions.numbers import round_half_even
 from hedgerow.operators import corpus, policies, registry, search
+from hedgerow.operators.pairing import every_pair
 from hedgerow.plans.catalog import half_even, query, quote
 from hedgerow.plans.inputs import load, table, with_clause
 from hedgerow.rules import documents as D
@@ -181,8 +182,7 @@ def _dated_vectors(spark, sf):
     SELECT query_id, chunk_id, round(d, 6) AS distance, CAST(rank AS INT) AS rank
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM pairs) x WHERE rank <= 3""")
 def knn_asof(spark, sf):
-    days = load(spark, sf, "snapshot_dates").agg(F.collect_set("on_date")).scalar()
-    queries = table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(days).alias("on_date")).select(
+    queries = every_pair(table(spark, sf, "embeddings").select("vec_id", "embedding"), load(spark, sf, "snapshot_dates"), "on_date").select(
         F.concat(F.col("vec_id").cast("string"), F.lit("@"), F.col("on_date").cast("string")).alias("query_id"),
         "embedding", "on_date")
     hits = search.search_policy_asof(queries, _dated_vectors(spark, sf), load(spark, sf, "policy_revisions"), 3)

@@ -53,6 +53,25 @@ def revision_ids_for_date(spark, sf):
                         F.coalesce("revision_id", F.lit(-1)).alias("revision_id"))
 
 
+@query("revision_reigns", with_clause("open_revisions") + """, live AS (
+      SELECT * FROM open_revisions WHERE status IN ('active', 'superseded')),
+    cuts AS (SELECT source, effective_from AS d FROM live
+             UNION SELECT source, CAST(effective_to + INTERVAL '1' DAY AS DATE) FROM live WHERE effective_to IS NOT NULL),
+    won AS (SELECT c.source, c.d, arg_max(r.revision_id, (r.effective_from, r.revision_id)) AS revision_id
+            FROM cuts c LEFT JOIN live r ON r.source = c.source AND r.effective_from <= c.d
+                 AND (r.effective_to IS NULL OR r.effective_to >= c.d) GROUP BY c.source, c.d),
+    changed AS (SELECT * FROM (SELECT *, lag(revision_id) OVER (PARTITION BY source ORDER BY d) AS before FROM won) x
+                WHERE before IS NULL OR revision_id IS NULL OR before <> revision_id),
+    runs AS (SELECT *, lead(d) OVER (PARTITION BY source ORDER BY d) AS next FROM changed)
+    SELECT source, revision_id, strftime(d, '%Y-%m-%d') AS first_day,
+           coalesce(strftime(CAST(next - INTERVAL '1' DAY AS DATE), '%Y-%m-%d'), '') AS last_day
+    FROM runs WHERE revision_id IS NOT NULL""")
+def revision_reigns(spark, sf):
+    runs = policies.reigns(load(spark, sf, "open_revisions"))
+    return runs.select("source", "revision_id", F.date_from_unix_date("lo").cast("string").alias("first_day"),
+                       F.coalesce(F.date_from_unix_date("hi").cast("string"), F.lit("")).alias("last_day"))
+
+
 _SNAPSHOT = with_clause("policies", "snapshot_dates", "policy_revisions") + f""", probes AS (
       SELECT p.source, p.title, p.category, d.on_date FROM policies p CROSS JOIN snapshot_dates d)""" + _DAYS_RESOLVED
 

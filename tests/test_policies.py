@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from hedgerow.operators import policies, registry
+from hedgerow.operators import policies, registry, search
 
 KIND = "source string, revision_id string, effective_from date, effective_to date, status string"
 
@@ -148,3 +148,39 @@ def test_a_new_revision_ends_every_open_one(spark):
     new = dated(spark.createDataFrame([("P", "n", "2024-01-01", None, ""), ("Q", "m", "2024-01-01", None, ""), ("R", "k", "2024-01-01", None, "")], days))
     got = policies.superseded_revisions(new.drop("status"), held).collect()
     assert {(r.source, r.revision_id, r.ended, str(r.ended_on)) for r in got} == {("P", "n", "a", "2023-12-31"), ("P", "n", "b", "2023-12-31")}
+
+
+def in_force(rows, source, date):
+    live = [x for x in rows if x[0] == source and x[4] in ("active", "superseded") and x[2] <= date and (x[3] is None or x[3] >= date)]
+    return max(live, key=lambda x: (x[2], x[1]))[1] if live else None
+
+
+def test_reigns_hold_every_day_once(spark):
+    rows = random_revisions(random.Random(17))
+    held = {}
+    for r in policies.reigns(spark.createDataFrame(rows, KIND)).collect():
+        for n in range(r.lo, (r.hi if r.hi is not None else 20_000) + 1):
+            assert held.setdefault((r.source, n), r.revision_id) == r.revision_id
+    first = (day(0) - dt.date(1970, 1, 1)).days
+    for s in range(4):
+        for n in range(-10, 1300):
+            assert held.get((f"S{s}", first + n)) == in_force(rows, f"S{s}", day(n))
+
+
+def test_policy_search_by_validity(spark):
+    rng = random.Random(19)
+    rows = random_revisions(rng)
+    chunks = [(i, s, r, [float(rng.randrange(-9, 9)) for _ in range(3)]) for i, (s, r) in
+              enumerate((x[0], x[1]) for x in rows for _ in range(2))]
+    asked = [(q, day(rng.randrange(-20, 1300)), [float(rng.randrange(-9, 9)) for _ in range(3)]) for q in range(40)]
+    asked += [(40, None, [1.0, 1.0, 1.0]), (41, dt.date(9999, 12, 31), [1.0, 1.0, 1.0]), (42, dt.date(1, 1, 1), [1.0, 1.0, 1.0])]
+    found = search.search_policy_asof(
+        spark.createDataFrame(asked, "query_id int, on_date date, embedding array<float>"),
+        spark.createDataFrame(chunks, "chunk_id int, source string, revision_id string, embedding array<float>"),
+        spark.createDataFrame(rows, KIND), 3).collect()
+    want = []
+    for q, date, e in asked:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(e, v)), i) for i, s, r, v in chunks if date and in_force(rows, s, date) == r)
+        want += [(q, i, d) for d, i in near[:3]]
+    assert sorted((r.query_id, r.chunk_id, r.distance) for r in found) == sorted(want)
+    assert {r.query_id for r in found} >= {41}
