@@ -1,61 +1,26 @@
-"""Writers: versioned tables, manifests, review outputs."""
+"""Writers: keyed tables, manifests, review outputs."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgerow.operators import registry
+from hedgerow.sources import keyed
 
 
-# --- versioned tables -------------------------------------------------------
-# Plain parquet has no MERGE.  A table is a folder of versions; the newest one whose _SUCCESS marker
-# exists is current.  The marker is written last, so readers never see half a version.  One writer
-# at a time; older versions stay until removed.
-
-def _versions(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    found = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(
-                spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name[len("version="):]))
-    return sorted(found)
-
-
-def write_version(df: DataFrame, path: str, partition_by=()) -> str:
-    """Write the next version of a table; returns its folder."""
-    held = _versions(df.sparkSession, path)
-    target = f"{path}/version={(held[-1] + 1) if held else 1:08d}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(target)
-    return target
-
+# --- keyed tables -----------------------------------------------------------
 
 def read_current(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Current version of a table; an empty table of ``schema`` if there is none yet."""
-    held = _versions(spark, path)
-    if not held:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{path}/version={held[-1]:08d}")
+    return keyed.read(spark, path, schema)
 
 
-def upsert_chunks(updates: DataFrame, path: str, key="chunk_id", version: str = None, partition_by=()) -> str:
-    """Idempotent keyed upsert: the same updates twice give the same table."""
-    current = read_current(updates.sparkSession, path, updates.schema)
-    return write_version(registry.upsert(current, updates, key, version), path, partition_by)
+def upsert_chunks(updates: DataFrame, path: str, key="chunk_id", version: str = None, **how) -> keyed.Commit:
+    """Idempotent keyed upsert that rewrites the touched buckets only; see ``keyed.upsert``."""
+    return keyed.upsert(updates, path, key, version, **how)
 
 
-def delete_chunks(spark: SparkSession, doomed: DataFrame, path: str, key="document_id", partition_by=()) -> DataFrame:
+def delete_chunks(spark: SparkSession, doomed: DataFrame, path: str, key="document_id") -> DataFrame:
     """Write a version without the doomed keys; returns the deleted counts per key."""
-    before = read_current(spark, path)
-    remaining, counts = registry.delete_by(before, doomed, key)
-    write_version(remaining, path, partition_by)
-    return counts
+    return keyed.delete(spark, doomed, path, key)
 
 
 # --- manifests and outputs --------------------------------------------------

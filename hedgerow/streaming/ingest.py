@@ -1,5 +1,6 @@
 """Idempotent incremental ingest from a stream of documents."""
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +22,17 @@ def ingest_stream(docs: DataFrame, chunk_table: str, checkpoint: str, encoder_fa
                   watermark: str = "1 day"):
     """Chunk, embed and upsert new documents; returns the DataStreamWriter, not started.
 
-    Chunk ids come from the content hash, so a batch that is replayed writes the same keys.
+    Chunk ids come from the content hash, so a batch that is replayed writes the same keys; the commit names its batch,
+    and a batch that was committed before the stream stopped is left out.  A batch rewrites the buckets it touches.
     """
-    def store(batch: DataFrame, _batch_id: int) -> None:
+    def store(batch: DataFrame, batch_id: int) -> None:
         cut = corpus.chunk_text(batch, "content_hash", "text").withColumn(
             "chunk_id", F.concat_ws("_", "content_hash", T.padded(F.col("chunk_index"))))
-        sinks.upsert_chunks(corpus.embed_chunks(cut, encoder_factory), chunk_table)
+        embedded = corpus.embed_chunks(cut, encoder_factory).persist(StorageLevel.DISK_ONLY)  # read for buckets and rows
+        try:
+            sinks.upsert_chunks(embedded, chunk_table, token=f"{checkpoint}#{batch_id}")
+        finally:
+            embedded.unpersist()
 
     return (
         new_documents(docs, watermark).writeStream.foreachBatch(store)
