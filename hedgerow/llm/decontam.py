@@ -1,4 +1,4 @@
-"""Benchmark decontamination by seeds: hashes of runs that no passing overlap can be without, then checks around the hits.
+"""Benchmark decontamination by spaced seeds: masks that no passing overlap can miss, then checks around the hits.
 
 Only DataFrame functions; no Python runs on the executors.
 """
@@ -25,19 +25,20 @@ class Decontamination:
     percent: int = 80
     rows: int = 1_000_000
 
-    def run(self, width: int) -> int:
-        """Tokens in a row that are equal in every overlap of ``width`` tokens that counts.
+    def mask(self, width: int) -> str:
+        """The tokens that are hashed (1) and ignored (0) for overlaps of ``width`` tokens.
 
-        The tokens that may differ cut the others into one run more than there are of them; the longest holds at least
-        its share. 4 of 20 tokens, 3 of 15, 4 of 12, 3 of 10; all of 4 or fewer.
+        If ``differ`` tokens of an overlap that counts may be changed, they cannot lie in all of the ``differ + 1`` sets
+        of every (differ + 1)-th token. One of these sets is whole, and the mask fits it: 1000010000100001 for 4 of 20
+        tokens, 100010001 for 3 of 15, 1001001001 for 2 of 12, 10101 for 1 of 7; where none may differ, up to 4 in a row.
         """
         differ = width - (width * self.percent + 99) // 100
-        return max(1, width // (differ + 1))
+        return ("1" + "0" * differ) * (min(4, width // (differ + 1)) - 1) + "1" if width > differ else "1"
 
     @property
     def masks(self) -> tuple[str, ...]:
-        """What is hashed of items of at least ``window`` tokens: a run without gaps."""
-        return ("1" * self.run(self.window),)
+        """The masks of all widths, widest first."""
+        return tuple(dict.fromkeys(self.mask(n) for n in range(self.window, 0, -1)))
 
 
 def tokens(text: Column) -> Column:
@@ -49,20 +50,22 @@ def _hashed(text: str) -> Column:
     return F.transform(tokens(F.col(text).cast("string")), lambda x: F.xxhash64(x))
 
 
-def _placed(rows: DataFrame, key: str, run: int) -> DataFrame:
-    """(key, hash, position of its first token) of all runs of ``run`` tokens; fewer tokens: none."""
-    seeds = F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda i: F.xxhash64(F.lit(run), *[F.get("h", i + k) for k in range(run)]))
-    return rows.where(F.size("h") >= run).select(key, F.posexplode(seeds).alias("at", "hash"))
+def _placed(rows: DataFrame, key: str, mask: str) -> DataFrame:
+    """(key, hash, position of its first token) of ``mask`` laid on every position; fewer tokens than it spans: none."""
+    kept = [k for k, c in enumerate(mask) if c == "1"]
+    seeds = F.transform(F.sequence(F.lit(0), F.size("h") - len(mask)),
+                        lambda i: F.xxhash64(F.lit(mask), *[F.get("h", i + k) for k in kept]))
+    return rows.where(F.size("h") >= len(mask)).select(key, F.posexplode(seeds).alias("at", "hash"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",
              item_text: str = "text", how: Decontamination = Decontamination()) -> DataFrame:
     """(id, item, matched, compared, doc_at) for each document and benchmark item that overlap, at their best alignment.
 
-    Benchmark and documents are hashed at every position, over whole texts, in runs so short that every overlap that
-    counts has an equal one (``how.run`` of the item's compared width). Equal hashes propose an alignment; there the
-    tokens are compared one by one, and the best ``how.window`` in a row decide, so substituted tokens are tolerated and
-    chance hits are dropped. ``doc_at``: first token of the best window in the document; ties go to the earlier one.
+    A mask for the item's compared width (``how.mask``) is laid on every position of benchmark and documents, over whole
+    texts, and the tokens it keeps are hashed; every overlap that counts has an equal hash whatever tokens were
+    substituted. Equal hashes propose an alignment; there the tokens are compared one by one, and the best
+    ``how.window`` in a row decide, so chance hits are dropped. ``doc_at``: first token of the best window in the document; ties go to the earlier one.
 
     Null and empty texts overlap with nothing. Rows with a null id cannot be named and are left out. Rows with equal
     ids are looked at one by one and reported once. No rows give no rows; extra columns are ignored.
@@ -71,16 +74,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
         F.size("h") > 0).distinct(), "items")
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), _hashed(text).alias("h"))
     least = F.least(F.lit(how.window), F.size("h"))
-    # at most ``how.window`` widths, and far fewer lengths of runs
-    widths = {r.n for r in items.select(least.alias("n")).distinct().collect()}
-    runs = sorted({how.run(n) for n in widths})
-    if not runs:
-        runs, widths = [1], {1}  # no items, no rows
+    # at most ``how.window`` widths, and fewer masks
+    widths = {r.n for r in items.select(least.alias("n")).distinct().collect()} or {1}  # no items, no rows
+    masks = sorted({how.mask(n) for n in widths})
 
-    def all_placed(df, key, of=lambda df, run: df):
-        return reduce(DataFrame.unionByName, [_placed(of(df, run), key, run) for run in runs])
+    def all_placed(df, key, of=lambda df, mask: df):
+        return reduce(DataFrame.unionByName, [_placed(of(df, mask), key, mask) for mask in masks])
 
-    known = written(all_placed(items, "item", lambda df, run: df.where(least.isin([n for n in widths if how.run(n) == run]))).distinct(), "seeds")
+    known = written(all_placed(items, "item", lambda df, mask: df.where(
+        least.isin([n for n in widths if how.mask(n) == mask]))).distinct(), "seeds")
     # the width is known by then: hashes, items and positions of the benchmark alone
     few = known.count() <= how.rows
     sized = (lambda df: F.broadcast(df)) if few else (lambda df: df)

@@ -137,15 +137,12 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontamination", r"""
 WITH bench AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS g FROM benchmark),
 docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h FROM documents),
-masks AS (SELECT * FROM (VALUES (1, [0, 1, 3, 4, 6, 7, 9]), (2, [0, 2, 3, 4, 7, 8, 9])) t(m, o)),
-b AS (SELECT item_id, m, unnest(range(0, len(g) - 9)) AS pos, g, o FROM bench, masks WHERE len(g) >= 10),
-d AS (SELECT doc_id, m, unnest(range(0, len(h) - 9)) AS pos, h, o FROM docs, masks WHERE len(h) >= 10),
-bs AS (SELECT item_id, m, pos, array_to_string(list_transform(o, lambda k: g[pos + k + 1]), ' ') AS s FROM b),
-ds AS (SELECT doc_id, m, pos, array_to_string(list_transform(o, lambda k: h[pos + k + 1]), ' ') AS s FROM d),
+words AS (SELECT doc_id, unnest(h) AS word, unnest(range(0, len(h))) AS pos FROM docs),
+asked AS (SELECT item_id, least(20, len(g)) AS width, unnest(g) AS word, unnest(range(0, len(g))) AS pos FROM bench),
 starts AS (
-    SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (m, s)
-    UNION SELECT doc_id, item_id, i FROM (SELECT doc_id, item_id, h, g, unnest(range(0, len(h) - len(g) + 1)) AS i FROM docs, bench
-        WHERE len(g) BETWEEN 1 AND 9 AND len(h) >= len(g)) WHERE h[i + 1:i + len(g)] = g),
+    SELECT DISTINCT doc_id, item_id, shift FROM (
+        SELECT doc_id, item_id, w.pos - a.pos AS shift, width, count(DISTINCT w.pos) AS equal FROM words w JOIN asked a USING (word)
+        GROUP BY doc_id, item_id, w.pos - a.pos, width) WHERE equal * 100 >= width * 80),
 sided AS (
     SELECT doc_id, item_id, shift, least(20, len(g)) AS width, greatest(0, -shift) AS f, h, g,
         least(len(g), len(h) - shift) - greatest(0, -shift) AS c FROM starts JOIN docs USING (doc_id) JOIN bench USING (item_id)),

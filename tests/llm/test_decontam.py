@@ -12,27 +12,21 @@ PASSAGE = [f"word{k}" for k in range(40)]
 
 
 def brute(docs, items, how=Decontamination()):
+    """All windows of all alignments, without any seeds."""
     def toks(t):
         return [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
 
-    offsets = [[k for k, c in enumerate(m) if c == "1"] for m in how.masks]
-    span, out = len(how.masks[0]), {}
+    out = {}
     for d, text, *_ in docs:
         h = toks(text)
         for i, other, *_ in items:
             g = toks(other)
             if not g or d is None or i is None:
                 continue
-            if len(g) < span:
-                shifts = {s for s in range(len(h) - len(g) + 1) if h[s:s + len(g)] == g}
-            else:
-                shifts = {a - b for a in range(len(h) - span + 1) for b in range(len(g) - span + 1)
-                          if any(all(h[a + k] == g[b + k] for k in o) for o in offsets)}
             width = min(how.window, len(g))
-            for s in shifts:
-                lo, hi = max(0, s), min(len(h), s + len(g))
-                for at in range(lo, hi - width + 1):
-                    matched = sum(h[at + k] == g[at - s + k] for k in range(width))
+            for at in range(len(h) - width + 1):
+                for b in range(len(g) - width + 1):
+                    matched = sum(x == y for x, y in zip(h[at:at + width], g[b:b + width]))
                     if matched * 100 >= width * how.percent:
                         best = (-matched, at, width)
                         out[d, i] = min(out.get((d, i), best), best)
@@ -85,30 +79,21 @@ def test_main_path_runs_no_python(frame, capsys):
     assert "Python" not in (plan := capsys.readouterr().out) and "InArrow" not in plan and decontam
 
 
-def everywhere(docs, items, how=Decontamination()):
-    """All windows of all alignments, without any seeds."""
-    out = {}
-    for d, text, _ in docs:
-        h = text.split()
-        for i, other, _ in items:
-            g = other.split()
-            width = min(how.window, len(g))
-            for at in range(len(h) - width + 1):
-                for b in range(len(g) - width + 1):
-                    matched = sum(x == y for x, y in zip(h[at:at + width], g[b:b + width]))
-                    if matched * 100 >= width * how.percent:
-                        best = (-matched, at, width)
-                        out[d, i] = min(out.get((d, i), best), best)
-    return {(d, i, -m, w, at) for (d, i), (m, at, w) in out.items()}
-
-
 @pytest.mark.parametrize("width", range(1, 21))
-def test_every_pattern_that_counts_has_an_equal_run(width):
+def test_every_pattern_that_counts_is_hit(width):
+    """Whatever tokens an overlap that counts differs in, its mask lies somewhere on equal ones."""
     how = Decontamination()
     differ = max(n for n in range(width + 1) if (width - n) * 100 >= width * how.percent)
-    for gone in combinations(range(width), differ):
-        cuts = [-1, *gone, width]
-        assert max(b - a - 1 for a, b in zip(cuts, cuts[1:])) >= how.run(width)
+    mask = how.mask(width)
+    kept = [k for k, c in enumerate(mask) if c == "1"]
+    assert "0" in mask or not differ or len(kept) == 1
+    for gone in map(set, combinations(range(width), differ)):
+        assert any(not gone & {at + k for k in kept} for at in range(width - len(mask) + 1))
+
+
+def test_masks():
+    assert Decontamination().mask(20) == "1000010000100001" and Decontamination().mask(12) == "1001001001"
+    assert set(Decontamination().masks) == {Decontamination().mask(n) for n in range(1, 21)}
 
 
 def test_equals_all_alignments_without_seeds(frame):
@@ -126,5 +111,5 @@ def test_equals_all_alignments_without_seeds(frame):
     docs.append((901, " ".join("other" if k in (3, 7, 11) else f"i15t{k}" for k in range(15)), 1))
     docs.append((902, "i5t0 i5t1 other i5t3 i5t4", 1))
     got = found(overlaps(frame(docs, DOCS), frame(bench, ITEMS)))
-    assert got == everywhere(docs, bench)
+    assert got == brute(docs, bench)
     assert {900, 901, 902} <= {d for d, *_ in got}
