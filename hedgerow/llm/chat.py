@@ -135,17 +135,17 @@ def conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """(conv, formatted, loss, n_turns) of flat conversations: each turn replies to the one before it.
 
     Turns are ordered by number (null first), role and text; repeated rows are turns of their own. Rows with a null
-    conversation id form one conversation. No rows give no rows; extra columns are ignored.
+    conversation id form one conversation; any text is an id of its own, also one with colons or 'null'. No rows give no rows; extra columns are ignored.
     """
-    key = F.coalesce(F.col(conv).cast("string"), F.lit("null"))
+    key = F.when(F.col(conv).isNull(), "").otherwise(F.concat(F.lit("="), F.col(conv).cast("string")))
     flat = rows.select(key.alias("c"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"),
                        F.col(text).cast("string").alias("text"))
     seq = F.row_number().over(Window.partitionBy("c").orderBy("turn", "role", "text"))
-    name = lambda k: F.concat_ws(":", "c", k.cast("string"))
+    name = lambda k: F.concat_ws(":", k.cast("string"), "c")
     tree = written(flat.withColumn("k", seq).select(
         name(F.col("k")).alias("node"), F.when(F.col("k") > 1, name(F.col("k") - 1)).alias("parent"), "role", "text"), "turns")
     paths = reply_paths(tree)
     chosen = paths.join(tree.select("node", "role", "text"), "node").select(
-        F.substring_index("leaf", ":", 1).alias("c"), "place", "role", "text")
+        F.expr("substring(leaf, instr(leaf, ':') + 1)").alias("c"), "place", "role", "text")
     made = formatted(chosen, ["c"], "place", "role", "text", template)
-    return made.select(F.when(F.col("c") != "null", F.col("c")).cast(rows.schema[conv].dataType).alias(conv), "formatted", "loss", "n_turns")
+    return made.select(F.when(F.col("c") != "", F.expr("substring(c, 2)")).cast(rows.schema[conv].dataType).alias(conv), "formatted", "loss", "n_turns")

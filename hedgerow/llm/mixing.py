@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.shared import discard, salted_join, written
+from hedgerow.llm.shared import discard, salted_join, unused, written
 
 
 @dataclass(frozen=True)
@@ -102,15 +102,18 @@ def mix_sources(docs: DataFrame, how: Mixing = Mixing(), id: str = "doc_id", tex
     ``attributes``: the columns that margins are taken of (source, language, layout by default; null is a value of its
     own). ``targets``: tables (attribute, target) of shares; by default tempered shares of what is there. Tokens are
     counted over whole texts. A document is drawn by a hash of its id and text, so equal rows are drawn together and
-    repeated runs agree. Texts without tokens belong to no margin: weight 0, never kept. No rows give no rows.
+    repeated runs agree. Columns of those three names are replaced, all others are kept as they are. Texts without tokens belong to no margin: weight 0, never kept. No rows give no rows.
     """
     whole = F.col(text).cast("string")
-    rows = docs.withColumn("_tokens", token_count(whole))
-    values = attributes or {"source": F.col("source"), "lang": F.col("lang"), "topic": layout(whole, F.col("_tokens"))}
-    names = {name: f"_{name}" for name in values}
+    docs = docs.drop("mix_weight", "mix_probability", "mix_kept")
+    own = unused([c.lower() for c in docs.columns])
+    tokens = own + "tokens"
+    rows = docs.withColumn(tokens, token_count(whole))
+    values = attributes or {"source": F.col("source"), "lang": F.col("lang"), "topic": layout(whole, F.col(tokens))}
+    names = {name: f"{own}at_{name}" for name in values}
     rows = rows.withColumns({names[name]: F.coalesce(c.cast("string"), F.lit("")) for name, c in values.items()})
-    slim = rows.select(*names.values(), "_tokens")
-    cells = written(slim.groupBy(*names.values()).agg(F.sum("_tokens").alias("tokens")), "cells").withColumnsRenamed(
+    slim = rows.select(*names.values(), tokens)
+    cells = written(slim.groupBy(*names.values()).agg(F.sum(tokens).alias("tokens")), "cells").withColumnsRenamed(
         {v: k for k, v in names.items()})
     shares = {name: (targets or {}).get(name) if (targets or {}).get(name) is not None else tempered(cells, name, how.margins.get(name, 1.0))
               for name in values}
@@ -122,7 +125,7 @@ def mix_sources(docs: DataFrame, how: Mixing = Mixing(), id: str = "doc_id", tex
         joined = rows.join(F.broadcast(drawn), keys, "left")
     else:
         joined = salted_join(rows, drawn, keys, "left")
-    return joined.withColumn("mix_kept", (F.col("_tokens") > 0) & (chance < F.col("mix_probability"))).select(
-        *[c for c in docs.columns if c not in ("mix_weight", "mix_probability", "mix_kept")],
-        F.when(F.col("_tokens") > 0, F.col("mix_weight")).otherwise(0.0).alias("mix_weight"),
-        F.when(F.col("_tokens") > 0, F.col("mix_probability")).otherwise(0.0).alias("mix_probability"), "mix_kept")
+    return joined.withColumn("mix_kept", (F.col(tokens) > 0) & (chance < F.col("mix_probability"))).select(
+        *docs.columns,
+        F.when(F.col(tokens) > 0, F.col("mix_weight")).otherwise(0.0).alias("mix_weight"),
+        F.when(F.col(tokens) > 0, F.col("mix_probability")).otherwise(0.0).alias("mix_probability"), "mix_kept")

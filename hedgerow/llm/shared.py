@@ -54,9 +54,18 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "in
     Each key's rows of ``many`` are dealt over ``salts`` partitions and ``few`` is repeated as often; adaptive
     execution splits further what is still too large.
     """
-    salted = many.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    salt = unused(many.columns + few.columns) + "salt"
+    salted = many.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, salt], how).drop(salt)
+
+
+def unused(columns: list[str]) -> str:
+    """Underscores that no column begins with: a prefix for columns of our own."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
 
 
 def remainder(column, divisor: int):

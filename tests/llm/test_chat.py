@@ -82,3 +82,12 @@ def test_main_path_runs_no_python(frame, capsys):
     df = frame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     chat.conversations(df).explain()
     assert "Python" not in (plan := capsys.readouterr().out) and "Arrow" not in plan
+
+
+def test_ids_of_any_text(frame):
+    rows = [("a:1", 0, "user", "x"), ("a:2", 0, "user", "y"), ("a:2", 1, "assistant", "z"), ("null", 0, "user", "n"), (None, 0, "user", "m"), ("", 0, "user", "e"), ("=:", 0, "user", "c")]
+    made = chat.conversations(frame(rows, "conv_id string, turn int, role string, text string"))
+    got = made.select("conv_id", chat.turns_of(F.col("formatted")).alias("t")).collect()
+    assert {r.conv_id: [x.text for x in r.t] for r in got} == {
+        "a:1": ["x"], "a:2": ["y", "z"], "null": ["n"], None: ["m"], "": ["e"], "=:": ["c"]}
+    assert len(got) == 6

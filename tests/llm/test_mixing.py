@@ -82,3 +82,12 @@ def test_no_task_holds_all_cells_of_a_value(frame, monkeypatch):
     targets = {"s": frame([("a", 0.4), ("b", 0.4), ("c", 0.2)], "s string, target double"), "l": frame([("x", 0.5), ("y", 0.5)], "l string, target double")}
     rake(frame(CELLS, "s string, l string, tokens long"), targets, Mixing(rounds=2)).collect()
     assert len(plans) == 3 and not any("Window" in plan for plan in plans)
+
+
+@pytest.mark.parametrize("cells", [0, 50_000])
+def test_columns_of_any_name_are_kept(frame, cells):
+    names = "doc_id long, text string, source string, lang string, _tokens int, _topic string, _salt int, __source string, mix_kept int"
+    rows = [(k, "one two three " * (k + 1), "ab"[k % 2], "en", 7, "keep", 5, "s", 9) for k in range(6)]
+    got = mixing.mix_sources(frame(rows, names), mixing.Mixing(cells=cells)).orderBy("doc_id").collect()
+    assert [(r._tokens, r._topic, r._salt, r["__source"]) for r in got] == [(7, "keep", 5, "s")] * 6
+    assert {type(r.mix_kept) for r in got} == {bool}
