@@ -13,6 +13,7 @@ from hedgerow.functions import dates
 from hedgerow.functions import text as T
 from hedgerow.functions.numbers import round_half_even
 from hedgerow.operators import classify, ordered
+from hedgerow.operators.lineage import written
 from hedgerow.rules import documents as D
 
 CHARS = D.CHUNK_TOKENS * D.CHARS_PER_TOKEN
@@ -145,16 +146,20 @@ def page_facts(pages: DataFrame, threshold: float = D.IMAGE_THRESHOLD) -> DataFr
     )
 
 
-def document_rollup(facts: DataFrame, key: str = "document_id") -> DataFrame:
-    """Totals per document; the extraction method is the only one used, or ``mixed``."""
+def _totals() -> list[Column]:
     low, high = F.min("extraction_method"), F.max("extraction_method")
-    return facts.groupBy(key).agg(
+    return [
         F.count("*").alias("total_pages"),
         F.sum("char_count").alias("total_char_count"),
         F.sum("word_count").alias("total_word_count"),
         F.coalesce(F.bool_or("contains_drawings"), F.lit(False)).alias("contains_drawings"),
         F.coalesce(F.when(low == high, low).when(low != high, "mixed"), F.lit("text_layer")).alias("extraction_method"),
-    )
+    ]
+
+
+def document_rollup(facts: DataFrame, key: str = "document_id") -> DataFrame:
+    """Totals per document; the extraction method is the only one used, or ``mixed``."""
+    return facts.groupBy(key).agg(*_totals())
 
 
 def image_based(facts: DataFrame, key: str = "document_id", threshold: float = D.IMAGE_THRESHOLD) -> DataFrame:
@@ -231,6 +236,30 @@ def not_yet_ingested(files: DataFrame, registry: DataFrame) -> DataFrame:
     return files.join(registry.select("document_id", "file_hash"), ["document_id", "file_hash"], "left_anti")
 
 
+def _file_outcomes(files: DataFrame, pages: DataFrame, registry: DataFrame) -> DataFrame:
+    """One row for each application and hash among ``files``: the first path and what becomes of it.
+
+    Registered files are taken out before their pages are looked at; the facts of the rest are one aggregation of pages.
+    """
+    named = files.filter("_good").groupBy("application_ref", "file_hash", "document_id").agg(
+        F.min("file_path").alias("file_path"), F.min_by("document_type", "file_path").alias("document_type"))
+    known = registry.select("document_id", "file_hash", F.lit(True).alias("_known")).distinct()
+    named = named.join(known, ["document_id", "file_hash"], "left")
+    facts = page_facts(pages.join(named.filter("_known is null").select("file_path"), "file_path", "left_semi"))
+    totals = facts.groupBy("file_path").agg(*_totals(), F.avg("image_ratio").alias("average_image_ratio"))
+    pdf = T.extension(F.col("file_path")) == ".pdf"
+    return (
+        named.join(totals, "file_path", "left")
+        .withColumn("status", F.when(F.col("_known"), "already_ingested")
+                    .when(pdf & (F.col("average_image_ratio") > D.IMAGE_THRESHOLD), "skipped")
+                    .when(F.coalesce("total_char_count", F.lit(0)) == 0, "error").otherwise("success"))
+        .withColumn("detail", F.when(F.col("status") == "skipped", "image_based")
+                    .when(F.col("status") == "error", "no_content"))
+        .withColumn("image_ratio", F.when(F.col("status") == "skipped", round_half_even(F.col("average_image_ratio"), 3)))
+        .drop("_known", "average_image_ratio", "total_pages")
+    )
+
+
 def ingest_documents(files: DataFrame, pages: DataFrame, registry: DataFrame,
                      encoder_factory=HashingEncoder) -> Ingest:
     """Ingest many files: a status row for each, the chunks to upsert and the registry rows to add.
@@ -240,47 +269,25 @@ def ingest_documents(files: DataFrame, pages: DataFrame, registry: DataFrame,
     ratio) come first, so only pages of new documents are looked at.  A file is known by its application and whole
     hash: of several equal ones in a call the first path is ingested and the others count as already ingested.  Ids
     carry six digits of the hash and are for display; upsert chunks by ``CHUNK_KEY``.
+
+    What becomes of each file and the chunks are written once below ``spark.checkpoint.dir`` during the call; the three
+    results read those tables, so a text is split once whatever is done with them.
     """
     files = files.withColumn("document_id", T.document_id(F.col("application_ref"), F.col("file_hash")))
     files = files.withColumn("_good", T.extension(F.col("file_path")).isin(*D.INGESTIBLE_EXTENSIONS))
-    firsts = files.filter("_good").groupBy("application_ref", "file_hash").agg(F.min("file_path").alias("_first"))
-    files = files.join(firsts, ["application_ref", "file_hash"], "left")
-    open_files = not_yet_ingested(files.filter("_good and file_path = _first"), registry).select("file_path")
-    facts = page_facts(pages.join(open_files, "file_path", "left_semi"))
-    totals = document_rollup(facts, "file_path").join(image_based(facts, "file_path").drop("page_count"), "file_path")
-    known = registry.select("document_id", "file_hash", F.lit(True).alias("_known")).distinct()
-    good = F.col("_good")
-    pdf = T.extension(F.col("file_path")) == ".pdf"
-    checked = (
-        files.join(known, ["document_id", "file_hash"], "left").join(totals, "file_path", "left")
-        .withColumn("status", F.when(~good, "error").when(F.col("_known"), "already_ingested")
-                    .when(pdf & F.col("is_image_based"), "skipped")
-                    .when(F.coalesce("total_char_count", F.lit(0)) == 0, "error").otherwise("success"))
-        .withColumn("detail", F.when(~good, "unsupported_file_type")
-                    .when(F.col("status") == "skipped", "image_based")
-                    .when(F.col("status") == "error", "no_content"))
-        .withColumn("image_ratio", round_half_even(F.col("average_image_ratio"), 3))
-    )
-    # copies of a file in the same call share what became of the first one
-    fate = checked.filter("file_path = _first").select("_first", F.struct("status", "detail", "image_ratio").alias("_fate"))
-    copy = good & (F.col("file_path") != F.col("_first"))
-    checked = checked.join(fate, "_first", "left").withColumn(
-        "_fate", F.when(copy & (F.col("_fate.status") == "success"), F.struct(
-            F.lit("already_ingested").alias("status"), F.lit(None).cast("string").alias("detail"),
-            F.col("_fate.image_ratio").alias("image_ratio"))).when(copy, F.col("_fate")).otherwise(
-            F.struct("status", "detail", "image_ratio"))).withColumns(
-        {c: F.col(f"_fate.{c}") for c in ("status", "detail", "image_ratio")}).drop("_fate")
-    fresh = checked.filter("status = 'success'")
+    outcomes = written(_file_outcomes(files, pages, registry), "ingest-files")
+    fresh = outcomes.filter("status = 'success'")
     wanted = pages.join(fresh.select("file_path"), "file_path", "left_semi")
-    cut = chunk_pages(wanted, "file_path")
+    cut = written(chunk_pages(wanted, "file_path"), "ingest-chunks")
     # the splitter knows a document's number of chunks and says it on each; the first one stands for the document
-    counts = cut.filter("chunk_index = 0").select("file_path", "total_chunks")
+    outcomes = outcomes.join(cut.filter("chunk_index = 0").select("file_path", "total_chunks"), "file_path", "left")
     # the classifier reads the marked-up full text, and only where no type is given
     texts = full_text(wanted.join(fresh.filter("document_type is null").select("file_path"),
                                   "file_path", "left_semi"), "file_path").withColumnRenamed("text", "_text")
     typed = (
-        fresh.select("file_path", "application_ref", "document_id", "file_hash", "document_type",
-                     "extraction_method", "contains_drawings")
+        outcomes.filter("status = 'success'").select(
+            "file_path", "application_ref", "document_id", "file_hash", "document_type",
+            "extraction_method", "contains_drawings", "total_chunks")
         .join(texts, "file_path", "left")
         .withColumn("_low", F.lower("_text"))
         .withColumn("_name", T.base_name(F.col("file_path")))
@@ -288,7 +295,6 @@ def ingest_documents(files: DataFrame, pages: DataFrame, registry: DataFrame,
         .withColumn("classification", F.when(F.col("document_type").isNotNull(), "provided").otherwise(F.col("_c.method")))
         .withColumn("document_type", F.coalesce("document_type", "_c.document_type"))
         .drop("_text", "_low", "_c")
-        .join(counts, "file_path")
     )
     first_page = F.coalesce(F.try_element_at("page_numbers", F.lit(1)), F.lit(0))
     chunks = embed_chunks(
@@ -302,11 +308,22 @@ def ingest_documents(files: DataFrame, pages: DataFrame, registry: DataFrame,
         "document_id", "file_path", "file_hash", "application_ref", "document_type",
         F.col("total_chunks").alias("chunk_count"), F.current_timestamp().alias("ingested_at"),
         "extraction_method", "contains_drawings")
-    status = checked.join(counts, "file_path", "left").select(
-        "application_ref", "file_path", "document_id", "status", "detail",
-        F.when(F.col("status") == "skipped", F.col("image_ratio")).alias("image_ratio"),
-        F.coalesce("total_chunks", F.lit(0)).alias("chunks_created"),
-        "extraction_method", "contains_drawings", "total_char_count", "total_word_count")
+    # copies of a file in the same call share what became of the first one
+    fate = F.struct(F.col("file_path").alias("first"), "status", "detail", "image_ratio", "total_chunks", "extraction_method",
+                    "contains_drawings", "total_char_count", "total_word_count")
+    good, first = F.col("_good"), F.col("file_path") == F.col("_fate.first")
+    copied = good & ~first & (F.col("_fate.status") == "success")
+    status = files.join(
+        outcomes.select("application_ref", "file_hash", fate.alias("_fate")), ["application_ref", "file_hash"], "left"
+    ).select(
+        "application_ref", "file_path", "document_id",
+        F.when(copied, "already_ingested").when(good, F.coalesce("_fate.status", F.lit("error"))).otherwise("error").alias("status"),
+        F.when(~good, "unsupported_file_type").when(F.col("_fate.first").isNull(), "no_content")
+        .when(~copied, F.col("_fate.detail")).alias("detail"),
+        F.when(good, F.col("_fate.image_ratio")).alias("image_ratio"),
+        F.coalesce(F.when(good & first, F.col("_fate.total_chunks")), F.lit(0)).alias("chunks_created"),
+        *(F.when(good & first, F.col(f"_fate.{c}")).alias(c)
+          for c in ("extraction_method", "contains_drawings", "total_char_count", "total_word_count")))
     return Ingest(status, chunks, added)
 
 

@@ -291,6 +291,37 @@ def ingest_documents(spark, sf):
         "file_path", "status", F.coalesce("detail", F.lit("")).alias("detail"))
 
 
+# each language's files share the six digits that ids show; equal texts of a source are copies of one file
+@query("ingest_collisions", r"""
+    SELECT application_ref, file_path, file_path = first AND chars > 0 AS has_chunks,
+           CASE WHEN chars = 0 THEN 'error' WHEN file_path = first THEN 'success' ELSE 'already_ingested' END AS status,
+           CASE WHEN chars = 0 THEN 0 ELSE files END AS hash_files
+    FROM (SELECT *, min(file_path) OVER (PARTITION BY application_ref, file_hash) AS first,
+                 count(*) OVER (PARTITION BY application_ref, file_hash) AS files
+          FROM (SELECT coalesce(source, '') AS application_ref, '/in/' || doc_id || '.pdf' AS file_path,
+                       substr(sha256(coalesce(lang, '')), 1, 6) || substr(sha256(coalesce(text, '')), 7) AS file_hash,
+                       len(regexp_extract_all(coalesce(text, ''), '\S')) AS chars FROM documents) x) y""")
+def ingest_collisions(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        F.coalesce("source", F.lit("")).alias("application_ref"),
+        F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_path"),
+        F.concat(F.substring(F.sha2(F.coalesce("lang", F.lit("")), 256), 1, 6),
+                 F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 7, 58)).alias("file_hash"),
+        F.lit("report").alias("document_type"), "text")
+    pages = docs.select("file_path", F.lit(1).alias("page_number"), "text", F.lit("text_layer").alias("extraction_method"),
+                        F.lit(0.0).alias("image_area"), F.lit(512.0).alias("page_area"))
+    nothing = docs.select(F.lit("").alias("document_id"), "file_hash").limit(0)
+    out = corpus.ingest_documents(docs.drop("text"), pages, nothing)
+    # chunks know their file by application and whole hash: joined back on it, every file finds the chunks of its own text
+    held = out.chunks.filter("chunk_index = 0").groupBy("application_ref", "file_hash").agg(F.count("*").alias("_firsts"))
+    keyed = docs.select("application_ref", "file_hash", "file_path").join(held, ["application_ref", "file_hash"], "left")
+    copies = docs.groupBy("application_ref", "file_hash").agg(F.count("*").alias("_files"))
+    held = keyed.join(copies, ["application_ref", "file_hash"]).select(
+        "file_path", F.coalesce(F.col("_firsts") * F.col("_files"), F.lit(0)).alias("hash_files"))
+    return out.status.join(held, "file_path").select(
+        "application_ref", "file_path", (F.col("chunks_created") > 0).alias("has_chunks"), "status", "hash_files")
+
+
 @query("ingest_chunks")
 def ingest_chunks(spark, sf):
     return corpus.ingest_documents(*ingest_inputs(spark, sf)).chunks.drop("embedding")

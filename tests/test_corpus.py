@@ -171,6 +171,16 @@ def test_given_type_wins(spark):
     assert {c.document_type for c in ingest(spark).chunks.filter("document_id = '25_1_F_eeeeee'").collect()} == {"given"}
 
 
+def test_ingest_splits_once(spark):
+    """The three results read written tables: no plan holds the splitter, and copies of a row do not double chunks."""
+    out = ingest(spark)
+    for part, encoders in ((out.status, 0), (out.registry, 0), (out.chunks, 1)):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" not in plan and plan.count("ArrowEvalPython") <= encoders
+    ids = [(c.application_ref, c.file_hash, c.page_number, c.chunk_index) for c in out.chunks.collect()]
+    assert len(ids) == len(set(ids)) > 0
+
+
 def test_policy_ingest(spark):
     revisions = spark.createDataFrame([("P", "r1", "v", "2024-01-02", None), ("P", "r2", "v", "2025-01-02", "2025-06-30")],
                                       "source string, revision_id string, version_label string, f string, t string").select(
