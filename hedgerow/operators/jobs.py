@@ -200,8 +200,9 @@ def admit_requests(requests: DataFrame, limit: int = R.REQUEST_LIMIT, window_s:
     ).withColumnRenamed("k", key)
 
 
-def count_requests(requests: DataFrame, window: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
-    """Requests per key and sliding window (also runs on a stream)."""
+def count_requests(requests: DataFrame, window: str = "60 seconds", slide: str = "10 seconds", delay: str = "30 seconds") -> DataFrame:
+    """Requests per key and sliding window; on a stream a window is final, and leaves the state, ``delay`` after its end."""
+    if requests.isStreaming:
+        requests = requests.withWatermark("ts", delay)
     return requests.groupBy("key", F.window("ts", window, slide).alias("w")).agg(
         F.count("*").alias("requests")).select("key", "w.start", "w.end", "requests")
-

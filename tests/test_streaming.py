@@ -34,14 +34,36 @@ def run(stream, tmp_path, name, mode="append"):
     return stream.sparkSession.table(name)
 
 
+COLUMNS = ["key", "request_id", "admitted", "remaining", "retry_after"]
+
+
+def in_files(spark, path, schema, *parts):
+    """A stream that reads one part per micro-batch."""
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def test_admission_stream(spark, tmp_path):
-    rng = random.Random(9)
+    """Rows out of order within the delay are decided like the sorted log; rows beyond it are refused and take no place."""
+    rng, schema = random.Random(9), "key string, request_id int, ts timestamp"
     rows = [(k, i, ts(t)) for k in ("a", "b") for i, t in enumerate(sorted(rng.randrange(0, 300) for _ in range(60)))]
-    df = spark.createDataFrame(rows, "key string, request_id int, ts timestamp")
-    got = run(admission.admit_stream(as_stream(spark, df, str(tmp_path / "in"), "ts"), 4, 60), tmp_path, "admitted")
-    want = jobs.admit_requests(df, 4, 60)
-    columns = ["key", "request_id", "admitted", "remaining", "retry_after"]
-    assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, want.select(columns).collect()), key=str)
+    shuffled = sorted(rows, key=lambda r: r[2].timestamp() + rng.uniform(0, 9))
+    late, ends = ("a", 999, ts(5)), [("end", i, ts(1000 + 1000 * i)) for i in range(3)]
+    stream = in_files(spark, str(tmp_path / "in"), schema, shuffled[:40], shuffled[40:80], [*shuffled[80:], late],
+                      *([e] for e in ends))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    query = (admission.admit_stream(stream, 4, 60).writeStream.format("memory").queryName("admitted").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    assert query.awaitTermination(120)
+    got = spark.table("admitted").filter("key <> 'end'")
+    assert [tuple(r) for r in got.filter("late").select(COLUMNS).collect()] == [("a", 999, False, 0, None)]
+    want = jobs.admit_requests(spark.createDataFrame(rows, schema), 4, 60)
+    assert sorted(map(tuple, got.filter("not late").select(COLUMNS).collect()), key=str) == sorted(
+        map(tuple, want.select(COLUMNS).collect()), key=str)
+    # nothing of a and b is left: the newest row of ``end`` waits, with its timer
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) > 20 and held[-1] <= 6, held
 
 
 def test_lifecycle_stream(spark, tmp_path):
