@@ -34,14 +34,24 @@ class NearDup:
     most: int = 2
 
 
+_SLICE = 2 << 20  # bytes of texts that are shingled at a time; a longer text stands alone
 _PLACES = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its runs of ``words`` words; fewer words: all as one run."""
     data, offsets = column_bytes(texts)
+    lo = 0
+    while lo < len(texts):
+        # a few texts at a time, whatever their number in a batch: word hashes take tens of times the bytes of the texts
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _SLICE, "right")) - 1)
+        yield from _shingled(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo], words)
+        lo = hi
+
+
+def _shingled(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
     rows, hashes = word_hashes(data, offsets)
-    bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
+    bounds = np.searchsorted(rows, np.arange(len(offsets)))
     whole = np.zeros(0, np.uint64)
     if len(hashes) >= words:
         n = len(hashes) - words + 1
@@ -100,8 +110,14 @@ def _sets(docs: DataFrame, nodes: DataFrame, id: str, text: str, words: int) ->
     """(node, its full set) for the documents that are in some pair."""
     def encode(batches):
         for batch in batches:
-            members = [m.tobytes() for m in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(members, pa.binary())], ["node", "members"])
+            at, members, size = 0, [], 0
+            for k, found in enumerate(shingle_sets(batch.column(1), words)):
+                members.append(found.tobytes())
+                size += len(members[-1])
+                if size >= 4 * _SLICE or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(at, len(members)), pa.array(members, pa.binary())], ["node", "members"])
+                    at, members, size = k + 1, [], 0
 
     wanted = docs.select(F.col(id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
     return wanted.join(nodes, "node", "left_semi").mapInArrow(encode, "node long, members binary").distinct()
