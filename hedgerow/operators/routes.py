@@ -7,7 +7,8 @@ original_provision, geometry)``: ``seq`` is the position on the route, unique wi
 tags)``: ``ord`` is the position in the map extract; way geometry is an array of (lat, lon).
 """
 
-from functools import reduce
+import math
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -255,7 +256,7 @@ def _islands(df: DataFrame, keys, axis: str, reach: Column, out: str, cell: floa
 
 
 def dedupe_barriers(barriers: DataFrame) -> DataFrame:
-    """Keep a barrier unless an earlier kept one lies within 5 m, in extract order.
+    """Keep a barrier unless an earlier kept one lies within 5 m, in extract order (ties: node, latitude, longitude).
 
     Copies of one spot go first (only the earliest can be kept).  The rest is cut into islands
     more than 5 m apart in latitude, then in longitude; islands cannot influence each other, so
@@ -263,7 +264,7 @@ def dedupe_barriers(barriers: DataFrame) -> DataFrame:
     """
     spots = (
         barriers.groupBy("route_id", "lat", "lon")
-        .agg(F.min_by(F.struct("ord", "node_id", "barrier_type"), "ord").alias("first"))
+        .agg(F.min(F.struct("ord", "node_id", "barrier_type")).alias("first"))
         .select("route_id", "lat", "lon", "first.*")
     )
     metre = 1 / 111_000  # degrees of latitude, rounded up
@@ -275,7 +276,7 @@ def dedupe_barriers(barriers: DataFrame) -> DataFrame:
     island = ["route_id", "lat_island", "lon_island"]
     return (
         rows.select(*island, F.col("ord").cast("long"), F.col("node_id").cast("long"), "barrier_type", "lat", "lon")
-        .repartition(*island).sortWithinPartitions(*island, "ord")
+        .repartition(*island).sortWithinPartitions(*island, "ord", "node_id", "lat", "lon")
         .mapInPandas(_walk_islands, kept_schema)
     )
 
@@ -283,31 +284,44 @@ def dedupe_barriers(barriers: DataFrame) -> DataFrame:
 def _walk_islands(batches):
     """Greedy walk of each island in extract order, over a stream sorted by island.
 
-    The last island of a batch may go on in the next one, so what was kept of it is remembered
-    (kept barriers are 5 m apart, so an island's share stays small).
+    The last island of a batch may go on in the next one, so what was kept of it is remembered, in cells a little over
+    5 m wide: a barrier is held against the kept ones of nine cells, which are few as they are 5 m apart.
     """
     import numpy as np
 
-    step = np.radians(6 / 111_000)
-    at, strips = None, {}
+    step = (R.BARRIER_SPACING_M + 1) / R.EARTH_RADIUS_M
+
+    @cache
+    def width(strip):
+        """Width in radians of a strip's cells, enough for barriers of the strips beside it; one cell near a pole."""
+        outer = math.cos(min(math.pi / 2, step * max(abs(strip - 1), abs(strip + 2))))
+        return 1.001 * step / outer if outer > 100 * step else 8 * math.pi
+
+    def taken(p, q, cos, strip):
+        for r in (strip, strip - 1, strip + 1):
+            column = math.floor(q / width(r))
+            for c in (column, column - 1, column + 1):
+                for p2, q2, cos2 in cells.get((r, c), ()):
+                    a = math.sin((p2 - p) / 2) ** 2 + cos * cos2 * math.sin((q2 - q) / 2) ** 2
+                    if a <= beyond and 2 * R.EARTH_RADIUS_M * math.atan2(math.sqrt(a), math.sqrt(1 - a)) < R.BARRIER_SPACING_M:
+                        return True
+        return False
+
+    at, cells, beyond = None, {}, step * step / 4
     for batch in batches:
-        keys = list(zip(batch["route_id"], batch["lat_island"], batch["lon_island"]))
-        lat, lon = np.radians(batch["lat"].to_numpy()), np.radians(batch["lon"].to_numpy())
-        strip = np.floor(lat / step).astype("int64").tolist()
+        keys = zip(batch["route_id"], batch["lat_island"], batch["lon_island"])
+        lat, lon = (np.radians(batch[c].to_numpy(float)).tolist() for c in ("lat", "lon"))
         keep = np.ones(len(batch), dtype=bool)
-        for i, key in enumerate(keys):
+        for i, (key, p, q) in enumerate(zip(keys, lat, lon)):
             if key != at:
-                at, strips = key, {}
-            near = [p for d in (-1, 0, 1) for p in strips.get(strip[i] + d, ())]
-            if near:
-                spots = np.array(near)
-                dphi, dlam = spots[:, 0] - lat[i], spots[:, 1] - lon[i]
-                a = np.sin(dphi / 2) ** 2 + np.cos(lat[i]) * np.cos(spots[:, 0]) * np.sin(dlam / 2) ** 2
-                away = 2 * R.EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
-                if (away < R.BARRIER_SPACING_M).any():
-                    keep[i] = False
-                    continue
-            strips.setdefault(strip[i], []).append((lat[i], lon[i]))
+                at, cells = key, {}
+                width.cache_clear()
+            if not (math.isfinite(p) and math.isfinite(q)):
+                continue  # near to nothing
+            strip, cos = math.floor(p / step), math.cos(p)
+            keep[i] = not taken(p, q, cos, strip)
+            if keep[i]:
+                cells.setdefault((strip, math.floor(q / width(strip))), []).append((p, q, cos))
         yield batch.loc[keep, ["route_id", "ord", "node_id", "barrier_type", "lat", "lon"]]
 
 

@@ -303,13 +303,25 @@ def transition_summary(spark, sf):
     return found.drop("directness_differential")
 
 
-@query("barrier_dedupe")
+# the walk itself: barriers of all routes one by one in extract order, each held against the list of those kept before
+@query("barrier_dedupe", "WITH RECURSIVE " + with_clause("barrier_spots")[5:].rstrip() + f""",
+    turns AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY ord, node_id, lat, lon) AS turn FROM barrier_spots),
+    walk AS (
+        SELECT DISTINCT route_id, CAST(0 AS BIGINT) AS turn, CAST([] AS STRUCT(lat DOUBLE, lon DOUBLE)[]) AS kept,
+               false AS stays FROM turns
+        UNION ALL
+        SELECT route_id, turn, CASE WHEN stays THEN list_append(kept, struct_pack(lat := lat, lon := lon)) ELSE kept END, stays
+        FROM (SELECT t.route_id, t.turn, t.lat, t.lon, w.kept, len(list_filter(w.kept, lambda k:
+                  2 * {R.EARTH_RADIUS_M} * asin(sqrt(sin(radians(k.lat - t.lat) / 2) ** 2 + cos(radians(t.lat))
+                  * cos(radians(k.lat)) * sin(radians(k.lon - t.lon) / 2) ** 2)) < {R.BARRIER_SPACING_M})) = 0 AS stays
+              FROM walk w JOIN turns t ON t.route_id = w.route_id AND t.turn = w.turn + 1))
+    SELECT t.route_id, t.ord, t.node_id, 'gate' AS barrier_type, t.lat, t.lon FROM turns t JOIN walk w USING (route_id, turn)
+    WHERE w.stays""")
 def barrier_dedupe(spark, sf):
     spots = load(spark, sf, "barrier_spots").withColumn("barrier_type", F.lit("gate"))
     return routes.dedupe_barriers(spots)
 
 
-# a kept barrier is never within 5 m of another kept one, and every barrier is within 5 m of one
 @query("barrier_first_spots", with_clause("barrier_spots") + """
     SELECT route_id, min(ord) AS ord FROM barrier_spots GROUP BY route_id""")
 def barrier_first_spots(spark, sf):

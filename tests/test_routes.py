@@ -167,9 +167,13 @@ def test_barriers_match_the_greedy_walk(spark):
             lat, lon = 51.9 + rng.randrange(60) / 100_000 * 0.4, -1.15 + rng.randrange(40) / 100_000 * 0.4
             rows.append((route, i, i * 10, "gate", lat, lon))
     rows += [("hot", 500 + i, 1, "gate", 51.9, -1.15) for i in range(50)]  # copies of one spot
+    for i in range(60):  # beside the pole, on the equator, and a row of barriers in extract order
+        rows.append(("pole", i, 1, "gate", 89.9999 + rng.random() / 10_000, rng.random() * 170))
+        rows.append(("zero", i, 1, "gate", (rng.random() - 0.5) / 5_000, (rng.random() - 0.5) / 5_000))
+        rows.append(("row", i, 1, "gate", 60.0, 5 + i * 0.00002))
     df = spark.createDataFrame(rows, "route_id string, ord int, node_id int, barrier_type string, lat double, lon double")
     want = set()
-    for route in ("hot", "b"):
+    for route in ("hot", "b", "pole", "zero", "row"):
         kept = []
         for r in sorted(x for x in rows if x[0] == route):
             if not any(haversine(r[4:], k[4:]) < 5 for k in kept):
