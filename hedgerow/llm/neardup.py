@@ -19,7 +19,8 @@ from hedgerow.llm.shared import column_bytes, discard, mix, salted_join, word_ha
 class NearDup:
     """``bands`` x ``rows`` universal hash minima. At a similarity of 0.75, 40 bands of 5 miss a pair once in 50,000.
 
-    ``block``: members of a bucket compared at a time. ``doubt``: pairs whose signatures agree less are not looked
+    ``block``: members of a bucket compared at a time, ``held``: shingles of a block of full sets (more only if one
+    set alone has more). ``doubt``: pairs whose signatures agree less are not looked
     at again (four standard deviations under 0.75). ``likely``: where the first comparison inside buckets stops.
     ``most``: pairs of two components in a bucket that are confirmed one by one.
     """
@@ -29,6 +30,7 @@ class NearDup:
     bands: int = 40
     rows: int = 5
     block: int = 1024
+    held: int = 1 << 20
     doubt: float = 0.63
     likely: float = 0.72
     most: int = 2
@@ -107,7 +109,7 @@ def signatures(docs: DataFrame, id: str, text: str, how: NearDup) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """(node, its full set) for the documents that are in some pair."""
+    """(node, its full set, the set's size) for the documents that are in some pair."""
     def encode(batches):
         for batch in batches:
             at, members, size = 0, [], 0
@@ -116,11 +118,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, id: str, text: str, words: int) ->
                 size += len(members[-1])
                 if size >= 4 * _SLICE or k + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, len(members)), pa.array(members, pa.binary())], ["node", "members"])
+                        [batch.column(0).slice(at, len(members)), pa.array(members, pa.binary()),
+                         pa.array([len(x) // 8 for x in members], pa.int64())], ["node", "members", "size"])
                     at, members, size = k + 1, [], 0
 
     wanted = docs.select(F.col(id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    return wanted.join(nodes, "node", "left_semi").mapInArrow(encode, "node long, members binary").distinct()
+    return wanted.join(nodes, "node", "left_semi").mapInArrow(encode, "node long, members binary, size long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,16 +233,22 @@ def _likely(buckets: DataFrame, roots: DataFrame, marks: DataFrame, how: NearDup
 def _linked(buckets: DataFrame, roots: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     """(a, b): links on full sets between different components of each bucket, at least one of each two that have any.
 
-    The bucket's largest component is cut into blocks and so are its other members; the others' blocks are compared
-    with each other and with each block of the largest component, in memory. Only links come out.
+    The bucket's largest component is cut into blocks and so are its other members, by their number and by the size of
+    their sets; the others' blocks are compared with each other and with each block of the largest component, in
+    memory. Only links come out.
     """
-    rooted = _parted(buckets, roots)
-    sizes = rooted.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("part", F.struct("n", "part")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
-    rows = rooted.join(sizes, "key")
-    wide, narrow = (F.ceil(F.col(n) / how.block).cast("int") for n in ("wide", "narrow"))
-    rows = rows.select("key", "node", "part", (F.col("part") == F.col("largest")).alias("large"), F.col("most").alias("wide"),
-                       (F.col("all") - F.col("most")).alias("narrow")).withColumn("wide", wide).withColumn("narrow", narrow)
+    rooted = _parted(buckets, roots).join(sets.select("node", "size"), "node")
+    parts = rooted.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sizes = parts.groupBy("key").agg(
+        F.max(F.struct("n", "size", "part")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("most.n < n")
+
+    def blocks(n, size):
+        return F.greatest(F.ceil(n / how.block), F.ceil(size / how.held)).cast("int")
+
+    sizes = sizes.select("key", F.col("most.part").alias("largest"), blocks(F.col("most.n"), F.col("most.size")).alias("wide"),
+                         blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("narrow"))
+    rows = rooted.join(sizes, "key").select(
+        "key", "node", "part", (F.col("part") == F.col("largest")).alias("large"), "wide", "narrow")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("wide")).otherwise(F.col("narrow"))).cast("int"))
     rest, large = F.sequence(F.lit(0), F.col("narrow") - 1), F.sequence(F.lit(0), F.col("wide") - 1)
     pair = lambda i, j: F.named_struct(F.lit("i"), i, F.lit("j"), j)

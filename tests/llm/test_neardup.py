@@ -2,7 +2,7 @@ import random
 import re
 
 from hedgerow.llm.components import components, merged
-from hedgerow.llm.neardup import NearDup, near_duplicates
+from hedgerow.llm.neardup import NearDup, _linked, _sets, near_duplicates
 
 SCHEMA = "doc_id long, text string, component_id string, kept int"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,6 +55,26 @@ def test_groups_of_copies_and_chains(frame):
     assert len({c for _, _, c, _ in got}) < len(rows)
 
 
+def test_full_sets_meet_in_blocks_of_bounded_size(frame):
+    rng = random.Random(5)
+    rows = []
+    for size in (30, 30, 400, 2500):
+        text = words(size, rng)
+        for _ in range(9):
+            other = list(text)
+            for _ in range(rng.randrange(1 + size // 60)):
+                other[rng.randrange(size)] = "new" + str(rng.randrange(999))
+            rows.append((len(rows), " ".join(other)))
+    docs = frame(rows, "doc_id long, text string")
+    buckets = docs.selectExpr("1L AS key", "doc_id AS node")
+    roots = frame([(k, 0) for k in range(5)], "node long, root long")  # a component that is known already
+    sets = _sets(docs, buckets.select("node"), "doc_id", "text", 5)
+    for how in (NearDup(), NearDup(block=4), NearDup(held=900)):
+        links = _linked(buckets, roots, sets, how)
+        got = {r.node: r.root for r in merged(roots, links).collect()}
+        assert [(i, got.get(i, i)) for i, _ in rows] == [(i, c) for i, _, c, _ in brute(rows)]
+
+
 def test_exactly_three_quarters(frame):
     base = [f"w{k}" for k in range(11)]  # 7 shingles
     more = base + ["x", "y"]  # 9 shingles: 7 of 9
