@@ -1,8 +1,9 @@
-"""Small numpy learners, and bounded samples of labelled rows to fit them on."""
+"""Small learners, and the labelled rows, all or a bounded sample of them, to fit them on."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,55 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, labe
     return sample, (ones or 0) / all_ if all_ else 0.0
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, usable) -> tuple[DataFrame, float]:
+    """Every document with a usable label as (id, text, y), and the share of label 1 among all usable labels.
+
+    ``usable`` is a condition on the labels' id; repeated labels of an id count as their largest, repeated texts once.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & usable).groupBy(F.col(id).alias("id")).agg(
+        F.max(F.col(label)).cast("int").alias("y"))
+    ones, all_ = known.agg(F.sum("y"), F.count("*")).first()
+    joined = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(known, "id")
+    rows = joined.groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min_by(F.struct("id", "text"), "id").alias("s")).select(
+        "s.id", "s.text", "y")
+    return rows, (ones or 0) / all_ if all_ else 0.0
+
+
+def logistic_rows(rows: DataFrame, width: int, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """``logistic`` over a table (x array of ``width`` doubles, y): gradient and curvature are summed by Spark, step by step."""
+    size = width + 1
+
+    def summed(w):
+        def run(batches):
+            gradient, curve = np.zeros(size), np.zeros((size, size))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, width)
+                z = np.column_stack([x, np.ones(len(x))])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                gradient += z.T @ (batch.column(1).to_numpy() - p)
+                curve += (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+            values = np.concatenate([gradient, curve.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["k", "v"])
+
+        # decimals, so that the order of the partial sums does not show
+        sums = rows.select("x", "y").mapInArrow(run, "k int, v double").groupBy("k").agg(
+            F.sum(F.col("v").cast("decimal(38,12)")).cast("double").alias("v"))
+        values = np.zeros(size + size * size)
+        for r in sums.collect():  # as many rows as there are coefficients and pairs of them
+            values[r.k] = r.v
+        return values[:size], values[size:].reshape(size, size)
+
+    w, penalty = np.zeros(size), ridge * np.eye(size)
+    penalty[-1, -1] = 1e-6
+    for _ in range(steps):
+        gradient, curve = summed(w)
+        step = np.linalg.solve(curve + penalty, gradient - penalty @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     """Weights of a ridge-penalised logistic regression by Newton's method; the last one is the intercept."""
     z = np.column_stack([x, np.ones(len(x))])

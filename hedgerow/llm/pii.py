@@ -14,8 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hedgerow.llm.shared import discard, written
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
+NAME = -1  # marks rows of local parts among the counts
 
 # The base patterns. A look-behind that changes no match keeps long runs of digits linear.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -30,15 +33,13 @@ _LOOSE = re.compile(r"\(?[0-9](?:[\x20().0-9-]*[0-9])?")
 
 @dataclass(frozen=True)
 class Pii:
-    """Fitted on ``rows`` documents of at most ``chars`` characters, labelled by the patterns.
+    """Fitted on all documents, labelled by the patterns.
 
     A span is added if its kind's belief reaches ``sure``. Shape and two neighbours give log odds of at most ``shape`` / 2
     + 4 ``PULL`` = 2.1, a belief of 0.89, so only what agrees with a base span of the document is added. ``tail``: shared last digits that
     make two numbers similar. ``rounds`` of message passing. ``near``: characters between neighbours of the chain.
     """
 
-    rows: int = 3000
-    chars: int = 100_000
     sure: float = 0.9
     shape: float = 1.0
     tail: int = 7
@@ -155,7 +156,7 @@ def _links(text: str, nodes: list[tuple[int, int, int]], how: Pii) -> list[tuple
 class Model:
     """Log potentials: of shapes (features, labels), of neighbours (labels, labels), of linked mentions that agree.
 
-    ``words``: in how many texts of the sample a word stands where no address has it as local part.
+    ``words``: in how many texts a local part of some address stands as a word, without an address that has it.
     """
 
     shapes: np.ndarray
@@ -168,18 +169,19 @@ class Model:
         return max(0.0, self.agree - math.log1p(self.words.get(word, 0.0)))
 
 
-def fit(docs: DataFrame, how: Pii = Pii(), id: str = "doc_id", text: str = "text") -> Model:
-    """Learn the potentials from a bounded sample of documents with candidates; the patterns give the labels."""
+def fit(docs: DataFrame, how: Pii = Pii(), text: str = "text") -> Model:
+    """Learn the potentials from every row's whole text; the patterns give the labels."""
     labels = len(KINDS) + 1
 
     def encode(batches):
         for batch in batches:
-            words = Counter()
+            words, addressed = Counter(), set()
             shapes, kinds, chains, agree = np.zeros((SHAPES, labels)), np.zeros(labels), np.zeros((labels, labels)), np.zeros(2)
             for value in batch.column(0).to_pylist():
                 base = base_spans(value)
                 nodes = _candidates(value, base, how)
                 names = {value[s:e].partition("@")[0] for s, kind, e in base if kind == 0}
+                addressed |= names
                 words.update({w for x in _WORD.findall(value) if len(x) <= 64 and (w := _word(x, names)) not in names})
                 for s, kind, e in nodes:
                     kinds[kind] += 1
@@ -192,25 +194,24 @@ def fit(docs: DataFrame, how: Pii = Pii(), id: str = "doc_id", text: str = "text
                     if OTHER not in (nodes[a][1], nodes[b][1]):
                         agree[int(nodes[a][1] == nodes[b][1])] += 1
             row = np.concatenate([shapes.ravel(), kinds, chains.ravel(), agree])
+            numbers = [*range(len(row)), *[None] * len(words), *[NAME] * len(addressed)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*range(len(row)), *[None] * len(words)], pa.int32()), pa.array([*[None] * len(row), *words], pa.string()),
-                 pa.array([*row, *words.values()], pa.float64())], ["k", "word", "n"])
-
-    usable = docs.where(F.col(text).rlike("[0-9@]") & (F.length(text) <= how.chars)).select(
-        F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    # ids first, so that texts of the sample alone are sent; of rows with equal ids one counts
-    picked = usable.select("id").where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(how.rows).distinct()
-    sample = usable.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text")).select("text")
+                [pa.array(numbers, pa.int32()), pa.array([*[None] * len(row), *words, *addressed], pa.string()),
+                 pa.array([*row, *words.values(), *[1.0] * len(addressed)], pa.float64())], ["k", "word", "n"])
+
+    texts = docs.select(F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
     size = SHAPES * labels + labels + labels * labels + 2
     counts = np.zeros(size)
     words = {}
-    # ``size`` rows, and words of at least four texts: rarer ones cannot change what is added
-    for r in sample.mapInArrow(encode, "k int, word string, n double").groupBy("k", "word").agg(F.sum("n").alias("n")).where(
-            "k IS NOT NULL OR n >= 4").collect():
+    summed = written(texts.mapInArrow(encode, "k int, word string, n double").groupBy("k", "word").agg(F.sum("n").alias("n")), "pii-counts")
+    # ``size`` rows, and of the words of at least four texts (rarer ones cannot change what is added) those that some address has
+    kept = summed.where("k IS NULL AND n >= 4").join(summed.where(F.col("k") == NAME).select("word"), "word", "left_semi")
+    for r in summed.where("k >= 0").unionByName(kept).collect():
         if r.k is None:
             words[r.word] = r.n
         else:
             counts[r.k] = r.n
+    discard(summed)
     shapes, kinds, chain, agree = np.split(counts, np.cumsum([SHAPES * labels, labels, labels * labels]))
     shapes, chain = shapes.reshape(SHAPES, labels), chain.reshape(labels, labels)
     given = (shapes + 0.5) / (kinds + 1.0)

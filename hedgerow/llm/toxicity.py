@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.learning import labelled_sample, logistic, shifted, sigmoid
-from hedgerow.llm.shared import written
+from hedgerow.llm.learning import labelled_rows, logistic_rows, shifted, sigmoid
+from hedgerow.llm.shared import discard, written
 from hedgerow.llm.transducers import grammar
 
 # Closed word classes in the languages at hand (en, fr, de, es).
@@ -26,13 +26,12 @@ THREATS = "kill hurt destroy shoot stab tuer töten umbringen matar".split()
 
 @dataclass(frozen=True)
 class Toxicity:
-    """``rows``: labelled documents the lexicon and the weights are fitted on, half of either label at most.
+    """Lexicon and weights are fitted on all labelled documents.
 
     A stem is a whole word or a longer word's first 4 to 7 letters; it enters the lexicon if at least ``least`` toxic
-    sample texts hold it and its log odds reach ``odds``; ``stems`` bounds the lexicon.
+    texts hold it and its log odds reach ``odds``; ``stems`` bounds the lexicon.
     """
 
-    rows: int = 6000
     least: int = 8
     odds: float = 2.0
     stems: int = 5000
@@ -52,8 +51,8 @@ def _stems(text: str) -> set[str]:
     return found
 
 
-def learn_stems(sample: DataFrame, how: Toxicity) -> dict[str, float]:
-    """Log odds of the stems that mark toxic texts, counted over the sample's texts by Spark."""
+def learn_stems(known: DataFrame, how: Toxicity) -> dict[str, float]:
+    """Log odds of the stems that mark toxic texts, counted over all labelled texts by Spark."""
     def spell(batches):
         for batch in batches:
             stems, labels = [], []
@@ -63,9 +62,9 @@ def learn_stems(sample: DataFrame, how: Toxicity) -> dict[str, float]:
                 labels += [y] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(labels, pa.int32())], ["stem", "y"])
 
-    size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    size = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     ones, zeros = size.get(1, 0), size.get(0, 0)
-    counts = sample.select("text", "y").mapInArrow(spell, "stem string, y int").groupBy("stem").agg(
+    counts = known.select("text", "y").mapInArrow(spell, "stem string, y int").groupBy("stem").agg(
         F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
     odds = F.log((F.col("ones") + 0.5) / (ones + 1.0)) - F.log((F.col("zeros") + 0.5) / (zeros + 1.0))
     best = counts.where(F.col("ones") >= how.least).select("stem", odds.alias("odds")).where(F.col("odds") >= how.odds)
@@ -145,10 +144,11 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, usable, how: Toxicity = Toxicity(), id: str = "doc_id", text: str = "text",
         label: str = "toxic") -> Model:
-    """Learn lexicon and weights from ``how.rows`` documents whose label's id meets ``usable``."""
-    sample, share = labelled_sample(docs, labels, id, text, label, how.rows, usable)
-    sample = written(sample, "toxic-sample")
-    lexicon = learn_stems(sample, how)
+    """Learn lexicon and weights from every document whose label's id meets ``usable``."""
+    known, share = labelled_rows(docs, labels, id, text, label, usable)
+    known = written(known, "toxic-known")
+    lexicon = learn_stems(known, how)
+    width = 2 + len(Scanner.OUTPUTS)
 
     def encode(batches):
         scanner = Scanner(lexicon, how.threat)
@@ -156,12 +156,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable, how: Toxicity = Toxicity(),
             found = [scanner.features(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    rows = sample.select("text", "y").mapInArrow(encode, "x array<double>, y int").toPandas()  # at most how.rows rows
-    if rows.y.nunique() < 2:
-        return Model(lexicon, [0.0] * (2 + len(Scanner.OUTPUTS)) + [shifted(0.0, 0.5, share)], how.threat)
-    y = rows.y.to_numpy(float)
-    weights = logistic(np.stack(rows.x), y)
-    weights[-1] = shifted(weights[-1], y.mean(), share)
+    rows = written(known.select("text", "y").mapInArrow(encode, "x array<double>, y int"), "toxic-features")
+    discard(known)
+    ones, all_ = rows.agg(F.sum("y"), F.count("*")).first()
+    if not ones or ones == all_:
+        weights = np.array([0.0] * width + [shifted(0.0, 0.5, share)])
+    else:
+        weights = logistic_rows(rows, width)
+        weights[-1] = shifted(weights[-1], ones / all_, share)
+    discard(rows)
     return Model(lexicon, weights.tolist(), how.threat)
 
 

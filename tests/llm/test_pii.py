@@ -109,3 +109,9 @@ def test_lone_repeats_count_alike_with_and_without_other_spans():
             how = Pii(sure=sure)
             alone, beside = pii.spans(lone * n, model, how)[1], pii.spans(lone * n + "a@b.de", model, how)[1]
             assert len(alone) == len(beside) - 1 == (n if sure < 0.5 else 0)
+
+
+def test_fitted_on_every_whole_text(frame):
+    rows = [(k, f"ask info at desk {k}") for k in range(3200)] + [(4000, "w " * 60_000 + "info"), (4001, "mail info@b.de"), (4002, None)]
+    model = pii.fit(frame(rows, "doc_id long, text string"))
+    assert model.words == {"info": 3201.0}  # ``ask``, ``at`` and ``desk`` are no address's local part

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hedgerow.llm import toxicity
+from hedgerow.llm.learning import logistic, logistic_rows
 from hedgerow.llm.shared import remainder
 from hedgerow.llm.toxicity import Model, Scanner, Toxicity
 from hedgerow.llm.transducers import addressed, compose, grammar, negated, reported
@@ -59,3 +61,23 @@ def test_nothing_to_learn_from(frame):
     model = toxicity.fit(none, frame([], "doc_id long, toxic int"), F.lit(True))
     assert toxicity.toxicity(none, model).count() == 0
     assert isinstance(model, Model) and 0 <= toxicity.toxicity(frame([(1, "x")], "doc_id long, text string"), model).first().toxicity <= 1
+
+
+def test_every_labelled_text_counts(spark, frame):
+    """A word that only stands in the toxic texts which come last by hash is learnt as well."""
+    ids = [r.id for r in spark.range(3200).orderBy(F.xxhash64("id"), "id").collect()]
+    docs = [(k, f"plain words {k}" + (" zorkan" if at >= 3100 else " idiot")) for at, k in enumerate(ids)]
+    docs += [(k, f"plain words {k}") for k in range(4000, 4400)]
+    labels = frame([(k, int(k < 4000)) for k, _ in docs], "doc_id long, toxic int")
+    rows = frame(docs, "doc_id long, text string")
+    model = toxicity.fit(rows, labels, F.lit(True))
+    assert {"=zorkan", "=idiot"} <= set(model.lexicon)
+    assert {r.doc_id for r in toxicity.toxicity(rows, model).where("toxicity >= 0.5").collect()} == set(ids)
+
+
+def test_summed_steps_are_newtons(frame):
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(400, 3))
+    y = (x @ [1.0, -2.0, 0.5] + draw.normal(size=400) > 0).astype(int)
+    rows = frame([(a.tolist(), int(b)) for a, b in zip(x, y)], "x array<double>, y int").repartition(5)
+    assert np.allclose(logistic_rows(rows, 3), logistic(x, y), atol=1e-6)
