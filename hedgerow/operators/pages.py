@@ -116,24 +116,31 @@ def field_for_label(label: Column) -> Column:
 # --- chains -----------------------------------------------------------------
 
 def _doubled(jump: DataFrame, best: bool = False) -> DataFrame:
-    """Twice as far along every jump; with ``best`` the least ``low`` on the way is carried along."""
+    """Twice as far along every jump; with ``best`` the least ``low`` on the way is carried along (``fell``: it got less)."""
     columns = [F.col("url").alias("mid"), F.col("next_url").alias("far")]
     far = jump.select(*columns, F.col("low").alias("_low")) if best else jump.select(*columns)
-    low = [F.least("low", "_low").alias("low")] if best else []
+    low = [F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("fell")] if best else []
     return checkpointed(jump.join(far, F.col("next_url") == F.col("mid")).select("url", F.col("far").alias("next_url"), *low))
 
 
 def _without_cycles(step: DataFrame) -> DataFrame:
-    """``step`` without the link that closes each cycle, the one to the cycle's smallest address."""
-    rounds, jump = max(1, step.count()).bit_length(), step
-    for _ in range(rounds):  # past the end of every chain: what is still reached lies on a cycle
-        jump = _doubled(jump)
+    """``step`` without the link that closes each cycle, the one to the cycle's smallest address.
+
+    Rounds go by the longest chain, not by the number of links. Past the end of every chain, what is still reached lies on
+    a cycle: a doubling from n to 2n steps loses the start that is n links from a chain's end and the target that is n
+    links from the start of a tail, so while there is any of them, starts or targets get fewer.
+    """
+    jump, before = step, None
+    while (seen := jump.agg(F.count("*"), F.count_distinct("next_url")).first()) != before:
+        jump, before = _doubled(jump), seen
     on_cycle = checkpointed(jump.select(F.col("next_url").alias("url")).distinct())
     if on_cycle.isEmpty():
         return step
     around = step.join(on_cycle, "url", "left_semi").withColumn("low", F.col("url"))
-    for _ in range(rounds):
+    while True:  # where no stretch's least is less than that of the one before it, all are the cycle's
         around = _doubled(around, best=True)
+        if around.filter("fell").isEmpty():
+            break
     closing = step.join(around.select("url", "low"), "url").filter("next_url = low").select("url", "next_url")
     return checkpointed(step.join(closing, ["url", "next_url"], "left_anti"))
 

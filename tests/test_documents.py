@@ -1,5 +1,7 @@
 """Filter rules, classification, texts, links and pages on hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,34 @@ def test_next_pages_and_chains(spark, links):
     assert sorted(r.step for r in short) == list(range(1, 51))
 
 
+def test_chains_of_any_shape_in_few_rounds(spark, monkeypatch):
+    """Random links with tails and cycles against a plain walk; rounds follow the longest chain, not the number of pages."""
+    draw = random.Random(5)
+    step = {k: 7 * (k // 7) + (k + 1) % 7 for k in range(700) if k % 7 != 3 or k % 2}  # chains and cycles of 7 at most
+    step |= {k: draw.randrange(1000, 1060) for k in range(1000, 1060) if k % 9}
+    rounds, double = [], pages._doubled
+    monkeypatch.setattr(pages, "_doubled", lambda *a, **k: rounds.append(1) or double(*a, **k))
+    edges = spark.createDataFrame(list(step.items()), "url long, next_url long")
+    urls = spark.createDataFrame([(k,) for k in sorted({*step, *step.values()})], "url long")
+    got = {(r.first_url, r.url, r.step) for r in pages.page_chains(urls, edges).collect()}
+    on_cycle = {}
+    for k in step:
+        seen, at = [], k
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = step.get(at)
+        if at == k:
+            on_cycle[k] = min(seen)
+    cut = {k: v for k, v in step.items() if on_cycle.get(k) != v}
+    want = set()
+    for head in {*step, *step.values()} - set(cut.values()):
+        at, n = head, 1
+        while at is not None:
+            want.add((head, at, n))
+            at, n = cut.get(at), n + 1
+    assert got == want and len(rounds) <= 20  # 10 + 10 to tell cycles and 4 or more to walk, when rounds went by the number of links
+
+
 def test_repeated_names_get_numbers(spark):
     df = spark.createDataFrame([("d", "a.pdf", i) for i in range(3)] + [("d", "b", 3), ("d", "b", 4)], "folder string, file_name string, seq int")
     assert [r.stored_name for r in pages.dedupe_names(df).orderBy("seq").collect()] == ["a.pdf", "a_1.pdf", "a_2.pdf", "b", "b_1"]
