@@ -18,6 +18,7 @@ from hedgerow.rules import documents as D
 
 CHARS = D.CHUNK_TOKENS * D.CHARS_PER_TOKEN
 OVERLAP = D.OVERLAP_TOKENS * D.CHARS_PER_TOKEN
+_SLICE = 1 << 20  # characters of texts whose chunks are sent back at a time; a longer text stands alone
 
 
 def _key_type(df: DataFrame, key: str) -> str:
@@ -30,28 +31,36 @@ def chunk_text(docs: DataFrame, key: str = "document_id", text: str = "text",
                size_tokens: int = D.CHUNK_TOKENS, overlap_tokens: int = D.OVERLAP_TOKENS) -> DataFrame:
     """Chunk whole texts: (key, chunk_index, text, char_count, word_count); blank texts give no row.
 
-    Only key and text cross to Python, batch by batch; a document is never shuffled.
+    Only key and text cross to Python; texts are unpacked one by one and chunks sent back a few documents at a time, so
+    memory does not follow the number of texts in a batch. A document is never shuffled.
     """
     size, overlap = size_tokens * D.CHARS_PER_TOKEN, overlap_tokens * D.CHARS_PER_TOKEN
 
     def cut(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         from hedgerow.functions.splitting import chunk_spans
 
         for batch in batches:
-            keys, indexes, texts = [], [], []
-            for k, body in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
+            keys, bodies = batch.columns
+            at, indexes, texts, held = [], [], [], 0
+            for row in range(batch.num_rows):
+                body = bodies[row].as_py()
                 spans = chunk_spans(body, size, overlap)
-                keys += [k] * len(spans)
+                at += [row] * len(spans)
                 indexes += range(len(spans))
                 texts += [body[a:b] for a, b in spans]
-            yield pd.DataFrame({"k": keys, "chunk_index": indexes, "text": texts})
+                held += len(body)
+                if held >= _SLICE or row + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.take(pa.array(at, pa.int64())), pa.array(indexes, pa.int32()), pa.array(texts, pa.string())],
+                        ["k", "chunk_index", "text"])
+                    at, indexes, texts, held = [], [], [], 0
 
     schema = f"k {_key_type(docs, key)}, chunk_index int, text string"
     return (
         docs.filter(~T.is_blank(F.col(text))).select(key, text)
-        .mapInPandas(cut, schema)
+        .mapInArrow(cut, schema)
         .select(F.col("k").alias(key), "chunk_index", "text",
                 F.length("text").alias("char_count"), T.word_count(F.col("text")).alias("word_count"))
     )
@@ -62,7 +71,7 @@ def chunk_pages(pages: DataFrame, key: str = "document_id", size_tokens: int = D
     """Chunk documents given as pages; each chunk knows the pages it covers.
 
     Pages are sorted within their partition and read as a stream, so one document's text is held
-    at a time, not a partition.
+    at a time, not a partition; the chunks of short documents are sent back together.
     """
     size, overlap = size_tokens * D.CHARS_PER_TOKEN, overlap_tokens * D.CHARS_PER_TOKEN
 
@@ -72,19 +81,29 @@ def chunk_pages(pages: DataFrame, key: str = "document_id", size_tokens: int = D
         from hedgerow.functions.splitting import page_chunks
 
         def rows_of(document, held):
-            rows = [(document, i, t, p) for i, t, p in page_chunks(held, size, overlap)]
-            return pd.DataFrame(rows, columns=["k", "chunk_index", "text", "page_numbers"]).assign(total_chunks=len(rows))
+            found = list(page_chunks(held, size, overlap))
+            return [(document, i, t, p, len(found)) for i, t, p in found]
+
+        def framed(rows):
+            return pd.DataFrame(rows, columns=["k", "chunk_index", "text", "page_numbers", "total_chunks"])
 
-        document, held = None, []
+        document, held, rows, waiting = None, [], [], 0
         for batch in batches:
             for k, number, body in batch.itertuples(index=False, name=None):
                 if held and k != document:
-                    yield rows_of(document, held)
+                    rows += rows_of(document, held)
                     held = []
+                    if waiting >= _SLICE:
+                        yield framed(rows)
+                        rows, waiting = [], 0
                 document = k
                 held.append((number, body))
+                waiting += len(body)
+            if rows:
+                yield framed(rows)
+                rows, waiting = [], 0
         if held:
-            yield rows_of(document, held)
+            yield framed(rows_of(document, held))
 
     schema = f"k {_key_type(pages, key)}, chunk_index int, text string, page_numbers array<int>, total_chunks long"
     return (

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -241,3 +243,33 @@ def test_upsert_is_idempotent(spark):
     updates = spark.createDataFrame([("b", 3), ("c", 4)], "chunk_id string, v int")
     once = registry.upsert(target, updates)
     assert {tuple(r) for r in registry.upsert(once, updates).collect()} == {("a", 1), ("b", 3), ("c", 4)}
+
+
+def handed(monkeypatch, df, method, make):
+    """The function that ``make`` hands to a method of DataFrames."""
+    kept, plain = [], getattr(type(df), method)
+    monkeypatch.setattr(type(df), method, lambda self, f, schema: kept.append(f) or plain(self, f, schema))
+    make(df)
+    return kept[0]
+
+
+def test_chunks_of_many_short_documents_are_sent_together(spark, monkeypatch):
+    rows = [(f"d{k}", n, f"page {n} of {k}") for k in range(300) for n in (1, 2)]
+    df = spark.createDataFrame(rows, "document_id string, page_number int, text string")
+    cut = handed(monkeypatch, df, "mapInPandas", corpus.chunk_pages)
+    whole = pd.DataFrame(rows, columns=["document_id", "page_number", "text"])
+    frames = list(cut(iter([whole[:101], whole[101:]])))
+    assert len(frames) <= 3
+    got = [tuple(r) for r in pd.concat(frames).itertuples(index=False)]
+    assert got == [(f"d{k}", 0, f"page 1 of {k}\n\npage 2 of {k}", [1, 2], 1) for k in range(300)]
+
+
+def test_chunks_of_large_batches_are_sent_in_slices(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a")], "document_id int, text string")
+    cut = handed(monkeypatch, df, "mapInArrow", corpus.chunk_text)
+    texts = [f"{k} " + "some words " * 9000 for k in range(60)]
+    sent = list(cut(iter([pa.RecordBatch.from_arrays([pa.array([*range(59), None]), pa.array(texts)], ["document_id", "text"])])))
+    assert len(sent) > 4 and max(b.nbytes for b in sent) < 2 * (corpus._SLICE + 100_000)
+    got = [(k, i, t) for b in sent for k, i, t in zip(*(c.to_pylist() for c in b.columns))]
+    assert got == [(k if k < 59 else None, i, t[a:b]) for k, t in enumerate(texts)
+                   for i, (a, b) in enumerate(chunk_spans(t, corpus.CHARS, corpus.OVERLAP))]
