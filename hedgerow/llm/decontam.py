@@ -50,12 +50,17 @@ def _hashed(text: str) -> Column:
     return F.transform(tokens(F.col(text).cast("string")), lambda x: F.xxhash64(x))
 
 
-def _placed(rows: DataFrame, key: str, mask: str) -> DataFrame:
-    """(key, hash, position of its first token) of ``mask`` laid on every position; fewer tokens than it spans: none."""
-    kept = [k for k, c in enumerate(mask) if c == "1"]
-    seeds = F.transform(F.sequence(F.lit(0), F.size("h") - len(mask)),
-                        lambda i: F.xxhash64(F.lit(mask), *[F.get("h", i + k) for k in kept]))
-    return rows.where(F.size("h") >= len(mask)).select(key, F.posexplode(seeds).alias("at", "hash"))
+def _placed(rows: DataFrame, key: str, masks: list[str]) -> DataFrame:
+    """(key, position of its first token, hash) of each mask laid on every position; fewer tokens than it spans: none.
+
+    All masks are laid in one pass, so that a text is cut into tokens once.
+    """
+    def laid(mask):
+        kept = [k for k, c in enumerate(mask) if c == "1"]
+        starts = F.when(F.size("h") >= len(mask), F.sequence(F.lit(0), F.size("h") - len(mask))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(mask), *[F.get("h", i + k) for k in kept]).alias("hash")))
+
+    return rows.select(key, F.explode(F.concat(*map(laid, masks))).alias("seed")).select(key, "seed.at", "seed.hash")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -78,16 +83,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
     widths = {r.n for r in items.select(least.alias("n")).distinct().collect()} or {1}  # no items, no rows
     masks = sorted({how.mask(n) for n in widths})
 
-    def all_placed(df, key, of=lambda df, mask: df):
-        return reduce(DataFrame.unionByName, [_placed(of(df, mask), key, mask) for mask in masks])
-
-    known = written(all_placed(items, "item", lambda df, mask: df.where(
-        least.isin([n for n in widths if how.mask(n) == mask]))).distinct(), "seeds")
+    # an item is hashed by the mask of its own width, a document by all of them
+    known = written(reduce(DataFrame.unionByName, [
+        _placed(items.where(least.isin([n for n in widths if how.mask(n) == mask])), "item", [mask]) for mask in masks]).distinct(), "seeds")
     # the width is known by then: hashes, items and positions of the benchmark alone
     few = known.count() <= how.rows
     sized = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     seen = sized(known.select("hash").distinct())
-    hits = written(all_placed(rows, "id").join(seen, "hash"), "hits")
+    hits = written(_placed(rows, "id", masks).join(seen, "hash"), "hits")
     starts = hits.join(sized(known.select("hash", "item", F.col("at").alias("b"))), "hash").select(
         "id", "item", (F.col("at") - F.col("b")).alias("shift")).distinct()
     wanted = written(starts, "alignments")

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from hedgerow.llm import decontam
 from hedgerow.llm.decontam import Decontamination, clean, overlaps
@@ -113,3 +114,13 @@ def test_equals_all_alignments_without_seeds(frame):
     got = found(overlaps(frame(docs, DOCS), frame(bench, ITEMS)))
     assert got == brute(docs, bench)
     assert {900, 901, 902} <= {d for d, *_ in got}
+
+
+def test_texts_are_cut_into_tokens_once(frame, capsys):
+    """However many masks there are: one scan of the documents, one split of each text."""
+    rows = frame(documents(), DOCS).select(F.col("doc_id").alias("id"), decontam._hashed("text").alias("h"))
+    placed = decontam._placed(rows, "id", list(Decontamination().masks))
+    placed.explain()
+    assert capsys.readouterr().out.count("split(") == 1
+    one_by_one = [r for mask in Decontamination().masks for r in decontam._placed(rows, "id", [mask]).collect()]
+    assert sorted(placed.collect(), key=str) == sorted(one_by_one, key=str)
