@@ -177,21 +177,37 @@ def _parted(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return buckets.join(roots.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
 
 
+def _met(rows: DataFrame, *columns: str) -> DataFrame:
+    """(key, i, j, block, node, part, ``columns``): the members of buckets, once for each two blocks that meet.
+
+    A bucket's ``largest`` component is cut into ``wide`` blocks (-1, -2, ...), its other members into ``narrow`` ones. The
+    others' blocks meet each other and those of the largest, which need not meet each other: where one component holds
+    nearly all of a bucket, rows follow its size and not its square.
+    """
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("wide")).otherwise(F.col("narrow"))).cast("int")
+    rest, large = F.sequence(F.lit(0), F.col("narrow") - 1), F.sequence(F.lit(0), F.col("wide") - 1)
+    pair = lambda i, j: F.named_struct(F.lit("i"), i, F.lit("j"), j)
+    at = F.col("block")
+    met = F.when(F.col("large"), F.transform(rest, lambda x: pair(x, F.lit(-1) - at))).otherwise(F.concat(
+        F.transform(large, lambda x: pair(at, F.lit(-1) - x)),
+        F.transform(rest, lambda x: pair(F.least(at, x), F.greatest(at, x)))))
+    placed = rows.withColumn("large", F.col("part") == F.col("largest")).withColumn("block", own).withColumn("m", F.explode(met))
+    return placed.select("key", "m.i", "m.j", F.when(F.col("large"), F.lit(-1) - at).otherwise(at).alias("block"), "node", "part", *columns)
+
+
 def _likely(buckets: DataFrame, roots: DataFrame, marks: DataFrame, how: NearDup, doubt: float, most: int) -> DataFrame:
     """(a, b, null): pairs of different components that share a bucket and agree in at least ``doubt`` of the minima.
 
-    Each bucket with members of more than one component is cut into blocks; two blocks at a time are compared in
-    memory, and a pair only in the first band it shares. For each two components that meet there, the ``most``
-    likeliest pairs come out, and (null, null, key) if there were more.
+    Each bucket with members of more than one component is cut into blocks as ``_met`` says; two blocks at a time are
+    compared in memory, and a pair only in the first band it shares. For each two components that meet there, the
+    ``most`` likeliest pairs come out, and (null, null, key) if there were more.
     """
     rooted = _parted(buckets, roots)
-    unsettled = rooted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where(
-        "lo <> hi").select("key", F.ceil(F.col("n") / how.block).cast("int").alias("blocks"))
-    dealt = rooted.join(unsettled, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(marks, "node").select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part",
-        "signature", "band")
+    sizes = rooted.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n")).where("most.n < n").select(
+        "key", F.col("most.part").alias("largest"), F.ceil(F.col("most.n") / how.block).cast("int").alias("wide"),
+        F.ceil((F.col("n") - F.col("most.n")) / how.block).cast("int").alias("narrow"))
+    dealt = _met(rooted.join(sizes, "key").join(marks, "node"), "signature", "band")
     bands, rows = how.bands, how.rows
 
     def compare(key, blocks, nodes, parts, minima, numbers):
@@ -247,17 +263,7 @@ def _linked(buckets: DataFrame, roots: DataFrame, sets: DataFrame, how: NearDup)
 
     sizes = sizes.select("key", F.col("most.part").alias("largest"), blocks(F.col("most.n"), F.col("most.size")).alias("wide"),
                          blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("narrow"))
-    rows = rooted.join(sizes, "key").select(
-        "key", "node", "part", (F.col("part") == F.col("largest")).alias("large"), "wide", "narrow")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("wide")).otherwise(F.col("narrow"))).cast("int"))
-    rest, large = F.sequence(F.lit(0), F.col("narrow") - 1), F.sequence(F.lit(0), F.col("wide") - 1)
-    pair = lambda i, j: F.named_struct(F.lit("i"), i, F.lit("j"), j)
-    own = F.col("block")
-    met = F.when(F.col("large"), F.transform(rest, lambda x: pair(x, F.lit(-1) - own))).otherwise(F.concat(
-        F.transform(large, lambda x: pair(own, F.lit(-1) - x)),
-        F.transform(rest, lambda x: pair(F.least(own, x), F.greatest(own, x)))))
-    dealt = rows.withColumn("m", F.explode(met)).withColumn("block", F.when(F.col("large"), F.lit(-1) - own).otherwise(own))
-    dealt = dealt.join(sets, "node").select("key", "m.i", "m.j", "block", "node", "part", "members")
+    dealt = _met(rooted.join(sizes, "key").drop("size").join(sets.select("node", "members"), "node"), "members")
     percent = how.percent
 
     def compare(_, blocks, nodes, parts, members):

@@ -2,7 +2,7 @@ import random
 import re
 
 from hedgerow.llm.components import components, merged
-from hedgerow.llm.neardup import NearDup, _linked, _sets, near_duplicates
+from hedgerow.llm.neardup import NearDup, _linked, _met, _sets, near_duplicates
 
 SCHEMA = "doc_id long, text string, component_id string, kept int"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -109,3 +109,17 @@ def test_adding_edges_to_components(frame):
     roots = components(frame(first, "a long, b long"))
     got = {r.node: r.root for r in merged(roots, frame(second, "a long, b long")).collect()}
     assert got == {r.node: r.root for r in components(frame(first + second, "a long, b long")).collect()}
+
+
+def test_rows_that_meet_follow_the_size_of_the_largest_component(frame):
+    """A bucket of 200 members of one component and 4 others, in blocks of 10: each member goes once to the others' block."""
+    rows = frame([(1, k, 0 if k < 200 else k, 0, 20, 1, k) for k in range(204)],
+                 "key long, node long, part long, largest long, wide int, narrow int, band int")
+    met = _met(rows, "band").collect()
+    assert len(met) == 200 + 4 * (20 + 1)
+    tasks = {}
+    for r in met:
+        tasks.setdefault((r.i, r.j), []).append(r)
+    pairs = [tuple(sorted((x.node, y.node))) for (i, j), held in tasks.items() for x in held for y in held
+             if x.part < y.part and (i == j or x.block != y.block)]
+    assert len(pairs) == len(set(pairs)) == 200 * 4 + 6
