@@ -177,22 +177,36 @@ def _parted(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return buckets.join(roots.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
 
 
-def _met(rows: DataFrame, *columns: str) -> DataFrame:
-    """(key, i, j, block, node, part, ``columns``): the members of buckets, once for each two blocks that meet.
+def _met(rows: DataFrame, *columns: str, held: DataFrame | None = None) -> DataFrame:
+    """(key, i, j, block, node, part, what ``held`` has of a node, ``columns``): the members of buckets, once for each two
+    blocks that meet.
 
     A bucket's ``largest`` component is cut into ``wide`` blocks (-1, -2, ...), its other members into ``narrow`` ones. The
     others' blocks meet each other and those of the largest, which need not meet each other: where one component holds
-    nearly all of a bucket, rows follow its size and not its square.
+    nearly all of a bucket, rows follow its size and not its square. A node's buckets, at most one a band, are one row
+    when ``held`` is joined, so that a signature or full set is joined once a node and not once a bucket.
     """
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("wide")).otherwise(F.col("narrow"))).cast("int")
-    rest, large = F.sequence(F.lit(0), F.col("narrow") - 1), F.sequence(F.lit(0), F.col("wide") - 1)
-    pair = lambda i, j: F.named_struct(F.lit("i"), i, F.lit("j"), j)
-    at = F.col("block")
-    met = F.when(F.col("large"), F.transform(rest, lambda x: pair(x, F.lit(-1) - at))).otherwise(F.concat(
-        F.transform(large, lambda x: pair(at, F.lit(-1) - x)),
-        F.transform(rest, lambda x: pair(F.least(at, x), F.greatest(at, x)))))
-    placed = rows.withColumn("large", F.col("part") == F.col("largest")).withColumn("block", own).withColumn("m", F.explode(met))
-    return placed.select("key", "m.i", "m.j", F.when(F.col("large"), F.lit(-1) - at).otherwise(at).alias("block"), "node", "part", *columns)
+    rest = lambda p: F.sequence(F.lit(0), p.narrow - 1)
+    most = lambda p: F.sequence(F.lit(0), p.wide - 1)
+
+    def places(p):
+        large = F.col("part") == p.largest
+        at = F.pmod(F.xxhash64("node"), F.when(large, p.wide).otherwise(p.narrow)).cast("int")
+
+        def pair(i, j):
+            return F.struct(p.key.alias("key"), i.alias("i"), j.alias("j"), F.when(large, F.lit(-1) - at).otherwise(at).alias("block"),
+                            *(p[c].alias(c) for c in columns))
+
+        return F.when(large, F.transform(rest(p), lambda x: pair(x, F.lit(-1) - at))).otherwise(F.concat(
+            F.transform(most(p), lambda x: pair(at, F.lit(-1) - x)),
+            F.transform(rest(p), lambda x: pair(F.least(at, x), F.greatest(at, x)))))
+
+    gathered = rows.groupBy("node").agg(F.max("part").alias("part"), F.collect_list(
+        F.struct("key", "largest", "wide", "narrow", *columns)).alias("buckets"))
+    more = [] if held is None else [c for c in held.columns if c != "node"]
+    joined = gathered if held is None else gathered.join(held, "node")
+    placed = joined.select("node", "part", *more, F.explode(F.flatten(F.transform("buckets", places))).alias("m"))
+    return placed.select("m.key", "m.i", "m.j", "m.block", "node", "part", *more, *(f"m.{c}" for c in columns))
 
 
 def _likely(buckets: DataFrame, roots: DataFrame, marks: DataFrame, how: NearDup, doubt: float, most: int) -> DataFrame:
@@ -207,7 +221,7 @@ def _likely(buckets: DataFrame, roots: DataFrame, marks: DataFrame, how: NearDup
         F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n")).where("most.n < n").select(
         "key", F.col("most.part").alias("largest"), F.ceil(F.col("most.n") / how.block).cast("int").alias("wide"),
         F.ceil((F.col("n") - F.col("most.n")) / how.block).cast("int").alias("narrow"))
-    dealt = _met(rooted.join(sizes, "key").join(marks, "node"), "signature", "band")
+    dealt = _met(rooted.join(sizes, "key"), "band", held=marks)
     bands, rows = how.bands, how.rows
 
     def compare(key, blocks, nodes, parts, minima, numbers):
@@ -253,7 +267,8 @@ def _linked(buckets: DataFrame, roots: DataFrame, sets: DataFrame, how: NearDup)
     their sets; the others' blocks are compared with each other and with each block of the largest component, in
     memory. Only links come out.
     """
-    rooted = _parted(buckets, roots).join(sets.select("node", "size"), "node")
+    gathered = _parted(buckets, roots).groupBy("node").agg(F.max("part").alias("part"), F.collect_list("key").alias("keys"))
+    rooted = gathered.join(sets.select("node", "size"), "node").select("node", "part", "size", F.explode("keys").alias("key"))
     parts = rooted.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     sizes = parts.groupBy("key").agg(
         F.max(F.struct("n", "size", "part")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("most.n < n")
@@ -263,7 +278,7 @@ def _linked(buckets: DataFrame, roots: DataFrame, sets: DataFrame, how: NearDup)
 
     sizes = sizes.select("key", F.col("most.part").alias("largest"), blocks(F.col("most.n"), F.col("most.size")).alias("wide"),
                          blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("narrow"))
-    dealt = _met(rooted.join(sizes, "key").drop("size").join(sets.select("node", "members"), "node"), "members")
+    dealt = _met(rooted.join(sizes, "key"), held=sets.select("node", "members"))
     percent = how.percent
 
     def compare(_, blocks, nodes, parts, members):

@@ -123,3 +123,32 @@ def test_rows_that_meet_follow_the_size_of_the_largest_component(frame):
     pairs = [tuple(sorted((x.node, y.node))) for (i, j), held in tasks.items() for x in held for y in held
              if x.part < y.part and (i == j or x.block != y.block)]
     assert len(pairs) == len(set(pairs)) == 200 * 4 + 6
+
+
+def joined_rows(df):
+    """Rows that the joins of a DataFrame make, as Spark counts them while it runs."""
+    df.collect()
+    plan, found, left = df._jdf.queryExecution().executedPlan(), [], []
+    left = [plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+    while left:
+        at = left.pop()
+        if "Join" in at.nodeName():
+            found.append(at.metrics().apply("numOutputRows").value())
+        if "QueryStage" in at.nodeName():
+            left.append(at.plan())
+        left += [at.children().apply(k) for k in range(at.children().size())]
+    return sum(found)
+
+
+def test_what_a_node_holds_is_joined_once_whatever_its_buckets(frame):
+    """30 nodes share 40 buckets: signatures are joined to 30 rows and not to 1,200."""
+    rows = frame([(key, k, k, 0, 1, 3, key) for key in range(40) for k in range(30)],
+                 "key long, node long, part long, largest long, wide int, narrow int, band int")
+    marks = frame([(k, bytes([k])) for k in range(30)], "node long, signature binary")
+    met = _met(rows, "band", held=marks)
+    assert joined_rows(met) == 30
+    assert met.columns == ["key", "i", "j", "block", "node", "part", "signature", "band"]
+    got = met.collect()
+    assert all(r.signature == bytes([r.node]) and r.band == r.key for r in got)
+    # node 0 is the largest component of each bucket and meets 3 blocks of others; those meet it and each other
+    assert len(got) == 40 * (3 + 29 * (1 + 3))
