@@ -28,18 +28,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, labe
     return sample, (ones or 0) / all_ if all_ else 0.0
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, usable) -> tuple[DataFrame, float]:
-    """Every document with a usable label as (id, text, y), and the share of label 1 among all usable labels.
+def labelled_hashes(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, usable) -> tuple[DataFrame, float]:
+    """(h, y) for every text with a usable label, once each, and the share of label 1 among all usable labels.
 
+    ``h`` is the text's xxhash64, so no text is moved to its label: what is made of a text is joined to its mark instead.
     ``usable`` is a condition on the labels' id; repeated labels of an id count as their largest, repeated texts once.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & usable).groupBy(F.col(id).alias("id")).agg(
         F.max(F.col(label)).cast("int").alias("y"))
     ones, all_ = known.agg(F.sum("y"), F.count("*")).first()
-    joined = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).join(known, "id")
-    rows = joined.groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min_by(F.struct("id", "text"), "id").alias("s")).select(
-        "s.id", "s.text", "y")
-    return rows, (ones or 0) / all_ if all_ else 0.0
+    hashed = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("h"))
+    return hashed.join(known, "id").select("h", "y").distinct(), (ones or 0) / all_ if all_ else 0.0
 
 
 def logistic_rows(rows: DataFrame, width: int, ridge: float = 1.0, steps: int = 30) -> np.ndarray:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.learning import labelled_rows, logistic_rows, shifted, sigmoid
+from hedgerow.llm.learning import labelled_hashes, logistic_rows, shifted, sigmoid
 from hedgerow.llm.shared import discard, written
 from hedgerow.llm.transducers import grammar
 
@@ -42,29 +42,46 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.;:!?\n]+")
 
 
-def _stems(text: str) -> set[str]:
+_ROWS = 512  # texts whose stems are sent on at a time
+
+
+def _words(text: str) -> str:
+    """The distinct words of a text in lower case, a space between two."""
+    return " ".join(dict.fromkeys(_WORD.findall(text.lower())))
+
+
+def _stems(words: str) -> set[str]:
     """Whole words as ``=word``, starts of longer words as they are."""
     found = set()
-    for word in set(_WORD.findall(text.lower())):
+    for word in words.split():
         found.add("=" + word)
         found.update(word[:n] for n in range(4, min(8, len(word))))
     return found
 
 
-def learn_stems(known: DataFrame, how: Toxicity) -> dict[str, float]:
-    """Log odds of the stems that mark toxic texts, counted over all labelled texts by Spark."""
-    def spell(batches):
+def learn_stems(texts: DataFrame, marks: DataFrame, how: Toxicity) -> dict[str, float]:
+    """Log odds of the stems that mark toxic texts, counted by Spark over all of ``texts`` (h, text) that ``marks`` (h, y) names.
+
+    Only the distinct words of a text go to its label, not the text.
+    """
+    def split(batches):
         for batch in batches:
+            found = [_words(text or "") for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["h", "words"])
+
+    def spell(batches):
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             stems, labels = [], []
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = _stems(text or "")
+            for words, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = _stems(words)
                 stems += found
                 labels += [y] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(labels, pa.int32())], ["stem", "y"])
 
-    size = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    size = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     ones, zeros = size.get(1, 0), size.get(0, 0)
-    counts = known.select("text", "y").mapInArrow(spell, "stem string, y int").groupBy("stem").agg(
+    words = texts.mapInArrow(split, "h long, words string").dropDuplicates(["h"])
+    counts = words.join(marks, "h").select("words", "y").mapInArrow(spell, "stem string, y int").groupBy("stem").agg(
         F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))
     odds = F.log((F.col("ones") + 0.5) / (ones + 1.0)) - F.log((F.col("zeros") + 0.5) / (zeros + 1.0))
     best = counts.where(F.col("ones") >= how.least).select("stem", odds.alias("odds")).where(F.col("odds") >= how.odds)
@@ -145,19 +162,22 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, usable, how: Toxicity = Toxicity(), id: str = "doc_id", text: str = "text",
         label: str = "toxic") -> Model:
     """Learn lexicon and weights from every document whose label's id meets ``usable``."""
-    known, share = labelled_rows(docs, labels, id, text, label, usable)
-    known = written(known, "toxic-known")
-    lexicon = learn_stems(known, how)
+    marks, share = labelled_hashes(docs, labels, id, text, label, usable)
+    marks = written(marks, "toxic-marks")
+    string = F.col(text).cast("string")
+    texts = docs.select(F.xxhash64(string).alias("h"), string.alias("text"))
+    lexicon = learn_stems(texts, marks, how)
     width = 2 + len(Scanner.OUTPUTS)
 
     def encode(batches):
         scanner = Scanner(lexicon, how.threat)
         for batch in batches:
-            found = [scanner.features(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            found = [scanner.features(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["h", "x"])
 
-    rows = written(known.select("text", "y").mapInArrow(encode, "x array<double>, y int"), "toxic-features")
-    discard(known)
+    features = texts.mapInArrow(encode, "h long, x array<double>").dropDuplicates(["h"])
+    rows = written(features.join(marks, "h").select("x", "y"), "toxic-features")
+    discard(marks)
     ones, all_ = rows.agg(F.sum("y"), F.count("*")).first()
     if not ones or ones == all_:
         weights = np.array([0.0] * width + [shifted(0.0, 0.5, share)])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hedgerow.llm import toxicity
-from hedgerow.llm.learning import logistic, logistic_rows
+from hedgerow.llm.learning import labelled_hashes, logistic, logistic_rows
 from hedgerow.llm.shared import remainder
 from hedgerow.llm.toxicity import Model, Scanner, Toxicity
 from hedgerow.llm.transducers import addressed, compose, grammar, negated, reported
@@ -81,3 +81,27 @@ def test_summed_steps_are_newtons(frame):
     y = (x @ [1.0, -2.0, 0.5] + draw.normal(size=400) > 0).astype(int)
     rows = frame([(a.tolist(), int(b)) for a, b in zip(x, y)], "x array<double>, y int").repartition(5)
     assert np.allclose(logistic_rows(rows, 3), logistic(x, y), atol=1e-6)
+
+
+def test_texts_are_not_moved_to_their_labels(spark, frame, monkeypatch):
+    """What is joined to the labels are hashes; the model is that of the distinct texts, copies and nulls included."""
+    draw = np.random.default_rng(2)
+    rows = []
+    for k in range(300):
+        words = ["".join(chr(97 + c) for c in draw.integers(0, 26, 9)) for _ in range(10)]
+        rows.append((k, " ".join(draw.choice(words, 2000)) + (" idiot" if k % 3 == 0 else "")))
+    docs = frame(rows + rows[:60] + [(1000, None), (None, "idiot")], "doc_id long, text string")
+    labels = frame([(k, int(k % 3 == 0)) for k, _ in rows] + [(1000, 0)], "doc_id long, toxic int")
+    tables, sizes, write = [], [], toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, label: tables.append(out := write(df, label)) or sizes.append(out.count()) or out)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marks, share = labelled_hashes(docs, labels, "doc_id", "text", "toxic", F.lit(True))
+        assert sorted(marks.columns) == ["h", "y"] and marks.count() == 301 and share == pytest.approx(100 / 301)
+        model = toxicity.fit(docs, labels, F.lit(True))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(tables) == 2 and not [df.columns for df in tables if "text" in df.columns]
+    assert sizes == [301, 301] and "=idiot" in model.lexicon
+    assert all((r.toxicity >= 0.5) == ("idiot" in (r.text or "")) for r in toxicity.toxicity(docs, model).collect())
