@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgerow.llm.components import components, merged
-from hedgerow.llm.shared import column_bytes, discard, mix, salted_join, word_hashes, written
+from hedgerow.llm.shared import column_bytes, discard, mix, salted_join, small_batches, word_hashes, written
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ class NearDup:
     most: int = 2
 
 
-_SLICE = 2 << 20  # bytes of texts that are shingled at a time; a longer text stands alone
+_SLICE = 1 << 19  # bytes of texts that are shingled at a time; a longer text stands alone
 _PLACES = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -324,6 +324,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", how
     for linking and each gives a row. A row with a null id is linked with nothing, its component is null and it is
     kept. Extra columns are ignored; no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     rows = written(signatures(docs, id, text, how), "signatures")
     classes = rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"))
     classes = written(classes, "classes")

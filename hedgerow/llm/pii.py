@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgerow.llm.shared import discard, written
+from hedgerow.llm.shared import discard, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -171,6 +171,7 @@ class Model:
 
 def fit(docs: DataFrame, how: Pii = Pii(), text: str = "text") -> Model:
     """Learn the potentials from every row's whole text; the patterns give the labels."""
+    small_batches(docs.sparkSession)
     labels = len(KINDS) + 1
 
     def encode(batches):
@@ -302,6 +303,7 @@ def find_pii(docs: DataFrame, model: Model, how: Pii = Pii(), id: str = "doc_id"
                 [batch.column(0), *map(pa.array, counts), pa.array(digests, pa.string()), pa.array(lists, pa.string())],
                 ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -324,4 +326,5 @@ def redact(docs: DataFrame, model: Model, how: Pii = Pii(), text: str = "text")
     def replaced(texts: pd.Series) -> pd.Series:
         return texts.map(cut)
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(text, replaced(F.col(text).cast("string")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgerow.llm.learning import labelled_hashes, logistic_rows, shifted, sigmoid
-from hedgerow.llm.shared import discard, written
+from hedgerow.llm.shared import discard, small_batches, written
 from hedgerow.llm.transducers import grammar
 
 # Closed word classes in the languages at hand (en, fr, de, es).
@@ -42,7 +42,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.;:!?\n]+")
 
 
-_ROWS = 512  # texts whose stems are sent on at a time
+_ROWS = 128  # texts whose stems are sent on at a time
 
 
 def _words(text: str) -> str:
@@ -162,6 +162,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, usable, how: Toxicity = Toxicity(), id: str = "doc_id", text: str = "text",
         label: str = "toxic") -> Model:
     """Learn lexicon and weights from every document whose label's id meets ``usable``."""
+    small_batches(docs.sparkSession)
     marks, share = labelled_hashes(docs, labels, id, text, label, usable)
     marks = written(marks, "toxic-marks")
     string = F.col(text).cast("string")
@@ -194,6 +195,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     An Aho-Corasick pass finds stems; each clause with one is run through the composed grammar, and the summed clause
     weights go into a logistic score. Rows, repeated or not, keep all their columns; one of that name is replaced.
     """
+    small_batches(docs.sparkSession)
     lexicon, weights, threat = model.lexicon, np.array(model.weights), model.threat
 
     @F.pandas_udf("double")
