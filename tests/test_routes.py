@@ -269,3 +269,44 @@ def test_missing_routing_falls_back(spark):
     safe = spark.createDataFrame([("a", 1.5, 80.0, "u"), ("c", 3.0, 99.0, "v")], kind)
     got = {r.route_id: (r.cycling_distance_m, r.shortest_distance_m, r.shape) for r in routes.pick_routes(short, safe).collect()}
     assert got == {"a": (1500.0, 1000.0, "u"), "b": (2000.0, 2000.0, "t"), "c": (3000.0, 3000.0, "v")}
+
+
+def test_narrative_tells_whole_summaries(spark, tmp_path):
+    """The registered query returns every destination's two summaries, not just how many there are."""
+    import json
+
+    import duckdb
+
+    import __spark_entry__ as entry
+    from compare import compare
+
+    orders = [(1, 5, 8000.0, "1-URGENT"), (6, 5, 8000.0, "2-HIGH"), (6, 5, 8000.0, "2-HIGH"), (7, 5, 8000.0, "3-MEDIUM"), (12, None, 80.0, None)]
+    good, bad = (1, 1, 1, 5.0, 8000.0, "A", "F"), (2, 1, 1, 45.0, 8000.0, "N", "O")
+    lines = [(k, *row) for k, row in ((1, good), (6, bad), (7, good))]
+    tables = {
+        "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string"),
+        "lineitem": spark.createDataFrame(
+            lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                   "l_returnflag string, l_linestatus string").withColumn("l_shipdate", F.lit("1995-01-01").cast("timestamp_ntz")),
+        "part": spark.createDataFrame([(1, "A", "ECONOMY", 2), (2, "B", "STANDARD", 1)],
+                                      "p_partkey long, p_brand string, p_type string, p_size int"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = entry.queries()["route_narrative"](spark, str(tmp_path))
+    assert compare(found, con, entry.oracle_sql()["route_narrative"]) is None
+
+    def summary(metres, score, rating):
+        return {"distance_m": metres, "ltn_score": score, "rating": rating}
+
+    def told(name, shortest, safest, same):
+        return {"destination_name": name, "shortest_route_summary": shortest, "safest_route_summary": safest, "same_route": same}
+
+    got = {r.application_ref: (r.destinations, json.loads(r.narrative)) for r in found.collect()}
+    poor = told("2-HIGH", summary(1000, 27, "red"), summary(1000, 27, "red"), True)
+    assert got[5] == (4, [
+        told("1-URGENT", summary(909, None, None), summary(1000, 97, "green"), False), poor, poor,
+        told("3-MEDIUM", summary(1000, 96, "green"), summary(1000, 96, "green"), True)])  # no shortest routing
+    assert got[None] == (1, [told(None, summary(10, 0, "red"), summary(10, 0, "red"), True)])  # no segments
